@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, simhash, url_filter
+from . import bpe, embedding_dedup, exact_dedup, packing, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
+    "op4_bpe": bpe.op4_bpe,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
