@@ -114,6 +114,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
+def named_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, name) of every row of ``nodes`` (node, rep): name is the smallest rep of the node's component.
+
+    ``nodes`` is a written table; null reps name nothing. The joins' sides are plain exchanges, so a
+    component that holds most nodes is split.
+    """
+    comp = components(links)
+    placed = nodes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    placed = materialize(placed, "placed")
+    names = materialize(placed.groupBy("component").agg(F.min("rep").alias("name")), "names")
+    return placed.join(names, "component").select("node", "name")
+
+
 def blocked(rows: DataFrame, cell: list[str], key: str, block: int, home: str | None = None) -> DataFrame:
     """Deal each cell's rows into tasks that together see every pair of the cell.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocked, by_value, components, materialize, n_partitions, read_documents, spanning, whole_groups
+from .common import blocked, by_value, materialize, n_partitions, named_components, read_documents, spanning, whole_groups
 
 by_value(__name__)
 
@@ -142,10 +142,8 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
     found = materialize(tasks.mapInArrow(link, "a long, b long, n long"), "links")
     n_links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    groups = components(found.where("a != b").select("a", "b").distinct())
-    named = vectors.select("node", "rep").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = named.groupBy("component").agg(F.min("rep").alias("name"))
-    classes = named.join(names, "component").join(n_links, "node", "left").join(vectors.select("node", "label", "v", "copies"), "node")
+    named = named_components(vectors, found.where("a != b").select("a", "b").distinct())
+    classes = named.join(n_links, "node", "left").join(vectors.select("node", "label", "v", "copies"), "node")
     classes = materialize(classes.select("label", "v", "name", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     out = t.join(classes, ["label", "v"], "left")
     component = F.coalesce("name", "id")

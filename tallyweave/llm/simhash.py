@@ -17,19 +17,21 @@ spanning set of links in place of all pairs, and groups come from distributed co
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; a text with
 fewer words than a shingle is one shingle; repeated rows share fingerprint and group; rows that
-share an id are one document, so their fingerprints' groups are one group; a row with a null id gets its fingerprint's group but never names one (null if the group has no other id); an
+share an id but not a text are told apart by their fingerprints; a row with a null id gets its fingerprint's group but never names one (null if the group has no other id); an
 empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocked, by_value, components, materialize, n_partitions, read_documents, spanning, whole_groups
+from .common import blocked, by_value, materialize, n_partitions, named_components, read_documents, spanning, whole_groups
 
 by_value(__name__)
 
@@ -72,15 +74,17 @@ def fingerprint(hashes: np.ndarray, bits: int) -> bytes:
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int = 3, bits: int = 64) -> DataFrame:
-    """(id, fp binary) of every row, each judged where it is read."""
+    """(id, fp binary, sha binary: SHA-256 of the text) of every row, each judged where it is read."""
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(shingle_hashes(x or b"", words), bits) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], names=["id", "fp"])
+            texts = [x or b"" for x in b.column(1).to_pylist()]
+            fps = [fingerprint(shingle_hashes(x, words), bits) for x in texts]
+            shas = [hashlib.sha256(x).digest() for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(shas, pa.binary())], names=["id", "fp", "sha"])
 
     t = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    return t.mapInArrow(run, "id long, fp binary")
+    return t.mapInArrow(run, "id long, fp binary, sha binary")
 
 
 def chain_links(segments: np.ndarray, first: np.ndarray, group: np.ndarray, max_diff: int, chain: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,18 +117,18 @@ def chain_links(segments: np.ndarray, first: np.ndarray, group: np.ndarray, max_
 
 
 def hamming_groups(rows: DataFrame, bits: int = 64, max_diff: int = 3, segments: int = 4, chain: int = 3, block: int = 512) -> DataFrame:
-    """(fp, component) for each distinct fingerprint of ``rows`` (id, fp); components are named by the smallest id."""
+    """(fp, component) for each distinct fingerprint of ``rows`` (id, fp); components are named by the smallest id (null: none has any)."""
     if bits % segments or bits // segments != 16:
         raise ValueError("hamming_groups: segments are 16 bits wide")
     spark = rows.sparkSession
-    distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprints")
-    nodes = distinct.where("rep IS NOT NULL")
-    cells = nodes.select("rep", "fp", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("k"))
+    distinct = rows.groupBy("fp").agg(F.min("id").alias("rep"))
+    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
+    cells = distinct.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("k"))
     value = F.conv(F.hex(F.expr("substring(fp, 2 * k + 1, 2)")), 16, 10).cast("int")
-    cells = cells.select("rep", "fp", (F.col("k") * 65536 + value).alias("cell"))
-    tasks = blocked(cells, ["cell"], "rep", block)
+    cells = cells.select("node", "fp", (F.col("k") * 65536 + value).alias("cell"))
+    tasks = blocked(cells, ["cell"], "node", block)
     keys = ["cell", "lo", "hi"]
-    tasks = tasks.select(*keys, "rep", "fp").repartition(n_partitions(spark), *keys).sortWithinPartitions(*keys)
+    tasks = tasks.select(*keys, "node", "fp").repartition(n_partitions(spark), *keys).sortWithinPartitions(*keys)
 
     def link(batches):
         for t in whole_groups(batches, keys):
@@ -133,15 +137,14 @@ def hamming_groups(rows: DataFrame, bits: int = 64, max_diff: int = 3, segments:
             new = np.zeros(t.num_rows, bool)
             for v in k:
                 new[1:] |= v[1:] != v[:-1]
-            ids = t.column("rep").to_numpy()
+            ids = t.column("node").to_numpy()
             left, right = chain_links(seg, k[0] // 65536, np.cumsum(new), max_diff, min(chain, segments))
             a, b = spanning_rows(ids, left, right)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     links = tasks.mapInArrow(link, "a long, b long").distinct()
-    comp = components(links).withColumnRenamed("node", "rep")
-    out = distinct.join(comp, "rep", "left")
-    return materialize(out.select("fp", F.coalesce("component", "rep").alias("component")), "groups")
+    named = named_components(distinct, links)
+    return materialize(distinct.select("node", "fp").join(named, "node").select("fp", F.col("name").alias("component")), "groups")
 
 
 def spanning_rows(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,12 +154,12 @@ def spanning_rows(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 64, max_diff: int = 3, segments: int = 4) -> DataFrame:
-    """One row per input row: id, fingerprint (hex), component_id (smallest id of the group)."""
+    """One row per input row: id, fingerprint (hex), component_id (smallest id of the group), text_sha256."""
     rows = materialize(fingerprints(df, id_col, text_col, words, bits), "simhash")
     groups = hamming_groups(rows, bits, max_diff, segments)
     out = rows.join(groups, "fp")
-    return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(read_documents(spark, sf_dir), words=3)
+    return simhash_groups(read_documents(spark, sf_dir), words=3).drop("text_sha256")

@@ -387,6 +387,41 @@ def cut_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     return out.select(F.col("id").alias(id_col), "n_bytes", "spans", F.col("out").alias(out_col))
 
 
+def cut_texts(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """``df`` with the spans cut from its texts, and ``size_col`` (their characters) after them.
+
+    Characters that a span covers in part stay. Texts of which only white space is left by a cut go;
+    texts without a span, null ones included, stay as they are.
+    """
+    s = spans.where("size(spans) > 0").select(F.col(id_col).alias("_sid"), F.col("sha").alias("_ssha"), "spans")
+    s = s.groupBy("_sid", "_ssha").agg(F.min("spans").alias("_spans"))
+    d = df.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)))
+    j = d.join(s.hint("shuffle_hash"), (F.col("_sha") == F.col("_ssha")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_sid")), "left")
+
+    @F.udf("string", useArrow=True)
+    def cut(text, found):
+        raw, at, parts = text.encode(), 0, []
+        inside = lambda k: k < len(raw) and raw[k] & 0xC0 == 0x80
+        for x in found:
+            a, b = x["from"], x["to"]
+            while inside(a):
+                a += 1
+            while inside(b):
+                b -= 1
+            if a < b:
+                parts.append(raw[at:a])
+                at = b
+        return b"".join([*parts, raw[at:]]).decode()
+
+    hit = F.col("_spans").isNotNull()
+    done = j.withColumn("_cut", F.when(hit, cut(F.when(hit, F.col(f"`{text_col}`").cast("string")).otherwise(""), F.coalesce("_spans", F.expr("cast(array() as array<struct<from: bigint, to: bigint>>)")))))
+    done = done.where(~hit | (F.trim("_cut") != ""))
+    new = {text_col: F.when(hit, F.col("_cut")).otherwise(F.col(f"`{text_col}`"))}
+    if size_col in df.columns:
+        new[size_col] = F.when(hit, F.length("_cut").cast(df.schema[size_col].dataType)).otherwise(F.col(f"`{size_col}`"))
+    return done.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in df.columns])
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     cut = cut_spans(docs, repeated_spans(docs))

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from tallyweave.llm import embedding_dedup, exact_dedup, simhash, url_filter
+from tests_llm_support import brute_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,19 +89,6 @@ def brute_fingerprint(text, words):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def brute_components(ids, link):
-    low = {i: i for i in ids}
-    changed = True
-    while changed:
-        changed = False
-        for a, b in link:
-            m = min(low[a], low[b])
-            if low[a] != m or low[b] != m:
-                low[a] = low[b] = m
-                changed = True
-    return low
-
-
 def test_simhash_brute(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op10_simhash(spark, SF).collect()}

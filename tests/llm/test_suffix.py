@@ -2,32 +2,16 @@
 
 import hashlib
 import random
-from collections import defaultdict
 
 import numpy as np
 import pytest
 
 from tallyweave.llm import suffix_dedup as sd
+from tests_llm_support import brute_spans as brute
 
 SF = "/root/testdata/sf0.001"
 
 
-def brute(rows, length, first):
-    """(id, text) in order -> [spans]"""
-    raws = [(t or "").encode() for _, t in rows]
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
-    seen = defaultdict(list)
-    for k in order:
-        for p in range(len(raws[k]) - length + 1):
-            seen[raws[k][p : p + length]].append((k, p))
-    gone = [np.zeros(len(r), bool) for r in raws]
-    for at in seen.values():
-        if len(at) > 1:
-            for k, p in at[1:] if first else at:
-                gone[k][p : p + length] = True
-    return [sd.runs(g) for g in gone]
-
-
 def random_rows(seed, length):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(1, 7)))

@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -12,6 +11,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from tallyweave.llm import bpe, packing
+from tests_llm_support import check_packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,33 +50,6 @@ def test_op4(spark):
         assert g.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
-def check_packing(rows, want, capacity):
-    """rows: (id, piece, start, length, ids or crc, sequence, offset); want: id -> ids."""
-    seqs, docs = defaultdict(list), defaultdict(list)
-    for r in rows:
-        seqs[r.sequence_id].append((r.offset, r.length))
-        docs[r.doc_id].append(r)
-    for s in seqs.values():
-        at = 0
-        for o, n in sorted(s):
-            assert o == at
-            at += n
-        assert at <= capacity
-    assert docs.keys() == want.keys()
-    for i, ids in want.items():
-        at = 0
-        for k, r in enumerate(sorted(docs[i], key=lambda r: r.piece)):
-            assert (r.piece, r.start) == (k, at)
-            assert not k or r.length == capacity
-            raw = np.array(ids[at : at + r.length], "<u4").tobytes()
-            assert r.ids_crc32 == zlib.crc32(raw)
-            at += r.length
-        assert at == len(ids)
-        if len(ids) <= capacity:
-            assert len(docs[i]) == 1
-    return len(seqs)
-
-
 def test_op2(spark):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     docs = {r.doc_id: t.encode(r.text, add_special_tokens=False).ids + [0] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
