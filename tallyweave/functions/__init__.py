@@ -1 +1 @@
-"""functions"""
+"""Column builders: scalars and estimators."""

@@ -1 +1 @@
-"""operators"""
+"""Operators on DataFrames: cleaning, weighted tables, indices, item response, driver models."""

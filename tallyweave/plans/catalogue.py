@@ -1,4 +1,685 @@
-"""The engine's own queries and their SQL."""
+"""The engine's own queries over the star schema, each with the SQL that gives the same rows.
+
+Figures are rounded on both sides, so that the order of summation doesn't show.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import estimators as E
+from ..functions import expr as X
+from ..operators import boost, conversion, gate, indices, irt, probit, quantile, tables
+from . import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """Doubles rounded, integers as bigint."""
+    kinds = dict(df.dtypes)
+
+    def one(c):
+        if kinds[c] == "double":
+            # no negative zero
+            return (F.round(c, other.get(c, digits)) + 0.0).alias(c)
+        return F.col(c).cast("long").alias(c) if kinds[c] in ("int", "tinyint", "smallint") else F.col(c)
+
+    return df.select(*map(one, df.columns))
+
+
+def wmean(v: str, w: str, where: str = "true", alias: str = "") -> str:
+    ok = f"{w} > 0 AND {v} IS NOT NULL AND ({where})"
+    return f"sum(CASE WHEN {ok} THEN {v} * {w} END) / nullif(sum(CASE WHEN {ok} THEN {w} END), 0)" + (f" AS {alias}" if alias else "")
+
+
+def kish(w: str, where: str = "true") -> str:
+    ok = f"{w} > 0 AND ({where})"
+    x = f"CASE WHEN {ok} THEN {w} END"
+    return f"coalesce(sum({x}) * sum({x}) / nullif(sum(({x}) * ({x})), 0), 0)"
+
+
+def ci(p: str, n: str) -> tuple[str, str]:
+    half = f"1.96E0 * sqrt({p} * (1 - {p}) / nullif({n}, 0))"
+    return tuple(f"CASE WHEN {n} > 0 AND {p} IS NOT NULL THEN greatest(0.0E0, least(1.0E0, {p} {s} {half})) END" for s in "-+")
+
+
+survey, orders = V.survey_lines, V.order_scores
+
+
+# Weighted estimates
+
+SHARE_CI = ci("share", "n_eff")
+
+
+@query(
+    V.SURVEY_SQL
+    + f""", g AS (
+  SELECT country_grouped, {wmean('act1', 'w_national', alias='share')}, count(*) FILTER (w_national > 0 AND act1 IS NOT NULL) AS n_rows,
+    {kish('w_national', 'act1 IS NOT NULL')} AS n_eff FROM s GROUP BY 1
+) SELECT country_grouped, round(share, 6) AS share, n_rows, round(n_eff, 4) AS n_eff, round({SHARE_CI[0]}, 6) AS ci_low,
+  round({SHARE_CI[1]}, 6) AS ci_high, n_rows < 30 AS small_cell FROM g"""
+)
+def share_by_nation(spark, sf):
+    return rounded(tables.share_by_group(survey(spark, sf), "act1", "country_grouped", "w_national"), n_eff=4)
+
+
+@query(V.SURVEY_SQL + f"SELECT country_grouped, round({wmean('price', 'w_national')}, 4) AS mean_price FROM s GROUP BY 1")
+def wmean_price_by_nation(spark, sf):
+    return rounded(survey(spark, sf).groupBy("country_grouped").agg(E.weighted_mean("price", "w_national").alias("mean_price")), 4)
+
+
+@query(
+    V.SURVEY_SQL
+    + f"""SELECT country_grouped, round({wmean('CAST(prep >= 3 AS INT)', 'w_eu')}, 6) AS substantive,
+  round({wmean('CAST(coalesce(prep >= 3, false) AS INT)', 'w_eu')}, 6) AS topline FROM s GROUP BY 1"""
+)
+def share_two_denominators(spark, sf):
+    out = survey(spark, sf).groupBy("country_grouped").agg(E.weighted_share("prep_agree", "w_eu").alias("substantive"), E.weighted_share("prep_agree", "w_eu", missing_as_no=True).alias("topline"))
+    return rounded(out)
+
+
+@query(V.SURVEY_SQL + f"SELECT region, round({kish('w_eu')}, 4) AS n_eff, count(*) AS n_rows FROM s GROUP BY 1")
+def kish_n_by_region(spark, sf):
+    return rounded(survey(spark, sf).groupBy("region").agg(E.effective_n("w_eu").alias("n_eff"), F.count("*").alias("n_rows")), 4)
+
+
+@query(
+    V.SURVEY_SQL
+    + f"""SELECT region, round({kish('w_legacy')}, 4) AS n_eff_legacy, count(*) FILTER (w_legacy IS NULL OR w_legacy <= 0) AS unusable,
+  round({wmean('price', 'w_legacy')}, 4) AS mean_price FROM s GROUP BY 1"""
+)
+def legacy_weight_drops_region(spark, sf):
+    s = survey(spark, sf)
+    out = s.groupBy("region").agg(E.effective_n("w_legacy").alias("n_eff_legacy"), F.count_if(~F.coalesce(E.usable("w_legacy"), F.lit(False))).alias("unusable"), E.weighted_mean("price", "w_legacy").alias("mean_price"))
+    return rounded(out, 4)
+
+
+@query(
+    V.SURVEY_SQL
+    + f""", g AS (SELECT l_returnflag, {wmean('act2', 'w_eu', alias='share')}, {kish('w_eu', 'act2 IS NOT NULL')} AS n_eff FROM s GROUP BY 1)
+SELECT l_returnflag, round(share, 6) AS share, round({SHARE_CI[0]}, 6) AS ci_low, round({SHARE_CI[1]}, 6) AS ci_high FROM g"""
+)
+def wald_ci_by_flag(spark, sf):
+    t = survey(spark, sf).groupBy("l_returnflag").agg(E.weighted_share("act2", "w_eu").alias("share"), E.effective_n("w_eu", F.col("act2").isNotNull()).alias("n_eff"))
+    return rounded(t.select("l_returnflag", "share", E.wald_low("share", "n_eff").alias("ci_low"), E.wald_high("share", "n_eff").alias("ci_high")))
+
+
+def quantile_sql(source: str, qs: dict[str, float], digits: int) -> str:
+    """Quantiles of ``source`` (g, v, w) straight from the definition."""
+    picks = ",\n  ".join(
+        f"round(CASE WHEN {q}E0 <= min(f) THEN min(v) WHEN {q}E0 >= max(f) THEN max(v) ELSE max(CASE WHEN f <= {q}E0 AND {q}E0 < f_next THEN v + ({q}E0 - f) / (f_next - f) * (v_next - v) END) END, {digits}) AS {n}"
+        for n, q in qs.items()
+    )
+    return f"""qr AS ({source}), qc AS (
+  SELECT g, v, w, sum(w) OVER (PARTITION BY g ORDER BY v, w ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY g) AS total FROM qr WHERE w > 0 AND v IS NOT NULL AND g IS NOT NULL
+), qf AS (SELECT g, v, w, (c - w / 2) / total AS f FROM qc), qn AS (
+  SELECT g, v, f, lead(f) OVER o AS f_next, lead(v) OVER o AS v_next FROM qf WINDOW o AS (PARTITION BY g ORDER BY f, v, w)
+), q AS (SELECT g, {picks} FROM qn GROUP BY g)"""
+
+
+QS = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+
+
+@query("WITH " + quantile_sql("SELECT l_returnflag AS g, l_extendedprice AS v, l_quantity AS w FROM lineitem", QS, 4) + " SELECT g AS l_returnflag, p10, p25, p50, p75, p90 FROM q")
+def wquantile_price_by_flag(spark, sf):
+    return rounded(quantile.weighted_quantiles(V.read(spark, sf, "lineitem"), "l_extendedprice", "l_quantity", list(QS.values()), "l_returnflag"), 4)
+
+
+@query(
+    V.SURVEY_SQL
+    + ", e AS (SELECT unnest(['all', CAST(CAST(age_band AS DOUBLE) AS VARCHAR)]) AS g, price AS v, w_eu AS w FROM s), "
+    + quantile_sql("SELECT * FROM e", QS, 2)
+    + f""", z AS (SELECT g, count(*) AS n_rows, round({kish('w')}, 1) AS n_eff FROM e WHERE w > 0 AND v IS NOT NULL GROUP BY g)
+SELECT z.g AS "group", n_rows, n_eff, n_rows < 100 AS thin_cell, p10, p25, p50, p75, p90 FROM z JOIN q ON z.g = q.g"""
+)
+def percentile_table_age_band(spark, sf):
+    s = survey(spark, sf).withColumn("age_band", F.col("age_band").cast("double"))
+    return quantile.percentile_table(s, "price", "age_band", "w_eu")
+
+
+PROBES = (1000, 20000, 50000, 100000)
+
+
+@query(
+    "SELECT x, round(100 * sum(CASE WHEN l_extendedprice < x THEN l_quantity WHEN l_extendedprice = x THEN l_quantity / 2 ELSE 0 END) / sum(l_quantity), 6) AS percentile "
+    f"FROM lineitem, (VALUES {', '.join(f'({x}E0)' for x in PROBES)}) p(x) GROUP BY x"
+)
+def percentile_of_values(spark, sf):
+    one = V.read(spark, sf, "lineitem").agg(*[E.percentile_of(x, "l_extendedprice", "l_quantity").alias(f"p{x}") for x in PROBES])
+    rows = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.round(f"p{x}", 6).alias("percentile")) for x in PROBES])
+    return one.select(F.inline(rows))
+
+
+# Cleaning
+
+KEY = "l_orderkey, l_linenumber, price"
+
+
+@query(V.SURVEY_SQL + f"SELECT {KEY}, h1, d1, na1, coalesce(h1 = 6, false) AS dk1, h4, d4, na4 FROM s")
+def clean_off_scale(spark, sf):
+    s = survey(spark, sf).withColumn("dk1", X.has_code("h1", 6))
+    return s.select("l_orderkey", "l_linenumber", "price", "h1", "d1", "na1", "dk1", "h4", "d4", "na4")
+
+
+@query(V.SURVEY_SQL + f"SELECT {KEY}, q_prep, prep, prep >= 3 AS agree, CAST(coalesce(prep >= 3, false) AS BIGINT) AS topline FROM s")
+def clean_agree_scales(spark, sf):
+    return survey(spark, sf).select("l_orderkey", "l_linenumber", "price", "q_prep", "prep", F.col("prep_agree").alias("agree"), F.col("prep_topline").cast("long").alias("topline"))
+
+
+@query(V.SURVEY_SQL + f"SELECT {KEY}, act1, act5, CASE WHEN NOT adk THEN CAST(a1 + a2 + a3 + a4 + a5 AS DOUBLE) END AS n_actions, CASE WHEN NOT adk THEN a1 + a2 + a3 + a4 + a5 > 0 END AS took_any FROM s")
+def clean_battery_dk(spark, sf):
+    n = X.row_sum([f"act{i}" for i in range(1, 6)])
+    return survey(spark, sf).select("l_orderkey", "l_linenumber", "price", "act1", "act5", n.alias("n_actions"), (n > 0).alias("took_any"))
+
+
+@query(V.SURVEY_SQL + "SELECT country, country_grouped, region, count(*) AS n FROM s GROUP BY ALL")
+def clean_country_grouped(spark, sf):
+    t = survey(spark, sf).withColumn("country", X.normalised_code(F.concat(F.lit(" "), F.lower("country"), F.lit(" "))))
+    t = t.withColumn("country_grouped", X.merged_codes("country", {"NATION_1": "NATION_0"}))
+    return t.groupBy("country", "country_grouped", "region").agg(F.count("*").alias("n"))
+
+
+AUDIT_STEPS = {"horizons": "off-scale codes nulled", "agreement": "off-scale codes nulled, scales reversed", "battery": "don't know leaves the battery unanswered"}
+
+
+@query(
+    V.SURVEY_SQL
+    + """, c AS (SELECT count(*) AS n, sum((h1 > 4)::INT + (h2 > 4)::INT + (h3 > 4)::INT + (h4 > 4)::INT + (h5 > 4)::INT) AS horizons,
+  sum((q_info > 4)::INT + (q_prep > 4)::INT + (q_barrier > 4)::INT) AS agreement, sum(CASE WHEN adk THEN 5 ELSE 0 END) AS battery FROM s)
+"""
+    + " UNION ALL ".join(f"SELECT '{k}' AS step, n AS rows_in, n AS rows_out, 0::BIGINT AS rows_lost, {k}::BIGINT AS cells_nulled, '{v.replace(chr(39), chr(39) * 2)}' AS reason FROM c" for k, v in AUDIT_STEPS.items())
+)
+def clean_audit(spark, sf):
+    s = survey(spark, sf)
+    lost = lambda before, after: F.sum(sum((F.col(a).isNotNull() & F.col(b).isNull()).cast("int") for a, b in zip(before, after))).cast("long")
+    counts = {"horizons": lost([f"h{i}" for i in range(1, 6)], [f"d{i}" for i in range(1, 6)]), "agreement": lost(["q_info", "q_prep", "q_barrier"], ["info", "prep", "barrier"]), "battery": lost(V.ACTIONS.keys(), V.ACTIONS.values())}
+    one = s.agg(F.count("*").alias("n"), *[c.alias(k) for k, c in counts.items()])
+    zero = F.lit(0).cast("long")
+    rows = [F.struct(F.lit(k).alias("step"), F.col("n").alias("rows_in"), F.col("n").alias("rows_out"), zero.alias("rows_lost"), F.col(k).alias("cells_nulled"), F.lit(v).alias("reason")) for k, v in AUDIT_STEPS.items()]
+    return one.select(F.inline(F.array(*rows)))
+
+
+@query(V.SURVEY_SQL + "SELECT count(*) FILTER (NOT adk) AS comparable, count(*) FILTER (NOT adk AND least(a1 + a2 + a3 + a4 + a5, 3) <> h1) AS mismatches FROM s")
+def reconcile_counts(spark, sf):
+    banded = X.clip_upper(X.row_sum([f"act{i}" for i in range(1, 6)]), 3)
+    return survey(spark, sf).agg(F.count_if(banded.isNotNull()).alias("comparable"), F.count_if(banded != F.col("h1")).alias("mismatches"))
+
+
+STATUS = {"F": "Filled", "O": "Open"}
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Filled' WHEN 'O' THEN 'Open' ELSE o_orderstatus END AS status FROM orders")
+def label_decode(spark, sf):
+    return V.read(spark, sf, "orders").select("o_orderkey", X.decode_label("o_orderstatus", STATUS).alias("status"))
+
+
+# Resilience horizon
+
+
+def scored(spark, sf):
+    return indices.horizon_index(survey(spark, sf), V.DOMAINS, V.NOT_APPLICABLE)
+
+
+@query(V.RHI_SQL + f"SELECT {KEY}, rhi_n_domains::BIGINT AS rhi_n_domains, rhi_band, rhi_days, rhi_binding_domain, rhi_partial FROM r")
+def rhi_respondents(spark, sf):
+    return scored(spark, sf).select("l_orderkey", "l_linenumber", "price", F.col("rhi_n_domains").cast("long").alias("rhi_n_domains"), "rhi_band", "rhi_days", "rhi_binding_domain", "rhi_partial")
+
+
+BOUNDS = f"round({wmean('CAST(rhi_band = 1 AS INT)', 'w_eu')}, 6) AS below_target_certain, round({wmean('CAST(rhi_band <= 2 AS INT)', 'w_eu')}, 6) AS below_target_upper"
+
+
+@query(V.RHI_SQL + f"SELECT {BOUNDS}, 3.0E0 AS target_days FROM r")
+def rhi_target_bounds(spark, sf):
+    one = scored(spark, sf).agg(*[c.alias(n) for n, c in indices.target_bounds("w_eu").items()])
+    return rounded(one.withColumn("target_days", F.lit(indices.TARGET_DAYS)))
+
+
+BANDS_SQL = f"SELECT b AS band, label, round({wmean('CAST(rhi_band = b AS INT)', '{w}')}, 6) AS share FROM r, (VALUES " + ", ".join(f"({b}, '{t}')" for b, t in indices.BAND_LABELS.items()) + ") v(b, label) {where} GROUP BY b, label"
+
+
+@query(V.RHI_SQL + BANDS_SQL.replace("{w}", "w_eu").replace("{where}", ""))
+def rhi_band_distribution(spark, sf):
+    return rounded(indices.band_distribution(scored(spark, sf), "w_eu")).withColumn("band", F.col("band").cast("int"))
+
+
+@query(
+    V.RHI_SQL
+    + ", l AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS domain, {c} AS band, rhi_binding_domain AS b, w_eu AS w FROM r" for n, c in V.DOMAINS.items())
+    + f""") SELECT domain, round({wmean('CAST(b = domain AS INT)', 'w')}, 6) AS share_binding, median(band) AS median_band,
+  round({wmean('CAST(band = 1 AS INT)', 'w')}, 6) AS pct_one_day_or_less FROM l GROUP BY domain"""
+)
+def rhi_binding_profile(spark, sf):
+    return rounded(indices.binding_profile(scored(spark, sf), V.DOMAINS, "w_eu"))
+
+
+@query(V.RHI_SQL + f"SELECT country_grouped AS country, round({wmean('rhi_days', 'w_eu')}, 6) AS mean_days, {BOUNDS}, count(*) AS n_rows, round({kish('w_eu')}, 4) AS n_eff FROM r WHERE rhi_band IS NOT NULL GROUP BY 1")
+def rhi_by_nation(spark, sf):
+    return rounded(indices.horizon_by_country(scored(spark, sf), "w_eu"), n_eff=4)
+
+
+@query(
+    V.SURVEY_SQL
+    + f"""SELECT region, round({wmean('CAST(coalesce(d1 = 4, false) AS INT)', 'w_eu')}, 6) AS water, round({wmean('CAST(d1 = 4 AS INT)', 'w_eu')}, 6) AS water_substantive,
+  round({wmean('CAST(coalesce(d5 = 4, false) AS INT)', 'w_eu')}, 6) AS medication FROM s GROUP BY 1"""
+)
+def over_7_days(spark, sf):
+    return rounded(survey(spark, sf).groupBy("region").agg(indices.over_a_week("d1", "w_eu").alias("water"), indices.over_a_week("d1", "w_eu", False).alias("water_substantive"), indices.over_a_week("d5", "w_eu").alias("medication")))
+
+
+# Awareness-action gap
+
+ITEMS = {f"action_{i}": f"act{i}" for i in range(1, 6)}
+LONG = ", l AS (" + " UNION ALL ".join(f"SELECT '{n}' AS item, {c} AS act, aware, w_eu AS w, w_national AS wn, country_grouped FROM s" for n, c in ITEMS.items()) + ")"
+GAP_CI = ci("p", "n_eff")
+
+
+def gap_sql(w: str, by: str = "") -> str:
+    return (
+        LONG
+        + f""", t AS (SELECT {by} item, {wmean('act', w, alias='o')}, {wmean('act', w, 'aware', 'p')}, {wmean('act', w, 'NOT aware', 'u')}, {kish(w, 'aware AND act IS NOT NULL')} AS n_eff,
+  count(*) FILTER (aware AND act IS NOT NULL) AS n_aware_rows, count(*) FILTER (NOT aware AND act IS NOT NULL) AS n_unaware_rows FROM l GROUP BY ALL)
+SELECT {by} item, round(o, 6) AS pct_did_overall, round(p, 6) AS pct_did_if_aware, round(u, 6) AS pct_did_if_not_aware, round(p, 6) AS conversion, round(1 - p, 6) AS gap,
+  round(p / nullif(u, 0), 6) AS lift, round({GAP_CI[0]}, 6) AS ci_low, round({GAP_CI[1]}, 6) AS ci_high, round(n_eff, 4) AS n_eff, n_aware_rows, n_unaware_rows FROM t"""
+    )
+
+
+@query(V.SURVEY_SQL + gap_sql("w"))
+def gap_table(spark, sf):
+    return rounded(indices.gap_table(survey(spark, sf), ITEMS, "w_eu", "aware"), n_eff=4)
+
+
+@query(V.SURVEY_SQL + gap_sql("wn", "country_grouped,"))
+def gap_table_nation(spark, sf):
+    return rounded(indices.gap_table(survey(spark, sf), ITEMS, "w_national", "aware", by=["country_grouped"]), n_eff=4)
+
+
+@query(
+    V.SURVEY_SQL
+    + LONG
+    + """, k AS (SELECT CASE WHEN aware AND act = 1 THEN 'converted' WHEN aware THEN 'gap' WHEN act = 1 THEN 'intrinsic' ELSE 'unreached' END AS cell, w FROM l WHERE aware IS NOT NULL AND act IS NOT NULL AND w > 0)
+SELECT v.cell, meaning, round(coalesce(sum(w), 0) / (SELECT sum(w) FROM k), 6) AS weighted_share FROM (VALUES """
+    + ", ".join(f"('{k}', '{v}')" for k, v in indices.CELLS.items())
+    + ") v(cell, meaning) LEFT JOIN k ON v.cell = k.cell GROUP BY v.cell, meaning"
+)
+def gap_cells(spark, sf):
+    return rounded(indices.gap_cells(survey(spark, sf), ITEMS, "w_eu", "aware"))
+
+
+def pgi_sql(weights: list[float]) -> str:
+    miss = " + ".join(f"CASE WHEN act{i} = 0 THEN {w}E0 ELSE 0 END" for i, w in enumerate(weights, 1))
+    total = " + ".join(f"CASE WHEN act{i} IS NOT NULL THEN {w}E0 ELSE 0 END" for i, w in enumerate(weights, 1))
+    return V.SURVEY_SQL + f"SELECT {KEY}, CASE WHEN aware THEN round(({miss}) / nullif({total}, 0), 6) END AS pgi FROM s"
+
+
+PGI_WEIGHTS = [1.0, 2.0, 0.5, 1.5, 3.0]
+
+
+@query(pgi_sql([1.0] * 5))
+def person_pgi(spark, sf):
+    return survey(spark, sf).select("l_orderkey", "l_linenumber", "price", F.round(indices.person_gap(list(ITEMS.values()), "aware"), 6).alias("pgi"))
+
+
+@query(pgi_sql(PGI_WEIGHTS))
+def person_pgi_weighted(spark, sf):
+    g = indices.person_gap(list(ITEMS.values()), "aware", dict(zip(ITEMS.values(), PGI_WEIGHTS)))
+    return survey(spark, sf).select("l_orderkey", "l_linenumber", "price", F.round(g, 6).alias("pgi"))
+
+
+@query(
+    V.SURVEY_SQL
+    + ", p AS (SELECT *, CASE WHEN aware THEN (CASE WHEN act1 = 0 THEN 1 ELSE 0 END + CASE WHEN act2 = 0 THEN 1 ELSE 0 END) / nullif(CAST((act1 IS NOT NULL)::INT + (act2 IS NOT NULL)::INT AS DOUBLE), 0) END AS pgi FROM s), m AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS level, avg(pgi) AS mean FROM p WHERE pgi IS NOT NULL AND {c} IS NOT NULL GROUP BY 1, 2" for c in ("prep", "barrier"))
+    + ") SELECT feature, round(max_by(mean, level) - min_by(mean, level), 6) AS spread FROM m GROUP BY feature"
+)
+def barrier_direction(spark, sf):
+    s = survey(spark, sf).withColumn("pgi", indices.person_gap(["act1", "act2"], "aware"))
+    return rounded(tables.level_spread(s, ["prep", "barrier"], "pgi"))
+
+
+AUDITED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
+
+
+@query(
+    "WITH a AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_unique, round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS std, round(100.0E0 * count(*) FILTER ({c} IS NULL) / count(*), 2) AS null_pct FROM lineitem" for c in AUDITED
+    )
+    + ') SELECT *, n_unique < 2 OR coalesce(std < 0.01, true) AS "drop" FROM a'
+)
+def variance_audit(spark, sf):
+    return tables.variance_audit(V.read(spark, sf, "lineitem"), AUDITED)
+
+
+COMPOSITE = "({a} * pri + {b} * (rhi_band - 1) / 3 * 100 + {c} * (1 - pgi) * 100)".format(a="0.5E0", b="0.3E0", c="0.2E0")
+
+
+@query(V.ORDER_SCORES_SQL + f"SELECT country, round(sum({COMPOSITE} * w) / sum(w), 6) AS composite, count(*) AS n FROM os WHERE pri IS NOT NULL AND rhi_band IS NOT NULL AND pgi IS NOT NULL GROUP BY country")
+def composite_ranking(spark, sf):
+    return rounded(indices.composite(orders(spark, sf), (5, 3, 2), "country"))
+
+
+@query(V.ORDER_SCORES_SQL + f"SELECT country, round({wmean('pri', 'w')}, 6) AS mean_pri, count(*) AS n FROM os GROUP BY country")
+def pri_by_nation(spark, sf):
+    return rounded(orders(spark, sf).groupBy("country").agg(E.weighted_mean("pri", "w").alias("mean_pri"), F.count("*").alias("n")))
+
+
+TOP = 10
+
+
+@query("SELECT p_brand, round(avg(p_retailprice), 6) AS mean_price, row_number() OVER (ORDER BY avg(p_retailprice) DESC, p_brand) AS rank FROM part GROUP BY p_brand ORDER BY mean_price DESC, p_brand LIMIT 10")
+def top_k_drivers(spark, sf):
+    t = V.read(spark, sf, "part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("mean_price"))
+    return rounded(tables.ranked(tables.top_k(t, TOP, "mean_price", "p_brand"), "mean_price", "p_brand"))
+
+
+@query(
+    V.RHI_SQL
+    + ", u AS ("
+    + " UNION ALL ".join(f"SELECT '{tag}' AS scope, * FROM ({BANDS_SQL.replace('{w}', w).replace('{where}', where)})" for tag, w, where in (("EU", "w_eu", ""), ("NATION_0", "w_national", "WHERE country_grouped = 'NATION_0'"), ("NATION_5", "w_national", "WHERE country_grouped = 'NATION_5'")))
+    + ") SELECT * FROM u"
+)
+def scope_union(spark, sf):
+    t = scored(spark, sf)
+    own = {n: indices.band_distribution(t.where(F.col("country_grouped") == n), "w_national") for n in ("NATION_0", "NATION_5")}
+    return rounded(tables.stack_scopes({"EU": indices.band_distribution(t, "w_eu"), **own})).withColumn("band", F.col("band").cast("int"))
+
+
+@query("SELECT o_orderpriority, o_orderkey, o_custkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k FROM orders) WHERE k = 1")
+def first_row_per_code(spark, sf):
+    return tables.first_per_group(V.read(spark, sf, "orders").select("o_orderpriority", "o_orderkey", "o_custkey", "o_totalprice"), "o_orderpriority", ["o_orderkey"])
+
+
+@query("SELECT p_type AS value, p_type AS label, count(*) AS n, round(100.0E0 * count(*) / (SELECT count(*) FROM part), 1) AS pct FROM part GROUP BY p_type")
+def frequency_table(spark, sf):
+    return tables.frequency_table(V.read(spark, sf, "part"), "p_type")
+
+
+@query(
+    """WITH r AS (SELECT p_size, p_retailprice, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0E0 AS a,
+  rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0E0 AS b FROM part)
+SELECT round(corr(a, b), 6) AS spearman, round(corr(CAST(p_size AS DOUBLE), p_retailprice), 6) AS pearson, count(*) AS n FROM r"""
+)
+def spearman_part(spark, sf):
+    return rounded(tables.spearman(V.read(spark, sf, "part"), "p_size", "p_retailprice"))
+
+
+@query(V.ORDER_SCORES_SQL + "SELECT round(avg(abs(pri - (1 - pgi) * 100)), 6) AS mean_abs_difference FROM os")
+def mean_abs_difference(spark, sf):
+    t = orders(spark, sf).withColumn("inverted", (1 - F.col("pgi")) * 100)
+    return rounded(t.agg(tables.mean_absolute_difference("pri", "inverted").alias("mean_abs_difference")))
+
+
+# Discovery and conversion
+
+HEADERS = ("id", "A3_alerts", "PREPB_alerts", "x_A3_home_safer", "PREPB_supplies", "A3_supplies", "PREPB_plan_home", "final_wt", "a3_document")
+
+
+@query(
+    "SELECT * FROM (VALUES "
+    + ", ".join(
+        f"('{r['item']}', {'NULL' if r['awareness_col'] is None else repr(r['awareness_col'])}, {'NULL' if r['action_col'] is None else repr(r['action_col'])}, {str(r['paired']).lower()}, {str(r['claimed_twice']).lower()})"
+        for r in (
+            dict(item="alerts", awareness_col="A3_alerts", action_col="PREPB_alerts", paired=True, claimed_twice=False),
+            dict(item="make_plan", awareness_col=None, action_col="PREPB_plan_home", paired=False, claimed_twice=True),
+            dict(item="rainy_day", awareness_col=None, action_col=None, paired=False, claimed_twice=False),
+            dict(item="drills", awareness_col=None, action_col=None, paired=False, claimed_twice=False),
+            dict(item="family_comms", awareness_col=None, action_col=None, paired=False, claimed_twice=False),
+            dict(item="documents", awareness_col="a3_document", action_col=None, paired=False, claimed_twice=False),
+            dict(item="neighbours", awareness_col=None, action_col=None, paired=False, claimed_twice=False),
+            dict(item="supplies", awareness_col="A3_supplies", action_col="PREPB_supplies", paired=True, claimed_twice=False),
+            dict(item="community", awareness_col=None, action_col=None, paired=False, claimed_twice=False),
+            dict(item="home_safer", awareness_col="x_A3_home_safer", action_col="PREPB_plan_home", paired=True, claimed_twice=True),
+            dict(item="evacuation_routes", awareness_col=None, action_col=None, paired=False, claimed_twice=False),
+            dict(item="insure_property", awareness_col=None, action_col=None, paired=False, claimed_twice=False),
+        )
+    )
+    + ") v(item, awareness_col, action_col, paired, claimed_twice)"
+)
+def discover_columns(spark, sf):
+    rows = [(r["item"], r["awareness_col"], r["action_col"], r["paired"], r["claimed_twice"]) for r in conversion.discover_columns(HEADERS)]
+    return spark.createDataFrame(rows, "item string, awareness_col string, action_col string, paired boolean, claimed_twice boolean")
+
+
+@query("SELECT 'final_wt' AS weight_column")
+def find_weight(spark, sf):
+    return spark.createDataFrame([(conversion.find_weight(HEADERS),)], "weight_column string")
+
+
+YES_NO_ROWS = ((1, "1", "1", "Yes"), (2, "0", "2", "No"), (3, "9", "9", "n"), (4, None, "1", "refused"), (5, "1", None, "TRUE"))
+
+
+@query("SELECT * FROM (VALUES (1, 1.0E0, 1.0E0, 1.0E0), (2, 0.0E0, 0.0E0, 0.0E0), (3, NULL, NULL, 0.0E0), (4, NULL, 1.0E0, NULL), (5, 1.0E0, NULL, 1.0E0)) v(k, zero_one, one_two, words)")
+def yes_no_coerce(spark, sf):
+    return conversion.yes_no(spark.createDataFrame(YES_NO_ROWS, "k int, zero_one string, one_two string, words string"), ["zero_one", "one_two", "words"])
+
+
+ACI_CI = ci("aci", "n_eff")
+
+
+def aci_sql(by: str = "") -> str:
+    return (
+        V.WAVES_SQL
+        + f""", t AS (SELECT {by} 'supplies' AS item, {wmean('act', 'w', 'aware = 1', 'aci')}, {wmean('act', 'w', 'aware = 0', 'u')}, {wmean('aware', 'w', alias='share_aware')}, count(*) AS n_rows, {kish('w', 'aware = 1')} AS n_eff FROM v GROUP BY ALL)
+SELECT {by} item, 'Assemble or update supplies' AS label, round(aci, 6) AS aci, round(u, 6) AS p_did_if_unaware, round(share_aware, 6) AS share_aware, n_rows, round(n_eff, 4) AS n_eff,
+  round(1 - aci, 6) AS gap, round(aci / nullif(u, 0), 6) AS lift, round({ACI_CI[0]}, 6) AS ci_low, round({ACI_CI[1]}, 6) AS ci_high, true AS weighted FROM t"""
+    )
+
+
+def coerced(spark, sf):
+    return conversion.yes_no(V.waves(spark, sf), ["A3_supplies", "PREPB_supplies"], within=["survey_year"])
+
+
+PAIRS = {"supplies": ("A3_supplies", "PREPB_supplies")}
+
+
+@query(aci_sql())
+def aci_table(spark, sf):
+    return rounded(conversion.aci_table(coerced(spark, sf), PAIRS, "w"), n_eff=4)
+
+
+@query(aci_sql("survey_year,"))
+def aci_by_year(spark, sf):
+    return rounded(conversion.aci_table(coerced(spark, sf), PAIRS, "w", by=["survey_year"]), n_eff=4)
+
+
+@query(
+    V.SURVEY_SQL
+    + ", k AS (SELECT h2 AS stage, w_eu AS w FROM s WHERE h2 BETWEEN 1 AND 5 AND w_eu > 0) SELECT v.stage, label, round(coalesce(sum(w), 0) / (SELECT sum(w) FROM k), 6) AS share, count(k.stage) AS n_rows FROM (VALUES "
+    + ", ".join(f"({k}, '{v}')" for k, v in conversion.STAGES.items())
+    + ") v(stage, label) LEFT JOIN k ON v.stage = k.stage GROUP BY v.stage, label"
+)
+def stage_distribution(spark, sf):
+    return rounded(conversion.stage_distribution(survey(spark, sf), "h2", "w_eu")).withColumn("stage", F.col("stage").cast("int"))
+
+
+CROSSWALK = (("action_1", "supplies", "exact"), ("action_2", "supplies", "partial"), ("action_3", None, "none"))
+
+
+@query(
+    V.SURVEY_SQL
+    + LONG
+    + f""", t AS (SELECT item, {wmean('act', 'w', 'aware', 'p')}, {wmean('act', 'w', 'NOT aware', 'u')} FROM l GROUP BY item)
+, a AS ({aci_sql().replace('WITH w AS', 'WITH w AS')})
+SELECT home_item, other_item, match_quality, a.aci, round(t.p, 6) AS conversion, round(100 * (a.raw - t.p), 6) AS conversion_gap_pp, a.lift AS lift_other, round(t.p / nullif(t.u, 0), 6) AS lift_home,
+  'different recall windows: compare directions, never levels' AS note
+FROM (VALUES ('action_1', 'supplies', 'exact'), ('action_2', 'supplies', 'partial')) c(home_item, other_item, match_quality) JOIN a ON a.item = other_item JOIN t ON t.item = home_item""".replace("item, 'Assemble or update supplies' AS label,", "item, aci AS raw, 'Assemble or update supplies' AS label,")
+)
+def crosswalk_compare(spark, sf):
+    c = spark.createDataFrame(CROSSWALK, "home_item string, other_item string, match_quality string")
+    a = conversion.aci_table(coerced(spark, sf), PAIRS, "w")
+    return rounded(conversion.crosswalk_compare(c, a, indices.gap_table(survey(spark, sf), ITEMS, "w_eu", "aware")))
+
+
+# Item response
+
+BANK = tuple(
+    {"item": i, "discrimination": a, "difficulty": b, "p_observed": p}
+    for i, a, b, p in (("i_click", 1.2, -0.5, 0.6), ("i_view", 0.9, 0.1, 0.5), ("i_purchase", 1.5, 0.8, 0.3), ("i_error", 0.7, 1.4, 0.25), ("i_signup", 1.1, 2.0, 0.2))
+)
+
+
+def pattern_sql() -> str:
+    cols = ", ".join(V.BATTERY)
+    like = " * ".join(f"(CASE WHEN {r['item']} = 1 THEN 1 / (1 + exp(-{r['discrimination']}E0 * (t - ({r['difficulty']}E0)))) ELSE 1 - 1 / (1 + exp(-{r['discrimination']}E0 * (t - ({r['difficulty']}E0)))) END)" for r in BANK)
+    return (
+        V.BATTERY_SQL
+        + f""", p AS (SELECT {cols}, count(*) AS n FROM battery GROUP BY ALL), node AS (SELECT -4 + 0.1E0 * k AS t, exp(-0.5E0 * (-4 + 0.1E0 * k) * (-4 + 0.1E0 * k)) AS w FROM range(81) r(k)),
+m AS (SELECT p.*, t, w * {like} AS l FROM p, node), e AS (SELECT {cols}, n, sum(t * l) / sum(l) AS theta FROM m GROUP BY ALL)
+"""
+    )
+
+
+@query(V.BATTERY_SQL + f"SELECT {', '.join(V.BATTERY)}, count(*) AS n FROM battery GROUP BY ALL")
+def irt_patterns(spark, sf):
+    return irt.patterns(V.battery(spark, sf), V.BATTERY)
+
+
+@query(pattern_sql() + f"SELECT {', '.join(V.BATTERY)}, n, round(theta, 6) AS theta FROM e")
+def irt_eap_fixed_bank(spark, sf):
+    return irt.eap(irt.patterns(V.battery(spark, sf), V.BATTERY), BANK).withColumn("theta", F.round("theta", 6))
+
+
+@query(pattern_sql() + f"SELECT user_id, CAST(day AS VARCHAR) AS day, round(theta, 6) AS theta FROM battery JOIN e USING ({', '.join(V.BATTERY)})")
+def irt_score_persons(spark, sf):
+    return irt.score_persons(V.battery(spark, sf), V.BATTERY, BANK).select("user_id", F.col("day").cast("string").alias("day"), F.round("theta", 6).alias("theta"))
+
+
+@query(
+    pattern_sql()
+    + ", f AS ("
+    + " UNION ALL ".join(f"SELECT '{r['item']}' AS item, n, {r['item']} AS x, 1 / (1 + exp(-{r['discrimination']}E0 * (theta - ({r['difficulty']}E0)))) AS p FROM e" for r in BANK)
+    + """), z AS (SELECT item, n, greatest(p * (1 - p), 1e-9) AS v, (x - p) * (x - p) / greatest(p * (1 - p), 1e-9) AS z2 FROM f),
+a AS (SELECT item, sum(n * v * z2) / sum(n * v) AS infit, sum(n * z2) / sum(n) AS outfit, sum(n)::BIGINT AS n FROM z GROUP BY item)
+SELECT item, round(infit, 6) AS infit, round(outfit, 6) AS outfit, n, NOT (infit BETWEEN 0.5 AND 1.5 AND outfit BETWEEN 0.5 AND 1.5) AS misfitting FROM a"""
+)
+def irt_item_fit_fixed_bank(spark, sf):
+    return rounded(irt.item_fit(irt.patterns(V.battery(spark, sf), V.BATTERY), BANK))
+
+
+PHI = "0.5E0 * (1 + sign(theta) * (1 - t * (0.254829592E0 + t * (-0.284496736E0 + t * (1.421413741E0 + t * (-1.453152027E0 + t * 1.061405429E0)))) * exp(-z * z)))"
+
+
+@query(pattern_sql() + f", g AS (SELECT *, abs(theta) / sqrt(2.0E0) AS z FROM e), h AS (SELECT *, 1 / (1 + 0.3275911E0 * z) AS t FROM g) SELECT {', '.join(V.BATTERY)}, round(100 * {PHI}, 1) AS pri FROM h")
+def theta_to_pri(spark, sf):
+    t = irt.eap(irt.patterns(V.battery(spark, sf), V.BATTERY), BANK)
+    return t.select(*V.BATTERY, irt.theta_to_score("theta").alias("pri"))
+
+
+@query("SELECT * FROM (VALUES ('high discrimination', 3, 1.267E0, 0.767E0, 'i_click, i_purchase, i_signup'), ('low discrimination', 2, 0.8E0, 0.75E0, 'i_view, i_error')) v(\"group\", n_items, mean_a, mean_b, items)")
+def irt_dimensionality(spark, sf):
+    return irt.dimensionality(irt.bank_frame(spark, BANK)).withColumn("n_items", F.col("n_items").cast("int"))
+
+
+def simulated(spark, n: int = 6000, seed: int = 5) -> DataFrame:
+    """Answers to four items of known parameters, with a group column; made by Spark."""
+    t = spark.range(n).withColumn("theta", F.randn(seed)).withColumn("grp", F.when(F.col("id") % 4 == 0, "target").otherwise("rest"))
+    for k, (a, b) in enumerate(((1.2, -1.5), (1.4, -0.5), (1.1, 0.5), (1.3, 1.5))):
+        t = t.withColumn(f"act_i{k}", (F.rand(seed + 1 + k) < 1 / (1 + F.exp(-a * (F.col("theta") - b)))).cast("double"))
+    return t
+
+
+SIMULATED = tuple(f"act_i{k}" for k in range(4))
+
+
+@query()
+def irt_fit_2pl(spark, sf):
+    return rounded(irt.bank_frame(spark, irt.fit_2pl(irt.patterns(simulated(spark), SIMULATED), SIMULATED)), 3)
+
+
+@query()
+def irt_transfer(spark, sf):
+    r = irt.transfer(simulated(spark), SIMULATED, "grp", "target")
+    cols = ("target", "n_target", "n_calibration_pooled", "n_calibration_native", "theta_correlation", "theta_rank_correlation", "difficulty_correlation", "mean_abs_pri_difference", "passes_transfer")
+    return rounded(spark.createDataFrame([tuple(r[c] for c in cols)], "target string, n_target long, n_calibration_pooled long, n_calibration_native long, theta_correlation double, theta_rank_correlation double, difficulty_correlation double, mean_abs_pri_difference double, passes_transfer boolean"), 3)
+
+
+@query()
+def irt_face_validity(spark, sf):
+    rows = irt.face_validity(BANK)
+    return spark.createDataFrame([(r["check"], r["b_harder"], r["b_easier"], bool(r["pass"])) for r in rows], "check string, b_harder double, b_easier double, pass boolean")
+
+
+@query()
+def holdout_difficulty_compare(spark, sf):
+    r = irt.transfer(simulated(spark), SIMULATED, "grp", "target")
+    return rounded(irt.difficulty_comparison(spark, r["pooled"], r["native"]), 3)
+
+
+# Gate and driver models
+
+TARGETS = {"prep_agree": 0.35, "act1_share": 0.50, "water_over_7d": 0.16}
+
+
+@query(
+    V.SURVEY_SQL
+    + f""", o AS (SELECT {wmean('CAST(coalesce(prep >= 3, false) AS INT)', 'w_eu', alias='a')}, {wmean('act1', 'w_eu', alias='b')}, {wmean('CAST(coalesce(d1 = 4, false) AS INT)', 'w_eu', alias='c')} FROM s),
+l AS (SELECT 'prep_agree' AS "check", 0.35E0 AS published, a AS v FROM o UNION ALL SELECT 'act1_share', 0.5E0, b FROM o UNION ALL SELECT 'water_over_7d', 0.16E0, c FROM o)
+SELECT "check", published, round(v, 4) AS computed, round(v - published, 4) AS delta, abs(v - published) <= 0.03E0 AS "pass" FROM l"""
+)
+def gate_report(spark, sf):
+    computed = {"prep_agree": E.weighted_share("prep_agree", "w_eu", missing_as_no=True), "act1_share": E.weighted_share("act1", "w_eu"), "water_over_7d": indices.over_a_week("d1", "w_eu")}
+    return gate.run_gate(survey(spark, sf), [gate.Check(k, c, TARGETS[k]) for k, c in computed.items()])
+
+
+QUERIES["gate"] = QUERIES.pop("gate_report")
+SQL["gate"] = SQL.pop("gate_report")
+
+
+@query()
+def ordered_probit(spark, sf):
+    fits = {c: probit.fit(survey(spark, sf), c, ["age_band"], ["prep"]) for c in ("d1", "d3")}
+    rows = [tuple(r.values()) for r in probit.summary(fits)]
+    return spark.createDataFrame([(*r[:6], bool(r[6])) for r in rows], "domain string, n long, accuracy double, baseline double, lift double, pseudo_r2 double, beats_baseline boolean")
+
+
+FEATURES, DEMOGRAPHIC, TREES = ("prep", "barrier", "age_band", "l_quantity_band"), ("age_band",), 10
+
+
+def drivers(spark, sf):
+    s = survey(spark, sf).withColumn("pgi", indices.person_gap(list(ITEMS.values()), "aware"))
+    return s.withColumn("l_quantity_band", F.floor(F.col("w_national") / 10).cast("double")).where("pgi IS NOT NULL")
+
+
+@query()
+def gap_model_comparison(spark, sf):
+    rows = boost.comparison(drivers(spark, sf), FEATURES, DEMOGRAPHIC, "pgi", "region", TREES)
+    return rounded(spark.createDataFrame([tuple(r.values()) for r in rows], "model string, n_features long, r2_oof double, mae_oof double"), 4)
+
+
+@query()
+def gap_importance(spark, sf):
+    d = drivers(spark, sf)
+    _, _, model = boost.out_of_fold(d, FEATURES, "pgi", "region", TREES)
+    rows = boost.importance(model, boost.design(d, FEATURES, "pgi", "region"), FEATURES)
+    return rounded(spark.createDataFrame([tuple(r.values()) for r in rows], "feature string, mae_rise double, gain double"), 4)
+
+
+# Extension: event-time windows
+
+E_CI = "CAST(date_trunc('day', ts) AS TIMESTAMP)"
+
+
+@query(f"SELECT {E_CI} AS window_start, event_type, round(sum(value * weight) / sum(weight), 6) AS mean, count(*) AS n_rows, round(sum(weight) * sum(weight) / sum(weight * weight), 4) AS n_eff FROM (SELECT *, 1.0E0 + user_id % 3 AS weight FROM events) GROUP BY 1, 2")
+def daily_event_estimates(spark, sf):
+    from ..streaming.estimates import windowed_estimates
+
+    e = V.read(spark, sf, "events").withColumn("weight", 1.0 + F.col("user_id") % 3)
+    return rounded(windowed_estimates(e, "ts", "event_type", "value", "weight"), n_eff=4)
+
 
-QUERIES: dict = {}
-SQL: dict = {}

@@ -1 +1 @@
-"""sources"""
+"""Readers and result tables."""

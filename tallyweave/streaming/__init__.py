@@ -1 +1 @@
-"""streaming"""
+"""Additive estimators over streams (an extension)."""
