@@ -113,7 +113,7 @@ def fit(df: DataFrame, outcome: str, numeric: Sequence[str], categorical: Sequen
         p_value = math.erfc(abs(z) / math.sqrt(2)) if s > 0 else float("nan")
         table.append({"term": name, "coef": b / sc, "std_err": s / sc, "z": z, "p_value": p_value, "significant": p_value < 0.05})
     table.sort(key=lambda r: -abs(r["z"]))
-    return {"n": int(n.sum()), "accuracy": float(hit), "baseline": float(share.max()), "lift": float(hit - share.max()), "pseudo_r2": float(1 - value / null), "thresholds": c[1:-1].tolist(), "levels": levels.tolist(), "coefficients": table}
+    return {"n": int(n.sum()), "accuracy": float(hit), "baseline": float(share.max()), "lift": float(hit - share.max()), "pseudo_r2": float(1 - value / null), "thresholds": (c[1:-1] + (mean[keep] * beta / scale).sum()).tolist(), "levels": levels.tolist(), "coefficients": table}
 
 
 def summary(fits: dict[str, dict]) -> list[dict]:

@@ -1,6 +1,7 @@
 """The engine's own queries over the star schema, each with the SQL that gives the same rows.
 
-Figures are rounded on both sides, so that the order of summation doesn't show.
+Figures are rounded on both sides, so that the order of summation doesn't show; three-valued flags are
+returned as doubles.
 """
 
 from __future__ import annotations
@@ -176,15 +177,15 @@ def clean_off_scale(spark, sf):
     return s.select("l_orderkey", "l_linenumber", "price", "h1", "d1", "na1", "dk1", "h4", "d4", "na4")
 
 
-@query(V.SURVEY_SQL + f"SELECT {KEY}, q_prep, prep, prep >= 3 AS agree, CAST(coalesce(prep >= 3, false) AS BIGINT) AS topline FROM s")
+@query(V.SURVEY_SQL + f"SELECT {KEY}, q_prep, prep, CAST(CAST(prep >= 3 AS INT) AS DOUBLE) AS agree, CAST(coalesce(prep >= 3, false) AS BIGINT) AS topline FROM s")
 def clean_agree_scales(spark, sf):
-    return survey(spark, sf).select("l_orderkey", "l_linenumber", "price", "q_prep", "prep", F.col("prep_agree").alias("agree"), F.col("prep_topline").cast("long").alias("topline"))
+    return survey(spark, sf).select("l_orderkey", "l_linenumber", "price", "q_prep", "prep", F.col("prep_agree").cast("double").alias("agree"), F.col("prep_topline").cast("long").alias("topline"))
 
 
-@query(V.SURVEY_SQL + f"SELECT {KEY}, act1, act5, CASE WHEN NOT adk THEN CAST(a1 + a2 + a3 + a4 + a5 AS DOUBLE) END AS n_actions, CASE WHEN NOT adk THEN a1 + a2 + a3 + a4 + a5 > 0 END AS took_any FROM s")
+@query(V.SURVEY_SQL + f"SELECT {KEY}, act1, act5, CASE WHEN NOT adk THEN CAST(a1 + a2 + a3 + a4 + a5 AS DOUBLE) END AS n_actions, CASE WHEN NOT adk THEN CAST(CAST(a1 + a2 + a3 + a4 + a5 > 0 AS INT) AS DOUBLE) END AS took_any FROM s")
 def clean_battery_dk(spark, sf):
     n = X.row_sum([f"act{i}" for i in range(1, 6)])
-    return survey(spark, sf).select("l_orderkey", "l_linenumber", "price", "act1", "act5", n.alias("n_actions"), (n > 0).alias("took_any"))
+    return survey(spark, sf).select("l_orderkey", "l_linenumber", "price", "act1", "act5", n.alias("n_actions"), (n > 0).cast("double").alias("took_any"))
 
 
 @query(V.SURVEY_SQL + "SELECT country, country_grouped, region, count(*) AS n FROM s GROUP BY ALL")
@@ -235,9 +236,9 @@ def scored(spark, sf):
     return indices.horizon_index(survey(spark, sf), V.DOMAINS, V.NOT_APPLICABLE)
 
 
-@query(V.RHI_SQL + f"SELECT {KEY}, rhi_n_domains::BIGINT AS rhi_n_domains, rhi_band, rhi_days, rhi_binding_domain, rhi_partial FROM r")
+@query(V.RHI_SQL + f"SELECT {KEY}, rhi_n_domains::BIGINT AS rhi_n_domains, rhi_band, rhi_days, rhi_binding_domain, CAST(CAST(rhi_partial AS INT) AS DOUBLE) AS rhi_partial FROM r")
 def rhi_respondents(spark, sf):
-    return scored(spark, sf).select("l_orderkey", "l_linenumber", "price", F.col("rhi_n_domains").cast("long").alias("rhi_n_domains"), "rhi_band", "rhi_days", "rhi_binding_domain", "rhi_partial")
+    return scored(spark, sf).select("l_orderkey", "l_linenumber", "price", F.col("rhi_n_domains").cast("long").alias("rhi_n_domains"), "rhi_band", "rhi_days", "rhi_binding_domain", F.col("rhi_partial").cast("double").alias("rhi_partial"))
 
 
 BOUNDS = f"round({wmean('CAST(rhi_band = 1 AS INT)', 'w_eu')}, 6) AS below_target_certain, round({wmean('CAST(rhi_band <= 2 AS INT)', 'w_eu')}, 6) AS below_target_upper"
@@ -249,7 +250,7 @@ def rhi_target_bounds(spark, sf):
     return rounded(one.withColumn("target_days", F.lit(indices.TARGET_DAYS)))
 
 
-BANDS_SQL = f"SELECT b AS band, label, round({wmean('CAST(rhi_band = b AS INT)', '{w}')}, 6) AS share FROM r, (VALUES " + ", ".join(f"({b}, '{t}')" for b, t in indices.BAND_LABELS.items()) + ") v(b, label) {where} GROUP BY b, label"
+BANDS_SQL = f"SELECT b AS band, label, round({wmean('CAST(rhi_band = b AS INT)', '{w}')}, 6) AS share FROM (VALUES " + ", ".join(f"({b}, '{t}')" for b, t in indices.BAND_LABELS.items()) + ") v(b, label) LEFT JOIN (SELECT * FROM r {where}) r ON true GROUP BY b, label"
 
 
 @query(V.RHI_SQL + BANDS_SQL.replace("{w}", "w_eu").replace("{where}", ""))
@@ -672,14 +673,15 @@ def gap_importance(spark, sf):
 
 # Extension: event-time windows
 
-E_CI = "CAST(date_trunc('day', ts) AS TIMESTAMP)"
+DAY = "strftime(ts, '%Y-%m-%d')"
 
 
-@query(f"SELECT {E_CI} AS window_start, event_type, round(sum(value * weight) / sum(weight), 6) AS mean, count(*) AS n_rows, round(sum(weight) * sum(weight) / sum(weight * weight), 4) AS n_eff FROM (SELECT *, 1.0E0 + user_id % 3 AS weight FROM events) GROUP BY 1, 2")
+@query(f"SELECT {DAY} AS window_start, event_type, round(sum(value * weight) / sum(weight), 6) AS mean, count(*) AS n_rows, round(sum(weight) * sum(weight) / sum(weight * weight), 4) AS n_eff FROM (SELECT *, 1.0E0 + user_id % 3 AS weight FROM events) GROUP BY 1, 2")
 def daily_event_estimates(spark, sf):
     from ..streaming.estimates import windowed_estimates
 
     e = V.read(spark, sf, "events").withColumn("weight", 1.0 + F.col("user_id") % 3)
-    return rounded(windowed_estimates(e, "ts", "event_type", "value", "weight"), n_eff=4)
+    out = rounded(windowed_estimates(e, "ts", "event_type", "value", "weight"), n_eff=4)
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
