@@ -38,7 +38,9 @@ from .common import by_value, materialize, n_partitions, read_documents
 by_value(__name__)
 
 ORDER, QUANTILE, SLACK = 4, 0.99, 1.1
-CHUNK_BYTES, SHARDS = 8 << 20, 16
+CHUNK_BYTES, SHARDS = 4 << 20, 16
+#: Text that is counted at a time, and distinct n-grams that a task holds before it hands them on.
+COUNT_BYTES, COUNT_GRAMS = 1 << 20, 2_000_000
 BROADCAST_IDS = 1_000_000
 
 _SPACE = re.compile(rb"[\x00-\x20]+")
@@ -54,8 +56,9 @@ def grams(text: bytes, order: int) -> np.ndarray:
     return g
 
 
-def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
-    return ((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(shards)
+def mixed(gram: np.ndarray) -> np.ndarray:
+    """A permutation of the 32-bit n-grams; its top bits are the shard."""
+    return (gram.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ np.uint32(0x7F4A7C15)
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -95,16 +98,17 @@ CHUNK = "key long, chunk long, ids array<long>, langs array<string>, trusted arr
 def chunk_rows(chunk: int, rows: list[tuple], order: int, shards: int, splits: int) -> pa.RecordBatch:
     """The chunk's own row (key: its number) and a row for each shard (key: -1 - shard - shards * split)."""
     ids, langs, trusted, texts = zip(*rows)
-    found = [np.unique(grams(t, order), return_counts=True) for t in texts]
+    found = [np.unique(mixed(grams(t, order)), return_counts=True) for t in texts]
     g = np.concatenate([f[0] for f in found])
     n = np.concatenate([f[1] for f in found])
-    doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
     sizes = np.array([int(f[1].sum()) for f in found], np.uint32)
     out = [(chunk, chunk, ids, langs, trusted, sizes.astype("<u4").tobytes(), None)]
-    shard = shard_of(g, shards)
-    order_ = np.lexsort((doc, g, shard))
-    g, n, doc, shard = g[order_], n[order_], doc[order_], shard[order_]
-    cuts = np.searchsorted(shard, np.arange(shards + 1))
+    # by gram, then by document
+    key = g.astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(len(found), dtype=np.uint64), [len(f[0]) for f in found])
+    at = np.argsort(key)
+    key, n = key[at], n[at]
+    g, doc = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    cuts = np.searchsorted(g, np.arange(shards, dtype=np.uint64) << np.uint64(32 - shards.bit_length() + 1)).tolist() + [len(g)]
     for s in range(shards):
         a, b = cuts[s], cuts[s + 1]
         if a == b:
@@ -124,6 +128,8 @@ def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     """(id, lang, trusted, n_grams, perplexity) of every row. ``trusted``: a column ``id``, distinct."""
     if not 2 <= order <= 4:
         raise ValueError("perplexities: the order is 2 to 4")
+    if shards & (shards - 1):
+        raise ValueError("perplexities: the number of shards is a power of two")
     spark = df.sparkSession
     t = df.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").cast("binary").alias("t"))
     trusted = materialize(trusted.select(F.col("id").cast("long").alias("id"), F.lit(True).alias("trusted")), "trusted")
@@ -144,13 +150,37 @@ def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
             yield chunk_rows(part + n_chunks, rows, order, shards, splits)
 
     def batch_grams(batches):
+        # n-grams and their trusted counts so far, in order
+        g, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n)], names=["gram", "n"])
+
+        def add(g, n, parts, weight):
+            more, counts = np.unique(np.concatenate(parts), return_counts=True)
+            every = np.unique(np.concatenate([g, more]))
+            total = np.zeros(len(every), np.int64)
+            total[np.searchsorted(every, g)] = n
+            if weight:
+                total[np.searchsorted(every, more)] += counts
+            return every, total
+
+        held: dict[bool, list] = {True: [], False: []}
+        size = {True: 0, False: 0}
         for b in batches:
-            ok = np.array(b.column("trusted").to_pylist(), bool)
-            parts = [grams(x or b"", order) for x in b.column("t").to_pylist()]
-            g, at = np.unique(np.concatenate(parts or [np.zeros(0, np.uint32)]), return_inverse=True)
-            weight = np.repeat(ok, [len(x) for x in parts])
-            n = np.bincount(at, weight, len(g)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n)], names=["gram", "n"])
+            for ok, x in zip(b.column("trusted").to_pylist(), b.column("t").to_pylist()):
+                held[ok].append(grams(x or b"", order))
+                size[ok] += len(x or b"")
+                if size[ok] >= COUNT_BYTES:
+                    g, n = add(g, n, held[ok], ok)
+                    held[ok], size[ok] = [], 0
+                    if len(g) >= COUNT_GRAMS:
+                        yield out()
+                        g, n = g[:0], n[:0]
+        for ok in held:
+            if held[ok]:
+                g, n = add(g, n, held[ok], ok)
+        yield out()
 
     every = t.select("trusted", "t").mapInArrow(batch_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     every = materialize(every, "grams")
@@ -159,8 +189,8 @@ def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     def spread(batches):
         for b in batches:
             g = b.column("gram").to_numpy()
-            s = shard_of(g, shards).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(s), b.column("gram"), pa.array(np.log(b.column("p").to_numpy()))], names=["shard", "gram", "logp"])
+            m = mixed(g).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(m >> (32 - shards.bit_length() + 1)), pa.array(m), pa.array(np.log(b.column("p").to_numpy()))], names=["shard", "gram", "logp"])
 
     p = p.mapInArrow(spread, "shard long, gram long, logp double")
     p = p.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
