@@ -83,7 +83,8 @@ def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not all(known) or any("," in i for i in known.values()):
         raise ValueError("scan_licences: a sentence is empty or an identifier has a comma")
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    parts = F.split(text, r"[.!?]+(?=[ \t\r\n]|$)|[\r\n]+")
+    # a run of marks is tried from its start alone, so that long runs take linear time
+    parts = F.split(text, r"(?<![.!?])[.!?]++(?=[ \t\r\n]|$)|[\r\n]++")
     norm = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     norm = F.filter(norm, lambda s: (F.length(s) > 0) & (F.length(s) <= longest))
     table = F.create_map(*[F.lit(x) for s, i in known.items() for x in (s, i)])

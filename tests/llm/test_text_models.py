@@ -99,6 +99,7 @@ def test_licence_rules(spark):
         (7, "a " * 200_000 + ".\nAll rights reserved!", "All-Rights-Reserved", "proprietary", "All-Rights-Reserved", "all-rights"),
         (7, "Licensed under the Apache License, Version 2.0 (the \"License\").", "Apache-2.0", "permissive", "Apache-2.0", "apache-2.0-ref"),
         (None, "not a licence", None, "none", "", ""),
+        (8, "!" * 500_000 + "x\nReleased under the MIT License...\n" + "?!" * 300_000, "MIT", "permissive", "MIT", "mit-ref"),
     ]
     df = spark.createDataFrame([(i, t, "x") for i, t, *_ in rows], "doc_id long, text string, ids string")
     got = sorted(((r.doc_id, r.licence, r.licence_class, r.licences, r.sentence_ids) for r in licences.scan_licences(df).collect()), key=str)
