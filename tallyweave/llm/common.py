@@ -23,6 +23,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES, DEFAULT_BATCH = 4 << 20, f"{64 << 20}b"
+
 _own_dir: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 
@@ -47,6 +49,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let this session's Arrow batches hold ``BATCH_BYTES`` at most, unless it has a limit of its own.
+
+    Texts reach Python in batches, and each worker, and the executor that feeds it, holds some at a time:
+    the default of 64 MB is too much for small executors.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == DEFAULT_BATCH:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

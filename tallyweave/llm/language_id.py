@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, read_documents
+from .common import by_value, read_documents, small_batches
 
 by_value(__name__)
 
@@ -153,6 +153,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     some = some.orderBy(F.xxhash64("id"), "id").limit(sample_docs).dropDuplicates(["id"])
     text = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
 
+    small_batches(df.sparkSession)
+
     def cut(batches):
         for b in batches:
             labels, xs = [], []
@@ -221,6 +223,8 @@ def predictor(net: Network | None, at_once: int = 256):
 def identify(df: DataFrame, net: Network | None, text_col: str = "text", label_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``df`` with the predicted label and its score; the prediction sees the text alone."""
 
+    small_batches(df.sparkSession)
+
     @F.pandas_udf("struct<label: string, score: double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predict = predictor(net)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import pack_ints, unpack_ints
-from .common import by_value, materialize, n_partitions, read_documents
+from .common import by_value, materialize, n_partitions, read_documents, small_batches
 
 by_value(__name__)
 
@@ -135,6 +135,7 @@ def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     trusted = materialize(trusted.select(F.col("id").cast("long").alias("id"), F.lit(True).alias("trusted")), "trusted")
     trusted = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
     t = t.join(trusted, "id", "left").select("id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "t")
+    small_batches(spark)
     splits = max(1, n_partitions(spark) // shards)
 
     def cut(batches):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, read_documents
+from .common import by_value, read_documents, small_batches
 
 by_value(__name__)
 
@@ -83,6 +83,8 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
         v.sort(key=lambda x: -len(x[0]))
     terms = {**{x: False for x in soft}, **{x: True for x in strict}}
 
+    small_batches(df.sparkSession)
+
     def judge(batches):
         automaton = ahocorasick.Automaton()
         for x, is_strict in terms.items():
