@@ -18,15 +18,17 @@ ignored. Documents longer than the capacity are cut into whole sequences, the fi
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, materialize, read_documents
+from .common import by_value, materialize, read_documents, small_batches
 
 by_value(__name__)
 
@@ -53,6 +55,28 @@ def load_tokenizer(path: str) -> dict:
     return {"pat_str": public_tokenizers.PATTERN, "mergeable_ranks": ranks, "special_tokens": special}
 
 
+#: Runs of white space this long are beyond the pattern engine's stack: such texts are encoded match by match.
+LONG_SPACE = re.compile(r"\s{10000}")
+
+
+def encoder(tokenizer: dict):
+    """A function from a text to its ids, special tokens included where their strings occur."""
+    whole = tiktoken.Encoding("texts", **{**tokenizer, "special_tokens": {}})
+    word = tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=tokenizer["mergeable_ranks"], special_tokens={})
+    special = tokenizer["special_tokens"]
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+    matches = regex.compile(tokenizer["pat_str"]).findall
+
+    def encode(text: str) -> list[int]:
+        if cut and cut.search(text):
+            return [i for part in cut.split(text) for i in ([special[part]] if part in special else encode(part))]
+        if LONG_SPACE.search(text):
+            return [i for w in matches(text) for i in word.encode_ordinary(w)]
+        return whole.encode_ordinary(text)
+
+    return encode
+
+
 def pack(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Runs (length, first rank, ranks, sequences, first sequence, offset) and the number of sequences.
 
@@ -106,15 +130,15 @@ def pack(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
 def token_pieces(df: DataFrame, tokenizer: dict, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
     """(id, piece, start, length, ids binary, shard, rank): ids are little-endian unsigned 32-bit."""
 
+    small_batches(df.sparkSession)
+
     def run(batches):
-        enc = tiktoken.Encoding("packing", **tokenizer)
-        special = list(tokenizer["special_tokens"])
+        encode = encoder(tokenizer)
         shard, rank = TaskContext.get().partitionId(), {}
         for b in batches:
             cols = [[] for _ in range(6)]
             for at, text in enumerate(b.column(1).to_pylist()):
-                text = text or ""
-                ids = enc.encode(text, allowed_special="all") if any(s in text for s in special) else enc.encode_ordinary(text)
+                ids = encode(text or "")
                 ids.append(end_id)
                 raw = np.array(ids, "<u4").tobytes()
                 n, start, piece = len(ids), 0, 0

@@ -50,6 +50,19 @@ def test_op4(spark):
         assert g.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
+def test_very_long_runs(spark):
+    """Runs that a backtracking pattern engine can't hold."""
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [" " * 1_200_000, "a  " + "\n" * 1_100_000 + "<|endoftext|>  b", "漢字" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+    got = packing.pack_documents(df, packing.load_tokenizer(P.path("byte_bpe_50k.json")), keep_ids=False).collect()
+    check_packing(got, {i: x + [0] for i, x in want.items()}, 2048)
+    ranks, _ = reference()
+    rows = bpe.encode(df, ranks, P.PATTERN).collect()
+    assert {r.doc_id: r.ids for r in rows if r.doc_id != 1} == {i: want[i] for i in (0, 2)}
+
+
 def test_op2(spark):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     docs = {r.doc_id: t.encode(r.text, add_special_tokens=False).ids + [0] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
