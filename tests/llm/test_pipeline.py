@@ -86,5 +86,10 @@ def test_run(spark, docs, tmp_path):
     assert cp.run(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_no_labels(spark):
+    df = spark.createDataFrame([(1, "a b", None, None, 3), (2, "1 2", None, None, 3), (3, None, None, None, None)], SCHEMA)
+    assert [r["doc_id"] for r in cp.identify_language(spark, df, SF).collect()] == [1]
+
+
 def test_names():
     assert [n for n, _ in cp.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "suffix_dedup", "best_fit_packing"]
