@@ -36,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, materialize, n_partitions, read_documents
+from .common import by_value, materialize, n_partitions, read_documents, small_batches
 
 by_value(__name__)
 
 LENGTH, GRAM = 400, 64
-#: Text that is hashed at a time, that a suffix array is built over, and beyond which an anchor is hot.
-AT_ONCE, BATCH_BYTES, HOT_BYTES = 1 << 20, 1 << 20, 4 << 20
+#: Text that is hashed at a time, that a suffix array is built over, beyond which an anchor is hot, and that is handed on at a time.
+AT_ONCE, BATCH_BYTES, HOT_BYTES, OUT_BYTES = 1 << 20, 1 << 19, 4 << 20, 4 << 20
+#: Windows of a region at most.
+REGION_WINDOWS = 4096
 #: Mask of a place among the text that is hashed at a time, two pieces at most.
 PLACE = (1 << 22) - 1
 
@@ -79,11 +81,15 @@ def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
-def regions_of(buf: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, start, windows) of the regions of the texts that end at ``ends`` in ``buf``."""
+def regions_of(buf: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(anchor, start, windows, many) of the regions of the texts that end at ``ends`` in ``buf``.
+
+    Neighbouring regions of equal hash, as in periodic text, are one of ``many`` anchors, in pieces of
+    ``REGION_WINDOWS`` at most.
+    """
     none = np.zeros(0, np.int64)
     if len(buf) < length:
-        return none, none, none
+        return none, none, none, none
     hashes = gram_hashes(buf, gram)
     # the low bits give way to the place: of equal hashes the first counts, and places differ
     low = window_minimum((hashes & ~U(PLACE)) | np.arange(len(hashes), dtype=U), length - gram + 1)
@@ -93,15 +99,24 @@ def regions_of(buf: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tup
     new[1:] &= (low[1:] != low[:-1]) | ~ok[:-1]
     starts = np.flatnonzero(new)
     if not len(starts):
-        return none, none, none
+        return none, none, none, none
     # a region ends where the next starts or the text's windows do
     stop = np.minimum(np.append(starts[1:], len(low)), ends[text[starts]] - length + 1)
-    return hashes[(low[starts] & U(PLACE)).astype(np.int64)].view(np.int64), starts, stop - starts
-
-
-def text_regions(texts: list[bytes], length: int, gram: int) -> list[tuple[list, list, list]]:
+    anchor = hashes[(low[starts] & U(PLACE)).astype(np.int64)].view(np.int64)
+    first = np.ones(len(starts), bool)
+    first[1:] = (anchor[1:] != anchor[:-1]) | (stop[:-1] != starts[1:])
+    at = np.flatnonzero(first)
+    anchors = np.diff(np.append(at, len(starts)))
+    anchor, starts, stop = anchor[at], starts[at], stop[np.append(at[1:], len(stop)) - 1]
+    pieces = -(-(stop - starts) // REGION_WINDOWS)
+    own = np.repeat(np.arange(len(at)), pieces)
+    begin = starts[own] + REGION_WINDOWS * (np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return anchor[own], begin, np.minimum(stop[own] - begin, REGION_WINDOWS), (anchors > 1)[own].astype(np.int64)
+
+
+def text_regions(texts: list[bytes], length: int, gram: int) -> list[tuple[list, list, list, list]]:
     """The regions of each text, AT_ONCE bytes at a time. Long texts are cut with windows whole."""
-    out: list[tuple[list, list, list]] = [([], [], []) for _ in texts]
+    out: list[tuple[list, list, list, list]] = [([], [], [], []) for _ in texts]
     held, size = [], 0
 
     def flush() -> None:
@@ -109,13 +124,13 @@ def text_regions(texts: list[bytes], length: int, gram: int) -> list[tuple[list,
             return
         buf = np.frombuffer(b"".join(x[2] for x in held), np.uint8)
         ends = np.cumsum([len(x[2]) for x in held])
-        anchor, start, windows = regions_of(buf, ends, length, gram)
+        anchor, start, windows, many = regions_of(buf, ends, length, gram)
         of = np.searchsorted(ends, start, "right")
         shift = np.array([x[1] for x in held]) - np.append(0, ends[:-1])
         at = np.searchsorted(of, np.arange(len(held) + 1))
         start = start + shift[of]
         for k, (i, _, _) in enumerate(held):
-            for col, v in zip(out[i], (anchor, start, windows)):
+            for col, v in zip(out[i], (anchor, start, windows, many)):
                 col.extend(v[at[k] : at[k + 1]].tolist())
         held.clear()
 
@@ -136,10 +151,11 @@ def ranks(keys: np.ndarray) -> np.ndarray:
     """Dense ranks of the keys."""
     order = np.argsort(keys)
     s = keys[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    out = np.empty(len(s), np.int64)
-    out[order] = np.cumsum(new) - 1
+    new = np.zeros(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    del s
+    out = np.empty(len(new), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
     return out
 
 
@@ -152,14 +168,16 @@ def prefix_ranks(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
         m = len(x[o::8])
         x[o::8] = np.frombuffer(padded[o : o + 8 * m].tobytes(), ">u8")
     r, size = ranks(x), 8
+    del x
     while 2 * size <= length:
-        far = np.zeros(n, np.int64)
-        far[: n - size] = r[size:]
-        r = ranks(r * (n + 1) + far)
+        pair = r.astype(np.int64)
+        pair *= n + 1
+        pair[: n - size] += r[size:]
+        r = ranks(pair)
         size *= 2
     if size == length:
         return ranks(r[at])
-    return ranks(r[at] * (n + 1) + r[np.minimum(at + length - size, n - 1)])
+    return ranks(r[at].astype(np.int64) * (n + 1) + r[np.minimum(at + length - size, n - 1)])
 
 
 def smaller_positions(position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,13 +219,14 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def shard_spans(group: list[tuple], length: int, first: bool) -> list[tuple[int, int, int]]:
-    """(row, from, to) of the bytes to remove, given the regions (anchor, row, start, windows, bytes) of whole anchors, in order."""
+    """(row, from, to) of the bytes to remove, given the regions (anchor, row, start, windows, bytes, many) of whole anchors, in order."""
     distinct: dict[tuple, list] = {}
-    for anchor, row, start, windows, raw in group:
-        distinct.setdefault((anchor, raw), []).append((row, start, windows))
     per_anchor: dict[int, int] = {}
-    for anchor, _ in distinct:
-        per_anchor[anchor] = per_anchor.get(anchor, 0) + 1
+    for anchor, row, start, windows, raw, many in group:
+        copies = distinct.setdefault((anchor, raw), [])
+        if not copies:
+            per_anchor[anchor] = per_anchor.get(anchor, 0) + 1 + many
+        copies.append((row, start, windows))
     out = []
     differ = []
     for (anchor, raw), copies in distinct.items():
@@ -268,6 +287,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if length < 2 * gram or gram < 8 or gram & (gram - 1):
         raise ValueError("repeated_spans: gram is a power of two, 8 at least, and half the length at most")
     spark, first = df.sparkSession, keep == "first"
+    small_batches(spark)
     t = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
 
     def scan(batches):
@@ -275,10 +295,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = b.column(1).to_pylist()
             found = text_regions(texts, length, gram)
             shas = [hashlib.sha256(x).digest() for x in texts]
-            cols = [pa.array([r[k] for r in found], pa.list_(kind)) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shas, pa.binary()), pa.array([len(x) for x in texts], pa.int64()), *cols], names=["id", "sha", "n_bytes", "anchor", "start", "windows"])
+            cols = [pa.array([r[k] for r in found], pa.list_(pa.int64())) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shas, pa.binary()), pa.array([len(x) for x in texts], pa.int64()), *cols], names=["id", "sha", "n_bytes", "anchor", "start", "windows", "many"])
 
-    rows = t.select("id", F.col("t").cast("binary")).mapInArrow(scan, "id long, sha binary, n_bytes long, anchor array<long>, start array<long>, windows array<long>")
+    rows = t.select("id", F.col("t").cast("binary")).mapInArrow(scan, "id long, sha binary, n_bytes long, anchor array<long>, start array<long>, windows array<long>, many array<long>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "regions")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
     reps = rows.groupBy("sha").agg(F.min(order).alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
@@ -286,28 +306,35 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # regions whose anchor another region has, too
     regions = rows.where("size(anchor) > 0").join(reps.select("row"), "row")
-    regions = regions.select("row", F.explode(F.arrays_zip("anchor", "start", "windows")).alias("r")).select("row", "r.*")
-    shared = regions.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("windows") + (length - 1)).alias("bytes"))
+    regions = regions.select("row", F.explode(F.arrays_zip("anchor", "start", "windows", "many")).alias("r")).select("row", "r.*")
+    shared = regions.groupBy("anchor").agg((F.count("*") + F.sum("many")).alias("n"), F.sum(F.col("windows") + (length - 1)).alias("bytes"))
     shared = materialize(shared.where("n > 1").select("anchor", (F.col("bytes") > hot_bytes).alias("hot")), "anchors")
-    regions = regions.join(shared, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "windows", "hot")).alias("rs"))
+    regions = regions.join(shared, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "windows", "many", "hot")).alias("rs"))
     regions = regions.join(reps.select("row", "id", "sha"), "row")
     with_text = t.withColumn("sha", F.unhex(F.sha2("t", 256))).select(F.col("id").alias("tid"), F.col("sha").alias("tsha"), F.col("t").cast("binary").alias("t"))
     cut = with_text.join(regions.hint("shuffle_hash"), (F.col("tsha") == F.col("sha")) & F.col("tid").eqNullSafe(F.col("id")))
 
     def extract(batches):
+        kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64(), pa.bool_()]
+        names = ["anchor", "id", "row", "start", "windows", "raw", "many", "hot"]
+        held, size = [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*held)) or [()] * 8, kinds)], names=names)
+
         for b in batches:
-            rows_, cols = b.column("row").to_pylist(), [[] for _ in range(6)]
-            ids = b.column("id").to_pylist()
-            for row, i, raw, rs in zip(rows_, ids, b.column("t").to_pylist(), b.column("rs").to_pylist()):
-                for r in rs:
-                    a = r["start"]
-                    for c, v in zip(cols, (r["anchor"], i, row, a, r["windows"], raw[a : a + r["windows"] + length - 1])):
-                        c.append(v)
-            hot = [r["hot"] for rs in b.column("rs").to_pylist() for r in rs]
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(hot, pa.bool_())], names=["anchor", "id", "row", "start", "windows", "raw", "hot"])
-
-    pieces = cut.select("row", "id", "t", "rs").mapInArrow(extract, "anchor long, id long, row long, start long, windows long, raw binary, hot boolean")
+            for row, i, t, rs in zip(*(b.column(c) for c in ("row", "id", "t", "rs"))):
+                raw, row, i = t.as_py(), row.as_py(), i.as_py()
+                for r in rs.as_py():
+                    at = r["start"]
+                    held.append((r["anchor"], i, row, at, r["windows"], raw[at : at + r["windows"] + length - 1], r["many"], r["hot"]))
+                    size += r["windows"] + length
+                    if size >= OUT_BYTES:
+                        yield out()
+                        held, size = [], 0
+        yield out()
+
+    pieces = cut.select("row", "id", "t", "rs").mapInArrow(extract, "anchor long, id long, row long, start long, windows long, raw binary, many long, hot boolean")
     pieces = materialize(pieces, "pieces")
     keys = ["anchor", F.col("id").asc_nulls_last(), "row", "start"]
     dealt = pieces.where("NOT hot").repartition(n_partitions(spark), "anchor").sortWithinPartitions(*keys)
@@ -320,7 +347,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         group, size, last = [], 0, None
         for b in batches:
-            for x in zip(*(b.column(c).to_pylist() for c in ("anchor", "row", "start", "windows", "raw"))):
+            for x in zip(*(b.column(c).to_pylist() for c in ("anchor", "row", "start", "windows", "raw", "many"))):
                 if last and x[:3] == last[:3]:
                     continue  # a row that repeats id and text met the regions twice
                 if last and x[0] != last[0] and size >= BATCH_BYTES:
@@ -346,12 +373,15 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     many = materialize(hot.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1"), "digests")
     hot = hot.join(many, ["d1", "d2"])
     hot = hot.where((F.col("first.row") != F.col("row")) | (F.col("first.from") != F.col("from"))) if first else hot
-    spans = spans.unionByName(hot.select("row", "from", (F.col("from") + length).alias("to")))
 
     @F.udf("array<struct<from: bigint, to: bigint>>", useArrow=True)
     def merge(found):
         return merged([(x["from"], x["to"]) for x in found])
 
+    # windows of a stretch of text first, so that a long text's are not gathered one by one
+    hot = hot.select("row", "from", (F.col("from") + length).alias("to"))
+    hot = hot.groupBy("row", F.floor(F.col("from") / REGION_WINDOWS)).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    spans = spans.unionByName(hot.select("row", merge("spans").alias("spans")).select("row", F.inline("spans")))
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("spans")).select("row", merge("spans").alias("spans"))
     per_text = materialize(reps.join(spans, "row", "left").select("sha", "row", "copies", "spans"), "spans")
     out = rows.select("id", "sha", "n_bytes", "row").join(per_text.withColumnRenamed("row", "rep"), "sha")
@@ -374,14 +404,15 @@ def cut_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for b in batches:
-            out, raws, spans_ = [], b.column("t").to_pylist(), b.column("spans").to_pylist()
-            for raw, ss in zip(raws, spans_):
-                at, parts = 0, []
-                for s in ss:
+            out, sizes = [], []
+            for t, found in zip(b.column("t"), b.column("spans")):
+                raw, at, parts = t.as_py(), 0, []
+                for s in found.as_py():
                     parts.append(raw[at : s["from"]])
                     at = s["to"]
-                out.append(b"".join([*parts, raw[at:]]) if ss else raw)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in raws], pa.int64()), b.column("spans"), pa.array(out, pa.binary())], names=["id", "n_bytes", "spans", "out"])
+                out.append(b"".join([*parts, raw[at:]]))
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), b.column("spans"), pa.array(out, pa.binary())], names=["id", "n_bytes", "spans", "out"])
 
     out = j.select("id", "t", "spans").mapInArrow(run, "id long, n_bytes long, spans array<struct<from: bigint, to: bigint>>, out binary")
     return out.select(F.col("id").alias(id_col), "n_bytes", "spans", F.col("out").alias(out_col))

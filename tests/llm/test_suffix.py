@@ -31,6 +31,7 @@ def random_rows(seed, length):
 @pytest.mark.parametrize("seed,length,gram,hot,keep", [(1, 40, 16, 1 << 22, "none"), (2, 40, 16, 1 << 22, "first"), (3, 64, 32, 300, "none"), (4, 50, 8, 0, "first"), (5, 32, 16, 2000, "none")])
 def test_spans_brute(spark, seed, length, gram, hot, keep, monkeypatch):
     monkeypatch.setattr(sd, "BATCH_BYTES", 500)
+    monkeypatch.setattr(sd, "REGION_WINDOWS", 100)
     rows = random_rows(seed, length)
     df = spark.createDataFrame([(*x, 0, 0, 0) for x in rows], "doc_id long, text string, id long, row long, spans long").coalesce(1)
     got = sd.repeated_spans(df, length=length, gram=gram, hot_bytes=hot, keep=keep).collect()
@@ -65,6 +66,20 @@ def test_repeated_rows_and_empty(spark):
     assert sd.repeated_spans(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1 << 20, 1 << 40])
+def test_periodic_text(spark, hot):
+    """A period puts an anchor at every place: regions must not multiply."""
+    n = 2_000_000
+    regions = sd.text_regions([b"z" * n], 400, 64)[0]
+    assert len(regions[0]) < n / 4000 and sum(regions[2]) == n - 399
+    rows = [(1, "z" * n), (2, "ab" * 300 + "unique"), (3, "0123456789" * 39)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in sd.repeated_spans(df, hot_bytes=hot).collect()}
+    assert got == {1: [(0, n)], 2: [(0, 600)], 3: []}
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in sd.repeated_spans(df, keep="first", hot_bytes=hot).collect()}
+    assert got == {1: [(1, n)], 2: [(2, 600)], 3: []}
+
+
 def test_texts_longer_than_a_piece(monkeypatch):
     r = random.Random(1)
     t = bytes(r.choice(b"abcd") for _ in range(5000))
