@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, n_partitions, read_documents
+from .common import by_value, n_partitions, read_documents, small_batches
 
 by_value(__name__)
 
@@ -97,9 +97,10 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - total + lens, lens) + np.arange(total[-1] if len(total) else 0)
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, buckets: int | None = None) -> DataFrame:
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, buckets: int | None = None) -> DataFrame:
     """(id, ids array<int>) of every row; each match of ``pattern`` is encoded by itself."""
     spark = df.sparkSession
+    small_batches(spark)
     buckets = buckets or n_partitions(spark)
 
     def cut(batches):
@@ -176,6 +177,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col
     """``df`` with the bytes of ``ids_col``'s tokens as ``out_col`` (null ids: null)."""
     if len(ranks) > MAX_TOKENS:
         raise ValueError(f"decode: more than {MAX_TOKENS} tokens")
+    small_batches(df.sparkSession)
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, i in ranks.items():
         table[i] = token
