@@ -88,7 +88,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more."""
+    spark, path = df.sparkSession, df._written_to
+    _written.remove((spark, path))
+    _remove(spark, path)
 
 
 def empty_text(col: str) -> F.Column:
@@ -116,7 +125,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        e = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, e = e, materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == last or now[0] == 0:
             break

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocked, by_value, materialize, n_partitions, named_components, read_documents, spanning, whole_groups
+from .common import blocked, by_value, materialize, n_partitions, named_components, read_documents, small_batches, spanning, whole_groups
 
 by_value(__name__)
 
@@ -76,6 +76,8 @@ def fingerprint(hashes: np.ndarray, bits: int) -> bytes:
 def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int = 3, bits: int = 64) -> DataFrame:
     """(id, fp binary, sha binary: SHA-256 of the text) of every row, each judged where it is read."""
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         for b in batches:
             texts = [x or b"" for x in b.column(1).to_pylist()]
@@ -87,36 +89,56 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int = 3, bits
     return t.mapInArrow(run, "id long, fp binary, sha binary")
 
 
+def joined(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Labels (each names a row that carries it) after the links left-right."""
+    while True:
+        a, b = label[left], label[right]
+        apart = a != b
+        if not apart.any():
+            return label
+        parent = np.arange(len(label))
+        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
 def chain_links(segments: np.ndarray, first: np.ndarray, group: np.ndarray, max_diff: int, chain: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of equal ``group`` that link. segments: (rows, m); first: each row's equal segment.
+    """Row pairs of equal ``group`` that link, enough of them to join all rows that links join.
 
-    Rows of a group stand together: shift s compares each row with the s-th after it.
+    segments: (rows, m); first: each row's equal segment. Rows of a group stand together: shift s compares
+    each row with the s-th after it, unless earlier links have joined the two already.
     """
     n, m = segments.shape
     found_l, found_r = [], []
-    left = np.arange(n - 1)
-    s = 0
+    label, left, s = np.arange(n), np.arange(n - 1), 0
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else left
     while len(left):
         s += 1
         left = left[left + s < n]
         left = left[group[left] == group[left + s]]
-        for at in range(0, len(left), PAIRS_AT_ONCE):
-            i = left[at : at + PAIRS_AT_ONCE]
+        todo = left[label[left] != label[left + s]]
+        for at in range(0, len(todo), PAIRS_AT_ONCE):
+            i = todo[at : at + PAIRS_AT_ONCE]
             spent = np.zeros(len(i), np.int64)
             for length in range(1, chain + 1):
                 k = (first[i] + length - 1) % m
                 spent = spent + np.bitwise_count(segments[i, k] ^ segments[i + s, k])
                 ok = spent * m <= length * max_diff
                 i, spent = i[ok], spent[ok]
+            i = i[np.bitwise_count(segments[i] ^ segments[i + s]).sum(axis=1, dtype=np.int64) <= max_diff]
             if len(i):
-                i = i[np.bitwise_count(segments[i] ^ segments[i + s]).sum(axis=1, dtype=np.int64) <= max_diff]
                 found_l.append(i)
                 found_r.append(i + s)
+                label = joined(label, i, i + s)
+        if s % 32 == 0:  # groups that hang together are done
+            whole = np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts)
+            left = left[~whole[np.searchsorted(starts, left, "right") - 1]]
     none = [np.zeros(0, np.int64)]
     return np.concatenate(found_l or none), np.concatenate(found_r or none)
 
 
-def hamming_groups(rows: DataFrame, bits: int = 64, max_diff: int = 3, segments: int = 4, chain: int = 3, block: int = 512) -> DataFrame:
+def hamming_groups(rows: DataFrame, bits: int = 64, max_diff: int = 3, segments: int = 4, chain: int = 3, block: int = 2048) -> DataFrame:
     """(fp, component) for each distinct fingerprint of ``rows`` (id, fp); components are named by the smallest id (null: none has any)."""
     if bits % segments or bits // segments != 16:
         raise ValueError("hamming_groups: segments are 16 bits wide")
