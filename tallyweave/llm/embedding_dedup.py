@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocked, by_value, materialize, n_partitions, named_components, read_documents, spanning, whole_groups
+from .common import blocked, by_value, materialize, n_partitions, named_components, read_documents, small_batches, spanning, whole_groups
 
 by_value(__name__)
 
 #: Cells aim at this many vectors; centroids are shipped with the tasks, so their number is bounded.
-CELL_ROWS, MAX_CELLS = 1000, 1024
+CELL_ROWS, MAX_CELLS = 2000, 1024
+#: Each length of vector has centroids of its own.
+MAX_LENGTHS = 16
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -58,9 +60,10 @@ def cells_of(x: np.ndarray, c: np.ndarray, sin_theta: float) -> tuple[np.ndarray
     return row, cell, own[row] == cell
 
 
-def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.98, sample: int = 20_000, block: int = 512) -> DataFrame:
+def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.98, sample: int = 20_000, block: int = 2048) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept."""
     spark = df.sparkSession
+    small_batches(spark)
     label = F.col(label_col) if label_col else F.lit(0)
     t = df.select(F.col(id_col).cast("long").alias("id"), label.cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
@@ -71,7 +74,9 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     t = t.select("id", "label", F.when(fine, F.transform("v", lambda x: x + F.lit(0.0))).alias("v"))
     vectors = t.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     vectors = materialize(vectors.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    dims = [r[0] for r in vectors.select(F.size("v").alias("d")).distinct().orderBy("d").limit(1000).collect()]
+    dims = [r[0] for r in vectors.select(F.size("v").alias("d")).distinct().limit(MAX_LENGTHS + 1).collect()]
+    if len(dims) > MAX_LENGTHS:
+        raise ValueError(f"embedding_groups: vectors of more than {MAX_LENGTHS} different lengths")
     total = vectors.count()
     centroids: dict[int, np.ndarray] = {}
     for d in dims:
