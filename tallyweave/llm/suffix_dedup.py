@@ -20,6 +20,9 @@ removes those later copies; ``keep="none"`` removes the earlier one too.
 An anchor whose regions exceed ``HOT_BYTES`` does not go to one task: its windows are counted by a
 128-bit digest in an ordinary aggregation, exact for the same question and split at will.
 
+``repeated_passages`` asks the same of words: texts become ``CODE`` bytes of hash per word, so that a
+passage of so many words is a string of fixed length, whatever its words' lengths and white space.
+
 Positions are ordered by (id, row). Matches never cross texts. Strings are judged on the input.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` keep every byte; rows that
@@ -33,6 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +49,8 @@ LENGTH, GRAM = 400, 64
 AT_ONCE, BATCH_BYTES, HOT_BYTES, OUT_BYTES = 1 << 20, 1 << 19, 4 << 20, 4 << 20
 #: Windows of a region at most.
 REGION_WINDOWS = 4096
+#: Bytes that stand for a word.
+CODE = 6
 #: Mask of a place among the text that is hashed at a time, two pieces at most.
 PLACE = (1 << 22) - 1
 
@@ -392,6 +398,53 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias(id_col), "sha", "n_bytes", F.when(whole, all_of_it).otherwise(F.coalesce("spans", none)).alias("spans"))
 
 
+def word_codes(text: bytes) -> bytes:
+    """``CODE`` bytes for each word."""
+    digest = xxhash.xxh64_intdigest
+    found = np.array([digest(w) for w in text.split()], "<u8")
+    return found.view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
+
+
+def word_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The bytes of ``text`` that spans of its word codes cover: whole words and the white space after them."""
+    words = text.split()
+    starts, at = [], 0
+    for w in words:
+        at = text.index(w, at)
+        starts.append(at)
+        at += len(w)
+    starts.append(len(text))
+    whole = [(-(-a // CODE), b // CODE) for a, b in spans]
+    return [(starts[a], starts[b]) for a, b in whole if a < b]
+
+
+def repeated_passages(df: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", keep: str = "first", gram: int = GRAM, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """(id, sha of the text, spans in its bytes) of the texts with passages of ``words`` words that start more than once."""
+
+    def encode(batches):
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            shas = [hashlib.sha256(x).digest() for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shas, pa.binary()), pa.array([word_codes(x) for x in texts], pa.binary())], names=["id", "tsha", "codes"])
+
+    small_batches(df.sparkSession)
+    t = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    codes = materialize(t.select("id", F.col("t").cast("binary")).mapInArrow(encode, "id long, tsha binary, codes binary"), "codes")
+    spans = repeated_spans(codes, "id", "codes", words * CODE, keep, gram, hot_bytes)
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
+    spans = spans.groupBy("id", "sha").agg(F.min_by("spans", covered).alias("spans")).where("size(spans) > 0")
+    own = codes.select(F.col("id").alias("cid"), "tsha", F.unhex(F.sha2("codes", 256)).alias("csha")).distinct()
+    spans = own.join(spans.hint("shuffle_hash"), (F.col("csha") == F.col("sha")) & F.col("cid").eqNullSafe(F.col("id"))).select("cid", "tsha", "spans")
+    texts = t.withColumn("sha", F.unhex(F.sha2("t", 256)))
+    found = texts.join(spans.hint("shuffle_hash"), (F.col("sha") == F.col("tsha")) & F.col("id").eqNullSafe(F.col("cid")))
+
+    @F.udf("array<struct<from: bigint, to: bigint>>", useArrow=True)
+    def in_bytes(text, found):
+        return word_spans(text.encode(), [(x["from"], x["to"]) for x in found])
+
+    return found.select(F.col("id").alias(id_col), "sha", in_bytes("t", "spans").alias("spans"))
+
+
 def cut_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "kept") -> DataFrame:
     """(id, n_bytes, spans, ``out_col`` binary: the bytes that stay), one row per row of ``df``.
 
