@@ -9,8 +9,8 @@ in at most l * max_diff / m bits, for every l. With m > max_diff the first of th
 equal segments are the index and nothing is lost; rows that share one meet in blocked cells (no
 task grows with a cell), the chain of ``chain`` segments is checked with its cumulative budgets, and
 what survives gets the full Hamming check. With m <= max_diff (wide fingerprints) a chain may start
-with an unequal segment: such pairs are found if any segment is equal. Then recall is a figure, not
-a guarantee: 1 - (1 - (1-p)^w)^m for segments of w bits and a share p of differing bits.
+with an unequal segment, which is not followed: a pair is found only if a chain that starts with an
+equal segment keeps its budgets. Then pairs within max_diff can be lost, more of them than have no equal segment at all.
 
 Copies never multiply: equal fingerprints are one row from the start, each task hands on a
 spanning set of links in place of all pairs, and groups come from distributed components.
