@@ -13,6 +13,8 @@ Conventions of every operator here:
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import sys
 import tempfile
 import uuid
@@ -38,11 +40,13 @@ by_value(__name__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if unset and the master is local (tests)."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("shared_dir: on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
         spark.conf.set("spark.checkpoint.dir", _own_dir)
@@ -60,6 +64,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def give_back() -> None:
+    """Hand a worker's free memory back: workers are reused, and what an idle one keeps stands beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def tidy(run):
+    """``run``, a function over batches, that gives its worker's free memory back at the end."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -104,6 +128,16 @@ def empty_text(col: str) -> F.Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def kept_rows(df: DataFrame, digest: F.Column, ident: F.Column, kept: DataFrame) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose digest and id (null-safe) are a row of ``kept`` (digest, id: distinct).
+
+    ``kept`` is the join's hashed side, so that a hot digest is on the streamed side alone.
+    """
+    d = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), digest.alias("own"), ident.alias("ident"))
+    same = (F.col("own") == F.col("digest")) & F.col("ident").eqNullSafe(F.col("id"))
+    return d.join(kept.select("digest", "id").hint("shuffle_hash"), same, "left_semi").select("row.*")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): component is the smallest node reachable.
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import empty_text, materialize, read_documents
+from .common import empty_text, kept_rows, materialize, read_documents
 
 #: White space that counts as one space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,17 +29,25 @@ def normalised(text: F.Column) -> F.Column:
     return F.regexp_replace(text, SPACE, " ")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
-    t = df.select(F.col(id_col).alias("id"), normalised(empty_text(text_col)).alias("t"))
-    digests = [F.unhex(F.md5("t")).alias("h"), F.unhex(F.sha2("t", 256)).alias("s")]
-    classes = t.select("id", "t", digests[0]).groupBy("h", "t").agg(F.min("id").alias("keep"), F.count("*").alias("size"))
-    classes = classes.select("h", digests[1], "keep", "size").groupBy("h", "s")
+def _digests(t: F.Column) -> list[F.Column]:
+    return [F.unhex(F.md5(t)).alias("h"), F.unhex(F.sha2(t, 256)).alias("s")]
+
+
+def classes_of(t: DataFrame) -> DataFrame:
+    """(h, s, keep, size) of each class of equal texts of ``t`` (id, t): a written table."""
+    h, s = _digests(F.col("t"))
+    classes = t.select("id", "t", h).groupBy("h", "t").agg(F.min("id").alias("keep"), F.count("*").alias("size"))
+    classes = classes.select("h", s, "keep", "size").groupBy("h", "s")
     classes = classes.agg(F.min("keep").alias("keep"), F.sum("size").alias("size"), F.count("*").alias("texts"))
     clash = F.raise_error(F.lit("exact_dedup: two texts share both digests"))
     classes = classes.select("h", "s", F.when(F.col("texts") > 1, clash.cast("long")).otherwise(F.col("keep")).alias("keep"), "size")
-    classes = materialize(classes, "classes")
-    out = t.select("id", *digests).join(classes, ["h", "s"])
+    return materialize(classes, "classes")
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
+    t = df.select(F.col(id_col).alias("id"), normalised(empty_text(text_col)).alias("t"))
+    out = t.select("id", *_digests(F.col("t"))).join(classes_of(t), ["h", "s"])
     return out.select(
         F.col("id").alias(id_col),
         F.col("keep").alias("keep_id"),
@@ -49,6 +57,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``exact_dedup`` calls kept, with all their columns."""
+    t = df.select(F.col(id_col).alias("id"), normalised(empty_text(text_col)).alias("t"))
+    keep = classes_of(t).select(F.struct("h", "s").alias("digest"), F.col("keep").alias("id"))
+    return kept_rows(df, F.struct(*_digests(normalised(empty_text(text_col)))), F.col(id_col), keep)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_documents(spark, sf_dir))
 

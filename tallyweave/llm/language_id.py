@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, read_documents, small_batches
+from .common import by_value, give_back, read_documents, small_batches, tidy
 
 by_value(__name__)
 
@@ -155,6 +155,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
     small_batches(df.sparkSession)
 
+    @tidy
     def cut(batches):
         for b in batches:
             labels, xs = [], []
@@ -230,6 +231,8 @@ def identify(df: DataFrame, net: Network | None, text_col: str = "text", label_o
         predict = predictor(net)
         for s in batches:
             yield pd.DataFrame(predict(s.tolist()), columns=["label", "score"])
+        del predict
+        give_back()
 
     name = next(n for n in (f"_prediction{k}" for k in range(len(df.columns) + 1)) if n not in df.columns)
     out = df.withColumn(name, run(F.col(f"`{text_col}`").cast("string")))
