@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from tallyweave.llm import simhash
-from tests_llm_support import brute_components, brute_spans, check_packing
+from tallyweave.llm.suffix_dedup import in_bytes
+from tests_llm_support import brute_components, brute_passages, brute_spans, check_packing, flag_runs, jaccard, shingles
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -25,6 +25,13 @@ def docs(spark):
     return spark.createDataFrame(rows, SCHEMA).coalesce(2)
 
 
+def covered(n, spans):
+    flags = np.zeros(n, bool)
+    for a, b in spans:
+        flags[a:b] = True
+    return flags
+
+
 def rows_of(df):
     return [tuple(r) for r in df.select("doc_id", "text", "lang", "source", "n_chars").collect()]
 
@@ -45,8 +52,8 @@ def test_stages_brute(spark, docs):
     assert sorted(map(str, two)) == sorted(map(str, best.values()))
 
     three = rows_of(cp.drop_near_copies(spark, spark.createDataFrame(two, SCHEMA), SF))
-    fps = [int.from_bytes(simhash.fingerprint(simhash.shingle_hashes(r[1].encode(), 5), 512), "big") for r in two]
-    near = [(a, b) for a in range(len(two)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 85]
+    sets = [shingles(r[1]) for r in two]
+    near = [(a, b) for a in range(len(two)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8]
     low = brute_components(range(len(two)), near)
     groups = defaultdict(list)
     for i, r in enumerate(two):
@@ -57,10 +64,12 @@ def test_stages_brute(spark, docs):
 
     four = rows_of(cp.cut_repeats(spark, spark.createDataFrame(three, SCHEMA), SF))
     by = {r[0]: r for r in four}
-    for r, spans in zip(three, brute_spans([(r[0], r[1]) for r in three], 400, True)):
+    rows = [(r[0], r[1]) for r in three]
+    for r, spans, passages in zip(three, brute_spans(rows, 400, True), brute_passages(rows, 51, True)):
         raw = r[1].encode()
         keep = np.ones(len(raw), bool)
-        for a, b in spans:
+        spans = spans + in_bytes(raw, passages)
+        for a, b in flag_runs(covered(len(raw), spans)):
             while a < len(raw) and raw[a] & 0xC0 == 0x80:
                 a += 1
             while b < len(raw) and raw[b] & 0xC0 == 0x80:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tallyweave.llm import suffix_dedup as sd
+from tests_llm_support import brute_passages
 from tests_llm_support import brute_spans as brute
 
 SF = "/root/testdata/sf0.001"
@@ -70,7 +71,7 @@ def test_repeated_rows_and_empty(spark):
 def test_periodic_text(spark, hot):
     """A period puts an anchor at every place: regions must not multiply."""
     n = 2_000_000
-    regions = sd.text_regions([b"z" * n], 400, 64)[0]
+    regions = sd.text_regions([np.full(n, 122, np.uint8)], 400, 64)[0]
     assert len(regions[0]) < n / 4000 and sum(regions[2]) == n - 399
     rows = [(1, "z" * n), (2, "ab" * 300 + "unique"), (3, "0123456789" * 39)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -82,9 +83,27 @@ def test_periodic_text(spark, hot):
 
 def test_texts_longer_than_a_piece(monkeypatch):
     r = random.Random(1)
-    t = bytes(r.choice(b"abcd") for _ in range(5000))
+    t = np.frombuffer(bytes(r.choice(b"abcd") for _ in range(5000)), np.uint8)
     whole = sd.text_regions([t], 100, 16)[0]
     monkeypatch.setattr(sd, "AT_ONCE", 700)
     parts = sd.text_regions([t], 100, 16)[0]
     of = lambda x: [a for a, n in zip(x[0], x[2]) for _ in range(n)]
     assert of(whole) == of(parts) and len(of(whole)) == 4901
+
+
+@pytest.mark.parametrize("seed,words,gram,hot,keep", [(1, 8, 2, 1 << 22, "none"), (2, 9, 4, 1 << 22, "first"), (3, 16, 8, 0, "first"), (4, 8, 4, 100, "none")])
+def test_passages_brute(spark, seed, words, gram, hot, keep, monkeypatch):
+    """Passages of words, whatever their white space; byte spans stay the same beside them."""
+    monkeypatch.setattr(sd, "BATCH_BYTES", 500)
+    r = random.Random(seed)
+    rows = [(i, t if t is None else t.replace(" ", r.choice([" ", "\n", " \t "]))) for i, t in random_rows(seed, 40)]
+    rows += [(200, "q " * 700), (201, "\xa0 \u3000" * 40)]
+    df = spark.createDataFrame([(*x, 0, 0, 0) for x in rows], "doc_id long, text string, id long, row long, words long").coalesce(1)
+    got = sd.cut_spans(df, sd.repeated_spans(df, length=40, gram=16, words=words, word_gram=gram, hot_bytes=hot, keep=keep)).collect()
+    first = keep == "first"
+    want = []
+    for (i, t), spans, passages in zip(rows, brute(rows, 40, first), brute_passages(rows, words, first)):
+        want.append((i, len((t or "").encode()), spans, sd.in_bytes((t or "").encode(), passages)))
+    key = lambda x: (str(x[0]), str(x[1:]))
+    assert sorted(((x.doc_id, x.n_bytes, sd.pairs(x.spans), sd.pairs(x.passages)) for x in got), key=key) == sorted(want, key=key)
+    assert any(p for *_, p in want)

@@ -1,5 +1,6 @@
 """Brute-force versions that several tests share."""
 
+import re
 import zlib
 from collections import defaultdict
 
@@ -65,3 +66,26 @@ def brute_spans(rows, length, first):
 def flag_runs(flags):
     d = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return list(zip(d[::2].tolist(), d[1::2].tolist()))
+
+
+def brute_passages(rows, words, first):
+    texts = [(t or "").encode().split() for _, t in rows]
+    seen = {}
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k)):
+        for p in range(len(texts[k]) - words + 1):
+            seen.setdefault(tuple(texts[k][p : p + words]), []).append((k, p))
+    gone = [np.zeros(len(t), bool) for t in texts]
+    for at in seen.values():
+        if len(at) > 1:
+            for k, p in at[1:] if first else at:
+                gone[k][p : p + words] = True
+    return [flag_runs(g) for g in gone]
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
