@@ -1,8 +1,13 @@
 """8. License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences (at line ends, and at ``.``, ``!``, ``?`` before white space), each
-is normalised (lower case, what is no letter or digit as one space), and known licence sentences become their identifiers. The
-sequence of a text's identifiers, in order and without what is unknown, is matched against ordered
+A text is cut into sentences: at ``.``, ``!``, ``?`` before white space, at lines without a letter or
+digit, before list items, and around copyright lines. A line end alone is white space, so wrapped
+sentences are whole, and comment marks at the start of a line are no letters. Sentences are normalised
+(lower case, what is no ASCII letter or digit as one space, an item's number away), and known licence sentences become
+their identifiers. A sentence that is not known is looked up in its parts, at ``:`` and ``;``, and
+those in their lines, so that a reference on a line of its own is found, too.
+
+The sequence of a text's identifiers, in order and without what is unknown, is matched against ordered
 rules: a rule is a sequence of identifiers that must occur in one run. The first rule that matches
 names the text's licence; all rules that match are listed.
 
@@ -74,21 +79,48 @@ RULES = (
 )
 
 
+#: Patterns that both engines of the tests read alike: blank lines, list items, copyright lines become the mark ``END``.
+END = "\x01"
+BREAKS = (
+    r"\n[^a-z0-9\n]*\n",
+    r"\n[ \t]*([-+\x{2022}]|[0-9]{1,2}[.)]|\([0-9a-z]{1,2}\))[ \t]",
+    r"(^|\n)[^a-z0-9\n]*copyright[ \t]*(\(c\)|\x{A9}|[0-9])[^\n.]*",
+)
+ITEM = "^([0-9]{1,2}|[a-h]|i|ii|iii|iv|v|vi) "
+#: A run of marks is tried from its start alone, so that long runs take linear time.
+SENTENCE_END, PART_END = END + r"|(?<![.!?])[.!?]++(?=[ \t\n]|\z)", r"[:;](?=[ \t\n]|\z)"
+
+
+def normal(s: F.Column) -> F.Column:
+    return F.regexp_replace(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")), ITEM, "")
+
+
 def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
     """One row per input row: id, sentence_ids (in order, comma-joined), licence, licence_class, licences (comma-joined, in rule order)."""
     if len(sentences) + len(rules) > MAX_TERMS:
         raise ValueError(f"scan_licences: more than {MAX_TERMS} sentences and rules")
     known: dict[str, str] = {s: i for i, s in sentences}
-    longest = max(map(len, known))
     if not all(known) or any("," in i for i in known.values()):
         raise ValueError("scan_licences: a sentence is empty or an identifier has a comma")
-    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    # a run of marks is tried from its start alone, so that long runs take linear time
-    parts = F.split(text, r"(?<![.!?])[.!?]++(?=[ \t\r\n]|$)|[\r\n]++")
-    norm = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    norm = F.filter(norm, lambda s: (F.length(s) > 0) & (F.length(s) <= longest))
     table = F.create_map(*[F.lit(x) for s, i in known.items() for x in (s, i)])
-    ids = F.filter(F.transform(F.filter(norm, lambda s: s.isin(*known)), lambda s: table[s]), lambda i: i.isNotNull())
+    # a sentence as (identifier if known, itself)
+    looked_up = lambda s: F.struct(table[normal(s)].alias("i"), s.alias("s"))
+    nothing = F.expr("cast(array() as array<string>)")
+
+    def ids_of(parts: F.Column, *ends: str) -> F.Column:
+        def ids(x: F.Column) -> F.Column:
+            if not ends:
+                return F.when(x["i"].isNotNull(), F.array(x["i"])).otherwise(nothing)
+            inner = ids_of(F.split(x["s"], ends[0]), *ends[1:])
+            further = F.when(x["s"].rlike(ends[0]) if len(ends) == 1 else x["s"].rlike(f"(?:{ends[0]})|{ends[1]}"), inner)
+            return F.when(x["i"].isNotNull(), F.array(x["i"])).otherwise(F.coalesce(further, nothing))
+
+        return F.flatten(F.transform(F.transform(parts, looked_up), ids))
+
+    text = F.regexp_replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"\r\n?", "\n")
+    for pattern in BREAKS:
+        text = F.regexp_replace(text, pattern, END)
+    ids = ids_of(F.split(text, SENTENCE_END), PART_END, r"\n")
     t = df.select(F.col(id_col).alias("id"), F.array_join(ids, ",").alias("ids"))
     run = F.concat(F.lit(","), F.col("ids"), F.lit(","))
     hits = [F.when(F.contains(run, F.lit("," + ",".join(seq) + ",")), F.lit(name)) for name, _, seq in rules]
@@ -113,13 +145,17 @@ def _sql() -> str:
     table = ", ".join(f"'{s}': '{i}'" for s, i in known.items())
     hits = ", ".join(f"CASE WHEN contains(',' || ids || ',', ',{','.join(seq)},') THEN '{name}' END" for name, _, seq in RULES)
     kinds = " ".join(f"WHEN '{name}' THEN '{kind}'" for name, kind in {r[0]: r[1] for r in RULES}.items())
+    normal = lambda s: f"regexp_replace(trim(regexp_replace({s}, '[^a-z0-9]+', ' ', 'g')), '{ITEM}', '')"
+    text = r"regexp_replace(lower(coalesce(text, '')), '\r\n?', chr(10), 'g')"
+    for pattern in BREAKS:
+        text = f"regexp_replace({text}, '{pattern}', chr(1), 'g')"
+    lines = f"list_filter(list_transform(string_split(q, chr(10)), lambda l: known[{normal('l')}]), lambda i: i IS NOT NULL)"
+    inner = rf"flatten(list_transform(string_split_regex(p, '[:;]([ \t\n]|$)'), lambda q: CASE WHEN known[{normal('q')}] IS NOT NULL THEN [known[{normal('q')}]] ELSE {lines} END))"
     return rf"""
-WITH t AS (
-  SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '([.!?]+([ \t\r\n]|$))|[\r\n]+') AS parts FROM documents
-), n AS (
-  SELECT doc_id, list_transform(parts, lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))) AS parts FROM t
-), m AS (SELECT MAP {{{table}}} AS known), i AS (
-  SELECT doc_id, array_to_string(list_filter(list_transform(parts, lambda s: known[s]), lambda s: s IS NOT NULL), ',') AS ids FROM n, m
+WITH m AS (SELECT MAP {{{table}}} AS known), t AS (
+  SELECT doc_id, string_split_regex({text}, '\x01|[.!?]+([ \t\n]|$)') AS parts FROM documents
+), i AS (
+  SELECT doc_id, array_to_string(flatten(list_transform(parts, lambda p: CASE WHEN known[{normal('p')}] IS NOT NULL THEN [known[{normal('p')}]] ELSE {inner} END)), ',') AS ids FROM t, m
 ), r AS (
   SELECT doc_id, coalesce(ids, '') AS ids, list_filter([{hits}], lambda x: x IS NOT NULL) AS found FROM i
 ), a AS (

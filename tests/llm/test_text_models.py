@@ -2,6 +2,7 @@
 
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -86,6 +87,60 @@ def test_licences_sql(spark):
     assert df.where("licence IS NOT NULL").count() > 30
 
 
+MIT_TEXT = """Copyright (c) 2020 Some One. All rights reserved.
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND."""
+BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_ITEMS = [
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+]
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+
+
+def wrapped(text, width, lead="", end="\n"):
+    lines = [y for x in text.split("\n") for y in (textwrap.wrap(x, width) or [""])]
+    return end.join((lead + x).rstrip() for x in lines)
+
+
+@pytest.mark.parametrize("width", [30, 63, 79, 10_000])
+@pytest.mark.parametrize("lead,end", [("", "\n"), ("# ", "\n"), (" * ", "\r\n"), ("// ", "\n"), ("    ", "\r")])
+def test_wrapped_licences(spark, width, lead, end):
+    numbered = lambda k, mark: "\n".join([BSD_HEAD, *(mark.format(i + 1) + x for i, x in enumerate(BSD_ITEMS[:k]))])
+    texts = {
+        MIT_TEXT: "MIT",
+        "The MIT License (MIT)\n\n" + MIT_TEXT: "MIT",
+        numbered(2, "{}. "): "BSD-2-Clause",
+        numbered(3, "({}) "): "BSD-3-Clause",
+        numbered(3, "- "): "BSD-3-Clause",
+        BSD_HEAD + "\n\n" + "\n\n".join(BSD_ITEMS): "BSD-3-Clause",
+        APACHE: "Apache-2.0",
+        GPL: "GPL-3.0-or-later",
+        "Some notes\nReleased under the MIT License\nand more": "MIT" if width > 40 else None,
+    }
+    rows = [(i, wrapped(t, width, lead, end)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licences.scan_licences(df).collect()}
+    want = dict(enumerate(texts.values()))
+    if width > 40 and not lead.strip():
+        assert got == want
+    assert {i: got[i] for i in list(want)[:8]} == {i: want[i] for i in list(want)[:8]}
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert sorted(con.sql(f"SELECT doc_id, licence FROM ({licences.SQL})").fetchall()) == sorted(got.items())
+
+
 def test_licence_rules(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
     notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
