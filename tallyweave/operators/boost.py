@@ -1,4 +1,4 @@
-"""Boosted driver models: leakage guard, grouped folds, baselines, permutation importance.
+"""Boosted driver models: leakage guard, grouped folds, baselines, Shapley importance.
 
 Trees are MLlib's, so figures differ from other boosting libraries'; every model is reported beside the
 mean predictor and a demographic one.
@@ -6,8 +6,11 @@ mean predictor and a demographic one.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -31,7 +34,7 @@ INFORMATION = ("info_feels_informed", "info_trusts_official_info", "info_info_ea
 CONTEXT = ("no_disaster_experience", "n_disasters_experienced", "top_personal_risk", "trusts_emergency_services", "volunteers_for_responders")
 DEMOGRAPHICS = ("age", "gender", "community_type", "bill_difficulties", "social_class")
 CATEGORICAL = ("gender", "community_type", "social_class", "top_personal_risk", "country_grouped")
-MAX_FOLDS, MISSING = 5, -1.0
+MAX_FOLDS = 5
 
 
 def no_leakage(features: Sequence[str]) -> None:
@@ -52,23 +55,30 @@ def folds(df: DataFrame, group: str, k: int = MAX_FOLDS) -> dict:
     return out
 
 
+def inputs(features: Sequence[str]) -> list[str]:
+    """The feature that each input of a model belongs to: every feature, then a flag of missing values for each number."""
+    return [*features, *[f for f in features if f not in CATEGORICAL]]
+
+
 def design(df: DataFrame, features: Sequence[str], target: str, group: str) -> DataFrame:
-    """(_row, y, fold, features): rows with a target; missing numbers get a value of their own, as do missing categories."""
+    """(y, fold, features): rows with a target. A missing number is 0 beside a flag of its own, a missing category a category."""
     no_leakage(features)
     t = df.where(F.col(target).isNotNull() & F.col(group).isNotNull())
     at = folds(t, group)
     fold = F.create_map(*[F.lit(x) for kv in at.items() for x in kv])[F.col(group)]
     cats = [f for f in features if f in CATEGORICAL]
-    cols = [F.col(f).cast("string").alias(f) if f in cats else F.coalesce(F.col(f).cast("double"), F.lit(MISSING)).alias(f) for f in features]
+    numbers = [f for f in features if f not in cats]
+    value = lambda f: F.col(f).cast("string") if f in cats else F.coalesce(F.col(f).cast("double"), F.lit(0.0))
+    cols = [value(f).alias(f) for f in features] + [F.col(f).cast("double").isNull().cast("double").alias(f"_no_{f}") for f in numbers]
     t = t.select(F.col(target).cast("double").alias("y"), fold.alias("fold"), *cols)
     if cats:
         t = StringIndexer(inputCols=cats, outputCols=[f"_{c}" for c in cats], handleInvalid="keep").fit(t).transform(t)
-    inputs = [f"_{f}" if f in cats else f for f in features]
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(t).select("y", "fold", "features")
+    names = [f"_{f}" if f in cats else f for f in features] + [f"_no_{f}" for f in numbers]
+    return VectorAssembler(inputCols=names, outputCol="features").transform(t).select("y", "fold", "features")
 
 
 def _model(iterations: int) -> GBTRegressor:
-    return GBTRegressor(labelCol="y", featuresCol="features", maxIter=iterations, stepSize=0.05, maxDepth=5, minInstancesPerNode=40, subsamplingRate=1.0, maxBins=64, seed=42)
+    return GBTRegressor(labelCol="y", featuresCol="features", maxIter=iterations, stepSize=0.05, maxDepth=5, minInstancesPerNode=40, subsamplingRate=0.8, featureSubsetStrategy="0.8", maxBins=64, seed=42)
 
 
 def out_of_fold(df: DataFrame, features: Sequence[str], target: str, group: str, iterations: int = 400):
@@ -96,22 +106,85 @@ def comparison(df: DataFrame, full: Sequence[str], demographic: Sequence[str], t
     ]
 
 
-def importance(model, data: DataFrame, features: Sequence[str], sample: int = 4000) -> list[dict]:
-    """Rise of the mean absolute error when a feature is shuffled over a sample; the features' split gains beside it."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+_LINE = re.compile(r"(If|Else) \(feature (\d+) (<=|>|in|not in) (.*)\)$|Predict: (\S+)$")
 
-    picked = data.orderBy(F.xxhash64("y", vector_to_array("features"))).limit(sample)
-    rows = [(r["y"], list(r["x"])) for r in picked.select("y", vector_to_array("features").alias("x")).collect()]
-    spark = data.sparkSession
 
-    def mae(xs):
-        d = spark.createDataFrame([(float(y), [float(v) for v in x]) for (y, _), x in zip(rows, xs)], "y double, x array<double>")
-        d = d.select("y", array_to_vector("x").alias("features"))
-        return model.transform(d).agg(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0]
+def leaves(tree) -> list[tuple[float, list[tuple[int, str, object]]]]:
+    """(value, conditions (feature, relation, threshold or categories) on its path) of each leaf of an MLlib tree."""
+    out, path = [], []
+    for line in tree.toDebugString.splitlines()[1:]:
+        depth = len(line) - len(line.lstrip())
+        m = _LINE.match(line.strip())
+        while path and path[-1][0] >= depth:
+            path.pop()
+        if m[1]:
+            limit = float(m[4]) if m[3] in ("<=", ">") else frozenset(float(x) for x in m[4].strip("{}").split(","))
+            path.append((depth, (int(m[2]), m[3], limit)))
+        else:
+            out.append((float(m[5]), [c for _, c in path]))
+    return out
+
 
-    base, out = mae([x for _, x in rows]), []
-    for i, f in enumerate(features):
-        # rows are in hash order: their neighbour's value is as good as a shuffled one
-        moved = [[*x[:i], z[i], *x[i + 1 :]] for (_, x), (_, z) in zip(rows, rows[1:] + rows[:1])]
-        out.append({"feature": f, "mae_rise": mae(moved) - base, "gain": float(model.featureImportances[i])})
-    return sorted(out, key=lambda r: -r["mae_rise"])
+def _holds(x: np.ndarray, condition: tuple[int, str, object]) -> np.ndarray:
+    feature, relation, limit = condition
+    v = x[:, feature]
+    if relation in ("<=", ">"):
+        return v <= limit if relation == "<=" else v > limit
+    return np.isin(v, sorted(limit)) == (relation == "in")
+
+
+def tree_shapley(tree, x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """(Shapley values (rows, inputs), mean) of a tree over the distinct rows x that occur ``weight`` times.
+
+    A coalition's value is what the tree predicts if inputs outside it follow each branch as often as the rows
+    that reach it do. A leaf's share of an input is a sum over the coalitions of the other inputs on its
+    path; by size, these are the coefficients of a product of linear terms.
+    """
+    phi, mean = np.zeros(x.shape), 0.0
+    for value, path in leaves(tree):
+        inside, z, o = np.ones(len(x), bool), {}, {}
+        for c in path:
+            here = weight[inside].sum()
+            now = inside & _holds(x, c)
+            share = weight[now].sum() / here if here else 0.5
+            z[c[0]] = z.get(c[0], 1.0) * share
+            o[c[0]] = o.get(c[0], np.ones(len(x), bool)) & _holds(x, c)
+            inside = now
+        mean += value * math.prod(z.values())
+        d = len(z)
+        for f in z:
+            by_size = np.zeros((d, len(x)))
+            by_size[0] = 1
+            for g in z:
+                if g != f:
+                    by_size[1:] = by_size[1:] * z[g] + by_size[:-1] * o[g]
+                    by_size[0] *= z[g]
+            share = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
+            phi[:, f] += value * (o[f] - z[f]) * (np.array(share) @ by_size)
+    return phi, mean
+
+
+def shapley(model, x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """(Shapley values, mean prediction) of a boosted model: a row's values sum to its prediction less the mean."""
+    phi, mean = np.zeros(x.shape), 0.0
+    for tree, w in zip(model.trees, model.treeWeights):
+        p, m = tree_shapley(tree, x, weight)
+        phi += w * p
+        mean += w * m
+    return phi, mean
+
+
+def importance(model, data: DataFrame, features: Sequence[str], sample: int = 4000, seed: int = 42) -> list[dict]:
+    """Each feature's mean absolute and mean signed Shapley value over a sample of ``design`` rows, and its split gain; largest first."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = data.select(vector_to_array("features").alias("x")).orderBy(F.rand(seed)).limit(sample)
+    rows = rows.groupBy("x").agg(F.count("*").alias("n")).orderBy("x").collect()  # bounded by the sample
+    x, n = np.array([r["x"] for r in rows], float), np.array([r["n"] for r in rows], float)
+    phi, _ = shapley(model, x, n)
+    owner, out = np.array(inputs(features)), []
+    for f in features:
+        own = phi[:, owner == f].sum(1)
+        gain = sum(float(model.featureImportances[i]) for i in np.flatnonzero(owner == f).tolist())
+        out.append({"feature": f, "mean_abs_shap": float(n @ np.abs(own) / n.sum()), "mean_shap": float(n @ own / n.sum()), "gain": gain})
+    return sorted(out, key=lambda r: -r["mean_abs_shap"])

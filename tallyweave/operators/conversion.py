@@ -163,10 +163,14 @@ def stage_distribution(df: DataFrame, stage: str, weight: str | None = None) ->
 
 
 def crosswalk_compare(crosswalk: DataFrame, aci: DataFrame, gap: DataFrame) -> DataFrame:
-    """Crosswalk rows whose items are in both tables, with both lifts; directions compare, levels do not pool."""
+    """Crosswalk rows whose items are in both tables, with both lifts and the pair's own note (null if it has none).
+
+    One survey asks about a recent flow, the other about a stock: ``recall_windows_differ`` says so in every
+    row; directions compare, levels do not pool.
+    """
     c = crosswalk.where(F.col("home_item").isNotNull() & F.col("other_item").isNotNull())
     a = aci.select(F.col("item").alias("other_item"), "aci", F.col("lift").alias("lift_other"))
     g = gap.select(F.col("item").alias("home_item"), "conversion", F.col("lift").alias("lift_home"))
     j = c.join(a, "other_item").join(g, "home_item")
-    note = F.lit("different recall windows: compare directions, never levels")
-    return j.select("home_item", "other_item", "match_quality", "aci", "conversion", (100.0 * (F.col("aci") - F.col("conversion"))).alias("conversion_gap_pp"), "lift_other", "lift_home", note.alias("note")).orderBy("home_item", "other_item")
+    note = F.col("note") if "note" in crosswalk.columns else F.lit(None).cast("string")
+    return j.select("home_item", "other_item", "match_quality", "aci", "conversion", (100.0 * (F.col("aci") - F.col("conversion"))).alias("conversion_gap_pp"), "lift_other", "lift_home", note.alias("note"), F.lit(True).alias("recall_windows_differ")).orderBy("home_item", "other_item")

@@ -3,9 +3,10 @@
 Rows are ordered by (value, weight); a row's position is (weight before it + half its own) / total.
 Between positions values are interpolated, beyond the first and last they are constant.
 
-No window covers a group: equal (value, weight) rows are one block, a group's range of values is cut
-into ``BINS`` equal bins, and cumulative weight is taken within bins on top of the weights of earlier
-bins. So a hot group spreads over its bins and a block of ties is one row.
+No window covers a group: equal (value, weight) rows are one block, a group's values are cut into
+``BINS`` bins at its own approximate quantiles, and cumulative weight is taken within bins on top of the
+weights of earlier bins. So a hot group spreads evenly over its bins whatever its tails, and a block of
+ties is one row. The edges decide where a row is ranked, never its rank.
 """
 
 from __future__ import annotations
@@ -20,16 +21,36 @@ from ..functions import estimators as E
 BINS = 1024
 
 
+def bin_edges(value: str) -> F.Column:
+    """Ascending edges of BINS bins of about as many rows each, as an aggregate."""
+    return F.array_sort(F.array_distinct(F.percentile_approx(value, [k / BINS for k in range(1, BINS)], 10 * BINS)))
+
+
+def bin_of(value: str, edges: str) -> F.Column:
+    """The number of edges below the value, by bisection."""
+    steps = F.array(*[F.lit(BINS >> k) for k in range(1, BINS.bit_length())])
+    below = lambda at, step: F.coalesce(F.get(F.col(edges), at + step - 1) < F.col(value), F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(at, step), at + step).otherwise(at))
+
+
+def blocks(df: DataFrame, value: str, weight: str, group: str | None = None) -> DataFrame:
+    """(g, v, w, k): the usable rows, equal ones counted; null groups included."""
+    g = F.col(group) if group else F.lit("all")
+    t = df.where(E.usable(weight, value)).select(g.alias("g"), F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"))
+    return t.groupBy("g", "v", "w").agg(F.count("*").cast("double").alias("k"))
+
+
 def weighted_quantiles(df: DataFrame, value: str, weight: str, qs: Sequence[float], group: str | None = None, names: Sequence[str] | None = None) -> DataFrame:
     """One row per group with usable rows (null groups left out): the group and a column per quantile."""
     names = names or [f"p{round(q * 100)}" for q in qs]
-    g = F.col(group) if group else F.lit("all")
-    t = df.where(E.usable(weight, value)).select(g.alias("g"), F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"))
-    t = t.where("g IS NOT NULL").groupBy("g", "v", "w").agg(F.count("*").cast("double").alias("k"))
-    span = t.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(F.col("w") * F.col("k")).alias("total"))
-    width = F.col("hi") - F.col("lo")
-    place = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width * BINS), F.lit(BINS - 1))).otherwise(0)
-    t = t.join(span, "g").withColumn("bin", place.cast("int"))
+    out = block_quantiles(blocks(df, value, weight, group).where("g IS NOT NULL"), qs, names)
+    return out.withColumnRenamed("g", group) if group else out.drop("g")
+
+
+def block_quantiles(t: DataFrame, qs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """(g, a column per quantile) of ``blocks``."""
+    span = t.groupBy("g").agg(bin_edges("v").alias("edges"), F.sum(F.col("w") * F.col("k")).alias("total"))
+    t = t.join(span, "g").withColumn("bin", bin_of("v", "edges")).drop("edges")
     bins = t.groupBy("g", "bin").agg(F.sum(F.col("w") * F.col("k")).alias("in_bin"), F.min(F.struct("v", "w")).alias("first"))
     over = Window.partitionBy("g").orderBy("bin")
     bins = bins.select(
@@ -58,18 +79,22 @@ def weighted_quantiles(df: DataFrame, value: str, weight: str, qs: Sequence[floa
         # outside the positions the ends hold
         return F.coalesce(F.max(hit), F.when(F.min("f1") > q, F.min("v")).otherwise(F.max("v")))
 
-    out = t.groupBy("g").agg(*[at(q).alias(n) for q, n in zip(qs, names)])
-    return out.withColumnRenamed("g", group) if group else out.drop("g")
+    return t.groupBy("g").agg(*[at(q).alias(n) for q, n in zip(qs, names)])
 
 
 def percentile_table(df: DataFrame, value: str, group: str, weight: str, qs: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9), min_rows: int = 100) -> DataFrame:
     """Rows ``all`` and each group (as string): n_rows, n_eff, thin_cell and quantiles, two decimals."""
-    label = F.explode(F.filter(F.array(F.lit("all"), F.col(group).cast("string")), lambda x: x.isNotNull()))
-    t = df.select(F.col(value).alias("v"), F.col(weight).alias("w"), label.alias("group")).where(E.usable("w", "v"))
+    t = df.select(F.col(value).alias("value"), F.col(weight).alias("weight"), F.col(group).cast("string").alias("label"))
+    own = blocks(t, "value", "weight", "label")
+    # the whole is made of the blocks, not of the rows again; null groups count in it alone
+    every = own.groupBy("v", "w").agg(F.sum("k").alias("k")).select(F.lit("all").alias("g"), "v", "w", "k")
+    t = every.unionByName(own.where("g IS NOT NULL"))
     names = [f"p{round(q * 100)}" for q in qs]
-    size = t.groupBy("group").agg(F.count("*").alias("n_rows"), F.round(E.effective_n("w"), 1).alias("n_eff"))
-    q = weighted_quantiles(t, "v", "w", qs, "group", names)
-    return size.join(q, "group").select("group", "n_rows", "n_eff", (F.col("n_rows") < min_rows).alias("thin_cell"), *[F.round(n, 2).alias(n) for n in names])
+    w, k = F.col("w"), F.col("k")
+    n_eff = F.try_divide(F.sum(w * k) * F.sum(w * k), F.sum(w * w * k))
+    size = t.groupBy("g").agg(F.sum("k").cast("long").alias("n_rows"), F.round(n_eff, 1).alias("n_eff"))
+    q = block_quantiles(t, qs, names)
+    return size.join(q, "g").select(F.col("g").alias("group"), "n_rows", "n_eff", (F.col("n_rows") < min_rows).alias("thin_cell"), *[F.round(n, 2).alias(n) for n in names])
 
 
 def benchmark(value: float, reference: DataFrame, value_col: str, weight: str, label: str = "the reference group") -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import estimators as E
+from .quantile import bin_edges, bin_of
 
 
 def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -83,13 +84,11 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     def ranked(c: str) -> DataFrame:
         n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
-        # distinct values in order, in blocks of equal ranges, as in the weighted quantile
-        lo_hi = n.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        width = F.col("hi") - F.col("lo")
-        n = with_row(n, lo_hi).withColumn("bin", F.when(width > 0, F.floor((F.col("v") - F.col("lo")) / width * 1024)).otherwise(0))
+        # distinct values in order, in bins at their approximate quantiles, as in the weighted quantile
+        n = with_row(n, n.agg(bin_edges("v").alias("edges"))).withColumn("bin", bin_of("v", "edges")).drop("edges")
         bins = n.groupBy("bin").agg(F.sum("n").alias("in_bin"))
         before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        bins = bins.select("bin", F.coalesce(F.sum("in_bin").over(before), F.lit(0)).alias("before"))  # 1,025 rows at most
+        bins = bins.select("bin", F.coalesce(F.sum("in_bin").over(before), F.lit(0)).alias("before"))  # 1,024 rows at most
         inside = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
         n = n.join(F.broadcast(bins), "bin")
         rank = F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + (F.col("n") + 1) / 2

@@ -509,7 +509,7 @@ def stage_distribution(spark, sf):
     return rounded(conversion.stage_distribution(survey(spark, sf), "h2", "w_eu")).withColumn("stage", F.col("stage").cast("int"))
 
 
-CROSSWALK = (("action_1", "supplies", "exact"), ("action_2", "supplies", "partial"), ("action_3", None, "none"))
+CROSSWALK = (("action_1", "supplies", "exact", "same wording"), ("action_2", "supplies", "partial", None), ("action_3", None, "none", "no counterpart"))
 
 
 @query(
@@ -518,11 +518,11 @@ CROSSWALK = (("action_1", "supplies", "exact"), ("action_2", "supplies", "partia
     + f""", t AS (SELECT item, {wmean('act', 'w', 'aware', 'p')}, {wmean('act', 'w', 'NOT aware', 'u')} FROM l GROUP BY item)
 , a AS ({aci_sql().replace('WITH w AS', 'WITH w AS')})
 SELECT home_item, other_item, match_quality, a.aci, round(t.p, 6) AS conversion, round(100 * (a.raw - t.p), 6) AS conversion_gap_pp, a.lift AS lift_other, round(t.p / nullif(t.u, 0), 6) AS lift_home,
-  'different recall windows: compare directions, never levels' AS note
-FROM (VALUES ('action_1', 'supplies', 'exact'), ('action_2', 'supplies', 'partial')) c(home_item, other_item, match_quality) JOIN a ON a.item = other_item JOIN t ON t.item = home_item""".replace("item, 'Assemble or update supplies' AS label,", "item, aci AS raw, 'Assemble or update supplies' AS label,")
+  note, true AS recall_windows_differ
+FROM (VALUES ('action_1', 'supplies', 'exact', 'same wording'), ('action_2', 'supplies', 'partial', NULL)) c(home_item, other_item, match_quality, note) JOIN a ON a.item = other_item JOIN t ON t.item = home_item""".replace("item, 'Assemble or update supplies' AS label,", "item, aci AS raw, 'Assemble or update supplies' AS label,")
 )
 def crosswalk_compare(spark, sf):
-    c = spark.createDataFrame(CROSSWALK, "home_item string, other_item string, match_quality string")
+    c = spark.createDataFrame(CROSSWALK, "home_item string, other_item string, match_quality string, note string")
     a = conversion.aci_table(coerced(spark, sf), PAIRS, "w")
     return rounded(conversion.crosswalk_compare(c, a, indices.gap_table(survey(spark, sf), ITEMS, "w_eu", "aware")))
 
@@ -587,25 +587,23 @@ def irt_dimensionality(spark, sf):
     return irt.dimensionality(irt.bank_frame(spark, BANK)).withColumn("n_items", F.col("n_items").cast("int"))
 
 
-def simulated(spark, n: int = 6000, seed: int = 5) -> DataFrame:
-    """Answers to four items of known parameters, with a group column; made by Spark."""
-    t = spark.range(n).withColumn("theta", F.randn(seed)).withColumn("grp", F.when(F.col("id") % 4 == 0, "target").otherwise("rest"))
-    for k, (a, b) in enumerate(((1.2, -1.5), (1.4, -0.5), (1.1, 0.5), (1.3, 1.5))):
-        t = t.withColumn(f"act_i{k}", (F.rand(seed + 1 + k) < 1 / (1 + F.exp(-a * (F.col("theta") - b)))).cast("double"))
-    return t
+def answers(spark, sf) -> DataFrame:
+    """The five actions of the cleaned survey, and a group to hold out."""
+    s = survey(spark, sf)
+    return s.select(*[F.col(f"act{i}").alias(f"act_{i}") for i in range(1, 6)], F.when(F.col("region") == F.lit("REGION_0"), "target").otherwise("rest").alias("grp"))
 
 
-SIMULATED = tuple(f"act_i{k}" for k in range(4))
+ANSWERS = tuple(f"act_{i}" for i in range(1, 6))
 
 
 @query()
 def irt_fit_2pl(spark, sf):
-    return rounded(irt.bank_frame(spark, irt.fit_2pl(irt.patterns(simulated(spark), SIMULATED), SIMULATED)), 3)
+    return rounded(irt.bank_frame(spark, irt.fit_2pl(irt.patterns(answers(spark, sf), ANSWERS), ANSWERS)), 3)
 
 
 @query()
 def irt_transfer(spark, sf):
-    r = irt.transfer(simulated(spark), SIMULATED, "grp", "target")
+    r = irt.transfer(answers(spark, sf), ANSWERS, "grp", "target")
     cols = ("target", "n_target", "n_calibration_pooled", "n_calibration_native", "theta_correlation", "theta_rank_correlation", "difficulty_correlation", "mean_abs_pri_difference", "passes_transfer")
     return rounded(spark.createDataFrame([tuple(r[c] for c in cols)], "target string, n_target long, n_calibration_pooled long, n_calibration_native long, theta_correlation double, theta_rank_correlation double, difficulty_correlation double, mean_abs_pri_difference double, passes_transfer boolean"), 3)
 
@@ -618,7 +616,7 @@ def irt_face_validity(spark, sf):
 
 @query()
 def holdout_difficulty_compare(spark, sf):
-    r = irt.transfer(simulated(spark), SIMULATED, "grp", "target")
+    r = irt.transfer(answers(spark, sf), ANSWERS, "grp", "target")
     return rounded(irt.difficulty_comparison(spark, r["pooled"], r["native"]), 3)
 
 
@@ -644,7 +642,7 @@ SQL["gate"] = SQL.pop("gate_report")
 
 @query()
 def ordered_probit(spark, sf):
-    fits = {c: probit.fit(survey(spark, sf), c, ["age_band"], ["prep"]) for c in ("d1", "d3")}
+    fits = {c: probit.fit(survey(spark, sf), c, ["age_band"], ["prep"]) for c in V.DOMAINS.values()}
     rows = [tuple(r.values()) for r in probit.summary(fits)]
     return spark.createDataFrame([(*r[:6], bool(r[6])) for r in rows], "domain string, n long, accuracy double, baseline double, lift double, pseudo_r2 double, beats_baseline boolean")
 
@@ -668,7 +666,7 @@ def gap_importance(spark, sf):
     d = drivers(spark, sf)
     _, _, model = boost.out_of_fold(d, FEATURES, "pgi", "region", TREES)
     rows = boost.importance(model, boost.design(d, FEATURES, "pgi", "region"), FEATURES)
-    return rounded(spark.createDataFrame([tuple(r.values()) for r in rows], "feature string, mae_rise double, gain double"), 4)
+    return rounded(spark.createDataFrame([tuple(r.values()) for r in rows], "feature string, mean_abs_shap double, mean_shap double, gain double"), 4)
 
 
 # Extension: event-time windows

@@ -51,13 +51,14 @@ def labelled(df: DataFrame) -> DataFrame:
     return df.withColumn("label", F.try_element_at(names, F.col("item")))
 
 
-def etl(spark: SparkSession, raw: DataFrame) -> tuple[DataFrame, clean.Audit]:
+def etl(spark: SparkSession, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The feature table, written as ``survey_respondents``, and the audit with the feature step."""
     cleaned = clean.clean(raw)
     audit = clean.audit(raw, cleaned)
     n = write_table(clean.features(cleaned), "survey_respondents")
-    audit.record("8_features", audit.rows[-1][2], n, 0, "awareness, any action and answered horizons added")
-    write_table(audit.to_frame(spark), "survey_audit")
+    last = audit.orderBy(F.desc("step")).limit(1).select(F.lit("8_features"), "rows_out", F.lit(n), F.col("rows_out") - n, F.lit(0), F.lit("awareness, any action and answered horizons added"))
+    audit = audit.union(last)
+    write_table(audit, "survey_audit")
     return spark.table("survey_respondents"), audit
 
 

@@ -178,3 +178,11 @@ def test_small_tables(spark):
     assert tables.seeded_sample(d.repartition(3), "k", 2).collect() == tables.seeded_sample(d.coalesce(1), "k", 2).collect()
     f = {r["value"]: r for r in tables.frequency_table(spark.createDataFrame([("1",), ("1",), (None,)], "c string"), "c", {"1": "yes"}).collect()}
     assert f["1"]["label"] == "yes" and f["missing"]["pct"] == 33.3
+
+
+def test_bins_follow_the_data(spark):
+    """A heavy tail does not crowd into a bin."""
+    d = spark.range(100_000).select(F.exp(3 * F.randn(4)).alias("v"))
+    d = d.crossJoin(d.agg(quantile.bin_edges("v").alias("edges"))).select(quantile.bin_of("v", "edges").alias("bin"))
+    sizes = [r["n"] for r in d.groupBy("bin").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 1000 and len(sizes) > 900

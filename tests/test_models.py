@@ -116,10 +116,60 @@ def test_boosting_finds_the_planted_driver(spark):
     m, oof, model = boost.out_of_fold(d, features, "pgi", "country_grouped", 30)
     assert m["r2_oof"] > 0.5 and oof.count() == 1500 and oof.where("prediction IS NULL").count() == 0 and m["mae_oof"] < m["mae_baseline"]
     top = boost.importance(model, boost.design(d, features, "pgi", "country_grouped"), features, 500)
-    assert top[0]["feature"] == "prep_no_time_or_money"
+    assert top[0]["feature"] == "prep_no_time_or_money" and top[0]["mean_abs_shap"] > 3 * top[1]["mean_abs_shap"]
+    assert abs(sum(r["gain"] for r in top) - 1) < 1e-9
     assert set(boost.folds(d, "country_grouped").values()) == set(range(5))
 
 
+def test_shapley_values(spark):
+    """Against every coalition in turn, and summing to the prediction less the mean."""
+    from itertools import combinations
+    from math import factorial
+
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(1200):
+        a, b, c = float(rng.integers(0, 4)), float(rng.integers(0, 3)), str(rng.integers(0, 5))
+        rows.append((a * 0.3 - 0.2 * b + (0.5 if c in "13" else 0) * (a > 1), a if i % 9 else None, b, c, "AB"[i % 2]))
+    features = ["prep_no_time_or_money", "age", "gender"]
+    d = spark.createDataFrame(rows, "pgi double, prep_no_time_or_money double, age double, gender string, country_grouped string")
+    data = boost.design(d, features, "pgi", "country_grouped").cache()
+    model = boost._model(6).fit(data)
+    got = model.transform(data).groupBy(vector_to_array("features").alias("x")).agg(F.count("*").alias("n"), F.first("prediction").alias("p")).collect()
+    x, n, p = np.array([r["x"] for r in got]), np.array([r["n"] for r in got], float), np.array([r["p"] for r in got])
+    phi, mean = boost.shapley(model, x, n)
+    np.testing.assert_allclose(phi.sum(1) + mean, p, atol=1e-9)
+    assert abs(mean - n @ p / n.sum()) < 0.05
+
+    def value(leaves, row, known):
+        total = 0.0
+        for v, path in leaves:
+            inside, share = np.ones(len(x), bool), 1.0
+            for c in path:
+                now = inside & boost._holds(x, c)
+                if c[0] in known:
+                    share *= boost._holds(row[None], c)[0]
+                else:
+                    share *= n[now].sum() / n[inside].sum()
+                inside = now
+            total += v * share
+        return total
+
+    k = x.shape[1]
+    for row, want in list(zip(x, phi))[::17]:
+        brute = np.zeros(k)
+        for tree, w in zip(model.trees, model.treeWeights):
+            ls = boost.leaves(tree)
+            for f in range(k):
+                rest = [g for g in range(k) if g != f]
+                for size in range(k):
+                    for s in combinations(rest, size):
+                        brute[f] += w * factorial(size) * factorial(k - size - 1) / factorial(k) * (value(ls, row, {*s, f}) - value(ls, row, set(s)))
+        np.testing.assert_allclose(want, brute, atol=1e-9)
+
+
 def test_gate(spark):
     d = spark.createDataFrame([(1.0, 1.0), (0.0, 1.0)], "f double, w double")
     r = gate.run_gate(d, [gate.Check("near", F.avg("f"), 0.52), gate.Check("far", F.avg("f"), 0.6), gate.Check("none", F.avg(F.lit(None).cast("double")), 0.5)])
@@ -183,8 +233,10 @@ def test_conversion_index(spark):
 
 
 def test_crosswalk(spark):
-    c = spark.createDataFrame([("x", "alerts", "exact"), ("y", None, "none"), (None, "z", "none"), ("w", "alerts", "partial")], "home_item string, other_item string, match_quality string")
+    c = spark.createDataFrame([("x", "alerts", "exact", "same"), ("y", None, "none", None), (None, "z", "none", None), ("w", "alerts", "partial", "wider")], "home_item string, other_item string, match_quality string, note string")
     a = spark.createDataFrame([("alerts", 0.4, 2.0)], "item string, aci double, lift double")
     g = spark.createDataFrame([("x", 0.3, 1.5), ("w", 0.5, 1.1)], "item string, conversion double, lift double")
     r = conversion.crosswalk_compare(c, a, g).collect()
     assert [(x["home_item"], round(x["conversion_gap_pp"], 6), x["match_quality"]) for x in r] == [("w", -10.0, "partial"), ("x", 10.0, "exact")]
+    assert [(x["note"], x["recall_windows_differ"]) for x in r] == [("wider", True), ("same", True)]
+    assert conversion.crosswalk_compare(c.drop("note"), a, g).where("note IS NULL").count() == 2
