@@ -5,12 +5,12 @@ Encoding:
 1. Texts are pre-tokenised where they are read and gathered into chunks (whole documents, about
    ``chunk_bytes``). A chunk keeps its pre-tokens as positions in its own list of distinct words and
    sends these words out, grouped by ``buckets`` hash buckets.
-2. One exchange takes chunks by their number and words by their bucket. A bucket sees all words that
+2. Chunks are dealt by their number and words by their bucket. A bucket sees all words that
    hash to it, from all chunks, and encodes each distinct one once.
 3. The ids of a chunk's words go back to the chunk, which puts its documents together by position.
 
-The exchange carries both kinds of row and is read twice, so texts are pre-tokenised once. A word
-is sent once per chunk, however often it occurs there, so no word is hotter than the number of
+Chunks and words are dealt apart, each from a reading of the texts of its own: pre-tokenising twice costs
+less than holding a bucket's words beside the chunks. A word is sent once per chunk, however often it occurs there, so no word is hotter than the number of
 chunks. Memory is bounded by a chunk and by a bucket's distinct words; ``buckets`` follows
 spark.sql.shuffle.partitions.
 
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, n_partitions, read_documents, small_batches
+from .common import by_value, n_partitions, read_documents, small_batches, tidy
 
 by_value(__name__)
 
@@ -103,6 +103,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
     small_batches(spark)
     buckets = buckets or n_partitions(spark)
 
+    @tidy
     def cut(batches):
         find = regex.compile(pattern).findall
         part, n_chunks = TaskContext.get().partitionId() << 32, 0
@@ -121,6 +122,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
         if ids:
             yield chunk_rows(part + n_chunks, ids, counts, positions, words, buckets)
 
+    @tidy
     def encode_words(batches):
         # every word is one match
         one = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -128,8 +130,6 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
         for b in batches:
             rows = []
             for key, chunk, at, lens, raw in zip(*(b.column(c).to_pylist() for c in ("key", "chunk", "a", "b", "c"))):
-                if key >= 0:
-                    continue
                 found = []
                 for w in unpack_words(lens, raw):
                     ids = known.get(w)
@@ -144,8 +144,6 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
     def assemble(own: pa.Table, words: pa.Table) -> pa.Table:
         out_ids, offsets, values = [], [0], []
         for k, ids, counts, positions in zip(*(own.column(c).to_pylist() for c in ("key", "ids", "a", "b"))):
-            if k < 0:
-                continue
             at, n, flat = [], [], []
             for a, b, c in zip(*(words.column(x).to_pylist() for x in ("a", "b", "c"))):
                 at.append(np.cumsum(unpack_ints(a).astype(np.int64)))
@@ -168,8 +166,9 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
 
     t = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     dealt = t.mapInArrow(cut, CHUNK).repartition(n_partitions(spark), "key")
-    words = dealt.mapInArrow(encode_words, "key long, a binary, b binary, c binary")
-    out = dealt.groupBy("key").cogroup(words.groupBy("key")).applyInArrow(assemble, "id long, ids array<int>")
+    words = dealt.where("key < 0").mapInArrow(encode_words, "key long, a binary, b binary, c binary")
+    # buckets' words go no further: a group is one chunk
+    out = dealt.where("key >= 0").groupBy("key").cogroup(words.groupBy("key")).applyInArrow(assemble, "id long, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 
