@@ -3,7 +3,7 @@
 The model is of order ``order`` (4 at most, so that an n-gram is an integer) over the bytes of
 trusted texts, white space folded, each text padded at its start. Counting and scoring are sharded:
 
-1. Texts are read once into chunks. A chunk keeps, for each distinct n-gram, the documents that have
+1. Texts are cut into chunks (twice: once for the chunks themselves, once for their shards). A chunk keeps, for each distinct n-gram, the documents that have
    it and how often, cut into ``shards`` by the n-gram's hash, and the counts of its trusted texts.
 2. Counts, continuation counts, discounts and context masses are aggregations and joins over
    distinct n-grams, from all trusted texts; so is the probability of every n-gram that any text has.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import pack_ints, unpack_ints
-from .common import by_value, materialize, n_partitions, read_documents, small_batches
+from .common import by_value, materialize, n_partitions, read_documents, small_batches, tidy
 
 by_value(__name__)
 
@@ -41,6 +41,8 @@ ORDER, QUANTILE, SLACK = 4, 0.99, 1.1
 CHUNK_BYTES, SHARDS = 4 << 20, 16
 #: Text that is counted at a time, and distinct n-grams that a task holds before it hands them on.
 COUNT_BYTES, COUNT_GRAMS = 1 << 20, 2_000_000
+#: Text whose n-grams of one shard are one group, in bytes.
+SPLIT_BYTES = 64 << 20
 BROADCAST_IDS = 1_000_000
 
 _SPACE = re.compile(rb"[\x00-\x20]+")
@@ -136,8 +138,11 @@ def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     trusted = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
     t = t.join(trusted, "id", "left").select("id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "t")
     small_batches(spark)
-    splits = max(1, n_partitions(spark) // shards)
+    # as many groups as the text asks for, so that none grows with it
+    total = t.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    splits = max(1, n_partitions(spark) // shards, -(-total // SPLIT_BYTES))
 
+    @tidy
     def cut(batches):
         part, n_chunks, rows, size = TaskContext.get().partitionId() << 32, 0, [], 0
         for b in batches:
@@ -150,6 +155,7 @@ def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         if rows:
             yield chunk_rows(part + n_chunks, rows, order, shards, splits)
 
+    @tidy
     def batch_grams(batches):
         # n-grams and their trusted counts so far, in order
         g, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -204,8 +210,6 @@ def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         g, logp = g[order_], probs.column("logp").to_numpy()[order_]
         out = []
         for key, chunk, heads, body in zip(*(own.column(c).to_pylist() for c in ("key", "chunk", "a", "b"))):
-            if key >= 0:
-                continue
             heads, body = unpack_ints(heads), unpack_ints(body)
             mine, runs = np.cumsum(heads[: len(heads) // 2].astype(np.int64)), heads[len(heads) // 2 :].astype(np.int64)
             gaps, n = body[: len(body) // 2].astype(np.int64), body[len(body) // 2 :]
@@ -218,13 +222,11 @@ def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         cols = list(zip(*out)) or [(), ()]
         return pa.table({"key": pa.array(cols[0], pa.int64()), "sums": pa.array(cols[1], pa.binary())})
 
-    sums = dealt.groupBy("key").cogroup(p.groupBy("key")).applyInArrow(score, "key long, sums binary")
+    sums = dealt.where("key < 0").groupBy("key").cogroup(p.groupBy("key")).applyInArrow(score, "key long, sums binary")
 
     def gather(own: pa.Table, parts: pa.Table) -> pa.Table:
         cols: list[list] = [[] for _ in range(5)]
         for key, ids, langs, ok, sizes in zip(*(own.column(c).to_pylist() for c in ("key", "ids", "langs", "trusted", "a"))):
-            if key < 0:
-                continue
             total, n = np.zeros(len(ids)), np.frombuffer(sizes, "<u4")
             for raw in sorted(parts.column("sums").to_pylist()):
                 v = np.frombuffer(zstandard.decompress(raw), "<f8")
@@ -235,7 +237,7 @@ def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.float64()]
         return pa.table({k: pa.array(c, t) for k, c, t in zip(("id", "lang", "trusted", "n_grams", "perplexity"), cols, kinds)})
 
-    return dealt.groupBy("key").cogroup(sums.groupBy("key")).applyInArrow(gather, "id long, lang string, trusted boolean, n_grams long, perplexity double")
+    return dealt.where("key >= 0").groupBy("key").cogroup(sums.groupBy("key")).applyInArrow(gather, "id long, lang string, trusted boolean, n_grams long, perplexity double")
 
 
 def classify(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, **sizes) -> DataFrame:
