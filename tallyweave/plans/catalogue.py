@@ -590,7 +590,7 @@ def irt_dimensionality(spark, sf):
 def answers(spark, sf) -> DataFrame:
     """The five actions of the cleaned survey, and a group to hold out."""
     s = survey(spark, sf)
-    return s.select(*[F.col(f"act{i}").alias(f"act_{i}") for i in range(1, 6)], F.when(F.col("region") == F.lit("REGION_0"), "target").otherwise("rest").alias("grp"))
+    return s.select(*[F.col(f"act{i}").alias(f"act_{i}") for i in range(1, 6)], F.when(F.col("l_returnflag") == "A", "target").otherwise("rest").alias("grp"))
 
 
 ANSWERS = tuple(f"act_{i}" for i in range(1, 6))
