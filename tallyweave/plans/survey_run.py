@@ -121,7 +121,7 @@ def driver_tables(spark: SparkSession, df: DataFrame, iterations: int = 400) ->
     write_table(spark.createDataFrame(rows, "model string, n_features long, r2_oof double, mae_oof double"), "gap_model_comparison")
     _, _, model = boost.out_of_fold(p, kept, "pgi", "country_grouped", iterations)
     rows = [tuple(r.values()) for r in boost.importance(model, boost.design(p, kept, "pgi", "country_grouped"), kept)]
-    write_table(spark.createDataFrame(rows, "feature string, mae_rise double, gain double"), "gap_importance")
+    write_table(spark.createDataFrame(rows, "feature string, mean_abs_shap double, mean_shap double, gain double"), "gap_importance")
 
 
 def holdout_tables(spark: SparkSession, df: DataFrame, focus: Sequence[str] = FOCUS) -> None:
@@ -202,7 +202,7 @@ def pages(reader: Reader, focus: Sequence[str] = FOCUS) -> dict[str, dict[str, D
         "horizon": (each("rhi_bands", "rhi_binding"), {"bands": scoped("rhi_bands"), "binding": scoped("rhi_binding")}),
         "items": (["item_bank", "item_fit"], {"bank": "SELECT * FROM item_bank JOIN item_fit USING (item) ORDER BY difficulty"}),
         "percentiles": (each("pri_percentiles"), {"table": scoped("pri_percentiles")}),
-        "drivers": (["gap_model_comparison", "gap_importance"], {"models": "SELECT * FROM gap_model_comparison", "features": "SELECT * FROM gap_importance ORDER BY mae_rise DESC LIMIT 15"}),
+        "drivers": (["gap_model_comparison", "gap_importance"], {"models": "SELECT * FROM gap_model_comparison", "features": "SELECT * FROM gap_importance ORDER BY mean_abs_shap DESC LIMIT 15"}),
         "composite": (["rhi_respondents", "pri_respondents", "pgi_respondents"], {"persons": persons}),
         "transfer": (["holdout_transfer", "holdout_difficulty_compare"], {"table": "SELECT * FROM holdout_transfer ORDER BY country", "items": "SELECT * FROM holdout_difficulty_compare ORDER BY country, delta"}),
         "conversion": (["conversion_index", "conversion_by_year", "conversion_stages"], {"index": "SELECT * FROM conversion_index ORDER BY aci DESC", "years": "SELECT * FROM conversion_by_year ORDER BY survey_year, aci DESC", "stages": "SELECT * FROM conversion_stages ORDER BY stage"}),
