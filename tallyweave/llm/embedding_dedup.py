@@ -32,8 +32,10 @@ by_value(__name__)
 
 #: Cells aim at this many vectors; centroids are shipped with the tasks, so their number is bounded.
 CELL_ROWS, MAX_CELLS = 2000, 1024
-#: Each length of vector has centroids of its own.
+#: Each length of vector has centroids of its own; lengths beyond the most frequent ones have a single cell each.
 MAX_LENGTHS = 16
+#: Cosines this near the threshold are taken again from products in one order, so that a link counts for both of its ends.
+ROUNDING = 1e-12
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -74,9 +76,8 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     t = t.select("id", "label", F.when(fine, F.transform("v", lambda x: x + F.lit(0.0))).alias("v"))
     vectors = t.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     vectors = materialize(vectors.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    dims = [r[0] for r in vectors.select(F.size("v").alias("d")).distinct().limit(MAX_LENGTHS + 1).collect()]
-    if len(dims) > MAX_LENGTHS:
-        raise ValueError(f"embedding_groups: vectors of more than {MAX_LENGTHS} different lengths")
+    lengths = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
+    dims = [r["d"] for r in lengths.orderBy(F.desc("n"), "d").limit(MAX_LENGTHS).collect()]
     total = vectors.count()
     centroids: dict[int, np.ndarray] = {}
     for d in dims:
@@ -97,7 +98,11 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 for lo in range(0, len(at), 1024):
-                    row, cell, home = cells_of(x[lo : lo + 1024], centroids[int(d)], sin_theta)
+                    some = x[lo : lo + 1024]
+                    if int(d) in centroids:
+                        row, cell, home = cells_of(some, centroids[int(d)], sin_theta)
+                    else:
+                        row, cell, home = np.arange(len(some)), np.zeros(len(some), np.int64), np.ones(len(some), bool)
                     src = at[lo + row]
                     take = pa.array(src)
                     unit = pa.array([x[lo + r].tobytes() for r in row], pa.binary())
@@ -132,7 +137,10 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                 q, h = r[side[r] == "q"], r[side[r] == "h"]
                 if not len(q) or not len(h):
                     continue
-                cos = np.frombuffer(b"".join(units[i] for i in q)).reshape(len(q), -1) @ np.frombuffer(b"".join(units[i] for i in h)).reshape(len(h), -1).T
+                x, y = (np.frombuffer(b"".join(units[i] for i in k)).reshape(len(k), -1) for k in (q, h))
+                cos = x @ y.T
+                i, j = np.nonzero(np.abs(cos - threshold) < ROUNDING)
+                cos[i, j] = (x[i] * y[j]).sum(axis=1)
                 hit = (cos >= threshold) & (node[q][:, None] != node[h]) & (labels[q][:, None] == labels[h])
                 if not hit.any():
                     continue
@@ -162,3 +170,24 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(read_documents(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), g AS MATERIALIZED (
+  SELECT r, label, v FROM t
+  WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), f AS MATERIALIZED (
+  SELECT r, label, list_transform(v, lambda x: x / list_max(list_transform(v, lambda y: abs(y)))) AS v FROM g
+), l AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM f a JOIN f b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), c AS (
+  SELECT r AS a, r AS b FROM t UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a
+), m AS (
+  SELECT c.a, min(t.vec_id) AS component_id FROM c JOIN t ON t.r = c.b GROUP BY c.a
+), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM t JOIN m ON m.a = t.r LEFT JOIN n ON n.a = t.r
+"""

@@ -19,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op1_url_filter": url_filter.SQL,
+    "op3_embedding_dedup": embedding_dedup.SQL,
     "op8_licence_scan": licences.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }

@@ -164,5 +164,16 @@ def test_embedding_groups_brute(spark, block, monkeypatch):
     rows += [(600, rows[0][1], 0), (601, [-0.0] * 16, 0), (602, None, 0), (603, rows[0][1], None), (604, [float("nan")] * 16, 1), (605, [None, 1.0], 1), (606, [], 1), (607, [1.0, 2.0], 1), (608, [2.0, 4.0], 1), (609, [1e300, 2e300], 1)]
     df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int, node long")
     got = embedding_dedup.embedding_groups(df, block=block).collect()
-    assert sorted(map(tuple, got)) == sorted(brute_embeddings(rows))
+    assert sorted(map(tuple, got)) == sorted(brute_embeddings(rows)) and sum(r.n_links for r in got) > 500
+    # lengths beyond the fitted ones, and the SQL
+    monkeypatch.setattr(embedding_dedup, "MAX_LENGTHS", 1)
+    assert sorted(map(tuple, embedding_dedup.embedding_groups(df, block=block).collect())) == sorted(map(tuple, got))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[], label INT)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", rows)
+    assert sorted(con.sql(embedding_dedup.SQL).fetchall()) == sorted(map(tuple, got))
     assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0
+
+
+def test_embedding_sql(spark):
+    same(embedding_dedup.op3_embedding_dedup(spark, SF), embedding_dedup.SQL, ("embeddings",))
