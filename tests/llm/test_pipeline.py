@@ -100,5 +100,18 @@ def test_no_labels(spark):
     assert [r["doc_id"] for r in cp.identify_language(spark, df, SF).collect()] == [1]
 
 
+def test_clashing_columns(spark, docs):
+    """Columns with the names that stages use inside stay as they are."""
+    names = ["row", "own", "ident", "digest", "id", "sha", "found", "cut", "_0", "_1", "t", "keep"]
+    some = docs.where("doc_id < 40 OR doc_id > 9000")
+    for k, n in enumerate(names):
+        some = some.withColumn(n, F.lit(f"x{k}"))
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, some, SF)
+        assert out.columns == some.columns
+        rows = out.collect()
+        assert rows and all([r[n] for n in names] == [f"x{k}" for k in range(len(names))] for r in rows)
+
+
 def test_names():
     assert [n for n, _ in cp.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "suffix_dedup", "best_fit_packing"]
