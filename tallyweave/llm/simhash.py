@@ -5,12 +5,15 @@ set in over half of them. Two fingerprints link at ``max_diff`` or fewer differi
 
 Fingerprints are cut into m segments. By the pigeonring principle (Qin and Xiao, 2018) a pair
 within max_diff has a segment from which on, around the ring, the first l segments together differ
-in at most l * max_diff / m bits, for every l. With m > max_diff the first of them is equal, so
-equal segments are the index and nothing is lost; rows that share one meet in blocked cells (no
-task grows with a cell), the chain of ``chain`` segments is checked with its cumulative budgets, and
-what survives gets the full Hamming check. With m <= max_diff (wide fingerprints) a chain may start
-with an unequal segment, which is not followed: a pair is found only if a chain that starts with an
-equal segment keeps its budgets. Then pairs within max_diff can be lost, more of them than have no equal segment at all.
+in at most l * max_diff / m bits, for every l. With m > max_diff that first segment is equal, and at
+least m - max_diff segments are. So the index's keys are sets of m - max_diff equal segments: the
+pair meets in a cell whose set holds its chain's first segment, and nothing is lost. (By default 5 segments,
+2 of them a key of 25 or 26 bits: ten cells a fingerprint, each of which holds few of billions.)
+Rows that share a key meet in blocked cells (no task grows with a cell), the chains of ``chain`` segments that start at
+the key's segments are checked with their cumulative budgets, and what survives gets the full
+Hamming check. With m <= max_diff (wide fingerprints) a chain may start with an unequal segment,
+which is not followed: keys are single segments, and pairs within max_diff can be lost, more of them
+than have no equal segment at all.
 
 Copies never multiply: equal fingerprints are one row from the start, each task hands on a
 spanning set of links in place of all pairs, and groups come from distributed components.
@@ -24,6 +27,7 @@ empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -103,16 +107,25 @@ def joined(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray
         label = parent[label]
 
 
-def chain_links(segments: np.ndarray, first: np.ndarray, group: np.ndarray, max_diff: int, chain: int) -> tuple[np.ndarray, np.ndarray]:
+def cut_segments(fps: list[bytes], m: int) -> np.ndarray:
+    """(fingerprints, m): the fingerprints' bits in m runs of nearly equal length."""
+    if not fps:
+        return np.zeros((0, m), np.uint16)
+    bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1).astype(np.uint16)
+    runs = np.array_split(np.arange(bits.shape[1]), m)
+    return np.stack([bits[:, r] @ (1 << np.arange(len(r))).astype(np.uint16) for r in runs], axis=1)
+
+
+def chain_links(segments: np.ndarray, starts: np.ndarray, group: np.ndarray, max_diff: int, chain: int) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs of equal ``group`` that link, enough of them to join all rows that links join.
 
-    segments: (rows, m); first: each row's equal segment. Rows of a group stand together: shift s compares
-    each row with the s-th after it, unless earlier links have joined the two already.
+    segments: (rows, m); starts: each row's equal segments, any of which may start a chain. Rows of a group stand
+    together: shift s compares each row with the s-th after it, unless earlier links have joined the two already.
     """
     n, m = segments.shape
     found_l, found_r = [], []
     label, left, s = np.arange(n), np.arange(n - 1), 0
-    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else left
+    heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else left
     while len(left):
         s += 1
         left = left[left + s < n]
@@ -120,34 +133,49 @@ def chain_links(segments: np.ndarray, first: np.ndarray, group: np.ndarray, max_
         todo = left[label[left] != label[left + s]]
         for at in range(0, len(todo), PAIRS_AT_ONCE):
             i = todo[at : at + PAIRS_AT_ONCE]
-            spent = np.zeros(len(i), np.int64)
-            for length in range(1, chain + 1):
-                k = (first[i] + length - 1) % m
-                spent = spent + np.bitwise_count(segments[i, k] ^ segments[i + s, k])
-                ok = spent * m <= length * max_diff
-                i, spent = i[ok], spent[ok]
+            chained = np.zeros(len(i), bool)
+            for start in starts.T:
+                go = np.flatnonzero(~chained)
+                spent = np.zeros(len(go), np.int64)
+                for length in range(1, chain + 1):
+                    k = (start[i[go]] + length - 1) % m
+                    spent = spent + np.bitwise_count(segments[i[go], k] ^ segments[i[go] + s, k])
+                    ok = spent * m <= length * max_diff
+                    go, spent = go[ok], spent[ok]
+                chained[go] = True
+            i = i[chained]
             i = i[np.bitwise_count(segments[i] ^ segments[i + s]).sum(axis=1, dtype=np.int64) <= max_diff]
             if len(i):
                 found_l.append(i)
                 found_r.append(i + s)
                 label = joined(label, i, i + s)
         if s % 32 == 0:  # groups that hang together are done
-            whole = np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts)
-            left = left[~whole[np.searchsorted(starts, left, "right") - 1]]
+            whole = np.minimum.reduceat(label, heads) == np.maximum.reduceat(label, heads)
+            left = left[~whole[np.searchsorted(heads, left, "right") - 1]]
     none = [np.zeros(0, np.int64)]
     return np.concatenate(found_l or none), np.concatenate(found_r or none)
 
 
-def hamming_groups(rows: DataFrame, bits: int = 64, max_diff: int = 3, segments: int = 4, chain: int = 3, block: int = 2048) -> DataFrame:
+def hamming_groups(rows: DataFrame, bits: int = 64, max_diff: int = 3, segments: int = 5, chain: int = 3, block: int = 2048) -> DataFrame:
     """(fp, component) for each distinct fingerprint of ``rows`` (id, fp); components are named by the smallest id (null: none has any)."""
-    if bits % segments or bits // segments != 16:
-        raise ValueError("hamming_groups: segments are 16 bits wide")
+    keyed = np.array(list(combinations(range(segments), max(1, segments - max_diff))))
+    width = -(-bits // segments)
+    if width > 16 or len(keyed).bit_length() + width * keyed.shape[1] > 63:
+        raise ValueError("hamming_groups: a segment has 16 bits at most, an index key 63")
     spark = rows.sparkSession
     distinct = rows.groupBy("fp").agg(F.min("id").alias("rep"))
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
-    cells = distinct.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("k"))
-    value = F.conv(F.hex(F.expr("substring(fp, 2 * k + 1, 2)")), 16, 10).cast("int")
-    cells = cells.select("node", "fp", (F.col("k") * 65536 + value).alias("cell"))
+
+    def index(batches):
+        for b in batches:
+            seg = cut_segments(b.column("fp").to_pylist(), segments).astype(np.int64)
+            for n, key in enumerate(keyed):
+                cell = np.full(len(seg), n)
+                for k in key:
+                    cell = cell << width | seg[:, k]
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("fp"), pa.array(cell)], names=["node", "fp", "cell"])
+
+    cells = distinct.select("node", "fp").mapInArrow(index, "node long, fp binary, cell long")
     tasks = blocked(cells, ["cell"], "node", block)
     keys = ["cell", "lo", "hi"]
     tasks = tasks.select(*keys, "node", "fp").repartition(n_partitions(spark), *keys).sortWithinPartitions(*keys)
@@ -155,12 +183,12 @@ def hamming_groups(rows: DataFrame, bits: int = 64, max_diff: int = 3, segments:
     def link(batches):
         for t in whole_groups(batches, keys):
             k = [t.column(x).to_numpy() for x in keys]
-            seg = np.frombuffer(b"".join(t.column("fp").to_pylist()), ">u2").reshape(-1, segments).astype(np.uint16)
+            seg = cut_segments(t.column("fp").to_pylist(), segments)
             new = np.zeros(t.num_rows, bool)
             for v in k:
                 new[1:] |= v[1:] != v[:-1]
             ids = t.column("node").to_numpy()
-            left, right = chain_links(seg, k[0] // 65536, np.cumsum(new), max_diff, min(chain, segments))
+            left, right = chain_links(seg, keyed[k[0] >> width * keyed.shape[1]], np.cumsum(new), max_diff, min(chain, segments))
             a, b = spanning_rows(ids, left, right)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -175,7 +203,7 @@ def spanning_rows(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple
     return spanning(own, at[left], at[right]) if len(left) else (own[:0], own[:0])
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 64, max_diff: int = 3, segments: int = 4) -> DataFrame:
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 64, max_diff: int = 3, segments: int = 5) -> DataFrame:
     """One row per input row: id, fingerprint (hex), component_id (smallest id of the group), text_sha256."""
     rows = materialize(fingerprints(df, id_col, text_col, words, bits), "simhash")
     groups = hamming_groups(rows, bits, max_diff, segments)

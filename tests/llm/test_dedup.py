@@ -98,8 +98,8 @@ def test_simhash_brute(spark):
     assert got == {i: (f"{fps[i]:016x}", low[i]) for i in fps}
 
 
-@pytest.mark.parametrize("block", [7, 512])
-def test_hamming_groups_lose_nothing(spark, block):
+@pytest.mark.parametrize("block,segments", [(7, 5), (512, 5), (512, 4), (64, 6)])
+def test_hamming_groups_lose_nothing(spark, block, segments):
     rng = np.random.default_rng(3)
     fps = []
     for _ in range(60):
@@ -108,12 +108,24 @@ def test_hamming_groups_lose_nothing(spark, block):
             x ^= sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False))
             fps.append(x)
     rows = spark.createDataFrame([(i, x.to_bytes(8, "big")) for i, x in enumerate(fps)], "id long, fp binary")
-    got = {bytes(r.fp): r.component for r in simhash.hamming_groups(rows, block=block).collect()}
+    got = {bytes(r.fp): r.component for r in simhash.hamming_groups(rows, block=block, segments=segments).collect()}
     links = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3]
     low = brute_components(range(len(fps)), links)
     assert got == {x.to_bytes(8, "big"): low[i] for i, x in reversed(list(enumerate(fps)))}
 
 
+def test_segments_hold_every_bit(spark):
+    rng = np.random.default_rng(4)
+    for m in (4, 5, 6, 7):
+        x = rng.integers(0, 256, (50, 8), np.uint8)
+        y = x ^ rng.integers(0, 256, (50, 8), np.uint8)
+        a, b = (simhash.cut_segments([v.tobytes() for v in z], m) for z in (x, y))
+        assert (np.bitwise_count(a ^ b).sum(axis=1) == np.bitwise_count(x ^ y).sum(axis=1)).all()
+    assert simhash.cut_segments([], 5).shape == (0, 5)
+    with pytest.raises(ValueError, match="16 bits"):
+        simhash.hamming_groups(spark.createDataFrame([], "id long, fp binary"), segments=3)
+
+
 def test_simhash_odd_rows(spark):
     got = simhash.simhash_groups(odd(spark), words=3).collect()
     assert len(got) == len(ODD)
