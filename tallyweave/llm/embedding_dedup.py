@@ -2,14 +2,15 @@
 
 Vectors of a label are compared only with one another. Equal vectors are one row from the start,
 with their number. Spherical k-means, fitted on a bounded sample (``sample`` vectors, the smallest
-by hash), assigns every vector to the cell of its nearest centroid. Cells lose nothing: a vector x
-of cell a is also a guest of cell c if x . (a - c) / |a - c| <= sin(theta), where cos(theta) is the
+by hash), assigns every vector to the cell of its nearest centroid; a label has 1, 4, 16 ... cells, as its own
+vectors ask for. Cells lose nothing: a vector x
+of cell a may have links in cell c only if x . (a - c) / |a - c| <= sin(theta), where cos(theta) is the
 threshold, since any vector of cell c lies beyond that hyperplane and hence further from x
-otherwise. Home rows and guests of a cell are dealt in blocks, so no task grows with a cell; each
-task multiplies its two blocks in double precision.
+otherwise. Of each two cells the vectors of one are such guests of the other. Home rows and guests of a
+cell are dealt in blocks, so no task grows with a cell; each task multiplies its two blocks in double precision.
 
-A link between x and y counts for x in y's home cell, so each vector's count is a sum over tasks
-without any list of pairs; tasks hand on a spanning set of their links for the components.
+A link of two home rows counts for either in a task of its own, a link of a guest for both of its ends, so each
+vector's count is a sum over tasks without any list of pairs; tasks hand on a spanning set of their links for the components.
 
 Defined cases: a null label, or a vector that is null, empty, zero, or holds null or non-finite
 components, links with nothing and is its own component; vectors of different lengths do not link;
@@ -26,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocked, by_value, materialize, n_partitions, named_components, read_documents, small_batches, spanning, whole_groups
+from .common import blocked, by_value, discard, materialize, n_partitions, named_components, read_documents, small_batches, spanning, whole_groups
 
 by_value(__name__)
 
 #: Cells aim at this many vectors; centroids are shipped with the tasks, so their number is bounded.
 CELL_ROWS, MAX_CELLS = 2000, 1024
-#: Each length of vector has centroids of its own; lengths beyond the most frequent ones have a single cell each.
+#: Each length of vector has centroids of its own; lengths beyond the most frequent ones of labels that need cells have a single cell each.
 MAX_LENGTHS = 16
 #: Cosines this near the threshold are taken again from products in one order, so that a link counts for both of its ends.
 ROUNDING = 1e-12
@@ -52,11 +53,14 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
 
 
 def cells_of(x: np.ndarray, c: np.ndarray, sin_theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, home) of each vector's home cell and of those where it may have links."""
+    """(row, cell, home) of each vector's home cell and of those where it is a guest."""
     near = x @ c.T
     own = np.argmax(near, axis=1)
     apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[own]
     guest = near[np.arange(len(x)), own][:, None] - near <= (sin_theta + 1e-9) * apart
+    # one way between two cells: to the higher one if their numbers add up to an odd one, else to the lower one
+    other = np.arange(len(c))
+    guest &= ((own[:, None] + other) % 2 == 1) == (own[:, None] < other)
     guest[np.arange(len(x)), own] = True
     row, cell = np.nonzero(guest)
     return row, cell, own[row] == cell
@@ -76,46 +80,51 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     t = t.select("id", "label", F.when(fine, F.transform("v", lambda x: x + F.lit(0.0))).alias("v"))
     vectors = t.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     vectors = materialize(vectors.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    lengths = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
-    dims = [r["d"] for r in lengths.orderBy(F.desc("n"), "d").limit(MAX_LENGTHS).collect()]
-    total = vectors.count()
-    centroids: dict[int, np.ndarray] = {}
-    for d in dims:
-        picked = vectors.where(F.size("v") == d).orderBy(F.xxhash64("label", "v")).limit(sample).select("v").toPandas()["v"]
+    d, needed = F.size("v").alias("d"), F.least(F.ceil(F.col("n") / CELL_ROWS), F.lit(MAX_CELLS))
+    large = vectors.groupBy("label", d).agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
+    large = materialize(large.withColumn("level", F.ceil(F.log(4.0, needed)).cast("int")), "large")
+    fitted = large.groupBy("d").agg(F.sum("n").alias("n"), F.collect_set("level").alias("levels")).orderBy(F.desc("n"), "d").limit(MAX_LENGTHS).collect()
+    centroids: dict[tuple[int, int], np.ndarray] = {}
+    for r in fitted:
+        picked = vectors.where(F.size("v") == r["d"]).orderBy(F.xxhash64("label", "v")).limit(sample).select("v").toPandas()["v"]
         x = np.stack(picked.to_numpy())
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        centroids[d] = spherical_kmeans(x, max(1, min(MAX_CELLS, math.ceil(total / CELL_ROWS))))
+        for level in r["levels"]:
+            centroids[r["d"], level] = spherical_kmeans(x, min(MAX_CELLS, 4**level))
     sin_theta = math.sqrt(1 - threshold * threshold)
 
     def deal(batches):
         for b in batches:
             vs = b.column("v").to_pylist()
             sizes = np.array([len(v) for v in vs])
-            for d in np.unique(sizes):
-                at = np.flatnonzero(sizes == d)
+            levels = b.column("level").to_numpy()
+            for d, level in sorted(set(zip(sizes.tolist(), levels.tolist()))):
+                at = np.flatnonzero((sizes == d) & (levels == level))
                 x = np.array([vs[i] for i in at])
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 for lo in range(0, len(at), 1024):
                     some = x[lo : lo + 1024]
-                    if int(d) in centroids:
-                        row, cell, home = cells_of(some, centroids[int(d)], sin_theta)
+                    if (d, level) in centroids:
+                        row, cell, home = cells_of(some, centroids[d, level], sin_theta)
                     else:
                         row, cell, home = np.arange(len(some)), np.zeros(len(some), np.int64), np.ones(len(some), bool)
                     src = at[lo + row]
                     take = pa.array(src)
                     unit = pa.array([x[lo + r].tobytes() for r in row], pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [b.column("label").take(take), pa.array(np.full(len(row), d), pa.int32()), pa.array(cell, pa.int32()), pa.array(home), b.column("rep").take(take), b.column("node").take(take), b.column("copies").take(take), unit],
-                        names=["label", "d", "cell", "home", "rep", "node", "copies", "unit"],
+                        [b.column("label").take(take), pa.array(np.full(len(row), d), pa.int32()), pa.array(cell, pa.int32()), pa.array(home), b.column("node").take(take), b.column("copies").take(take), unit],
+                        names=["label", "d", "cell", "home", "node", "copies", "unit"],
                     )
 
-    dealt = vectors.mapInArrow(deal, "label string, d int, cell int, home boolean, rep long, node long, copies long, unit binary")
-    dealt = dealt.withColumn("g", F.xxhash64("label", "d", "cell"))
+    level = F.coalesce("level", F.lit(0)).alias("level")
+    levelled = vectors.select("label", d, "v", "node", "copies").join(large.drop("n"), ["label", "d"], "left").select("label", "v", "node", "copies", level)
+    dealt = levelled.mapInArrow(deal, "label string, d int, cell int, home boolean, node long, copies long, unit binary")
+    dealt = materialize(dealt.withColumn("g", F.xxhash64("label", "d", "cell")), "dealt")
     tasks = blocked(dealt, ["g"], "node", block, home="home")
     keys = ["g", "lo", "hi"]
-    tasks = tasks.select(*keys, "side", "label", "rep", "node", "copies", "unit").repartition(n_partitions(spark), *keys).sortWithinPartitions(*keys)
+    tasks = tasks.select(*keys, "side", "home", "label", "node", "copies", "unit").repartition(n_partitions(spark), *keys).sortWithinPartitions(*keys)
 
     def link(batches):
         for t in whole_groups(batches, keys):
@@ -126,7 +135,8 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
             edges = np.append(np.flatnonzero(new), t.num_rows)
             side = np.array(t.column("side").to_pylist())
             labels = np.array(t.column("label").to_pylist(), object)
-            rep, node, copies = (t.column(c).to_numpy() for c in ("rep", "node", "copies"))
+            node, copies = (t.column(c).to_numpy() for c in ("node", "copies"))
+            guest = ~t.column("home").to_numpy()
             units = t.column("unit").to_pylist()
             lo = 0
             for hi in edges:
@@ -144,16 +154,19 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                 hit = (cos >= threshold) & (node[q][:, None] != node[h]) & (labels[q][:, None] == labels[h])
                 if not hit.any():
                     continue
-                n = hit @ copies[h]
+                # a guest's links count here for both ends
+                n = np.append(hit @ copies[h], copies[q][guest[q]] @ hit[guest[q]])
                 some = np.flatnonzero(n)
+                ends = np.append(node[q], node[h])[some]
                 i, j = np.nonzero(hit)
                 own, at = np.unique(np.concatenate([node[q], node[h]]), return_inverse=True)
                 a, b = spanning(own, at[: len(q)][i], at[len(q) :][j])
-                a, b = (np.append(x, node[q][some]) for x in (a, b))
+                a, b = (np.append(x, ends) for x in (a, b))
                 links = np.append(np.zeros(len(a) - len(some), np.int64), n[some])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.int64())], names=["a", "b", "n"])
 
     found = materialize(tasks.mapInArrow(link, "a long, b long, n long"), "links")
+    discard(dealt)
     n_links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     named = named_components(vectors, found.where("a != b").select("a", "b").distinct())
     classes = named.join(n_links, "node", "left").join(vectors.select("node", "label", "v", "copies"), "node")
