@@ -51,13 +51,14 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (m[1].translate(_UPPER), m[2]) if m else ("", "")
 
 
-def fitting_rule(host: str, path: str, rules: dict[str, list[tuple[str, str]]]) -> tuple[str, str] | None:
-    """(rule, verdict) of the longest rule that fits: the longest host first, then the longest path."""
-    while host:
-        for start, verdict in rules.get(host, ()):
-            if path.startswith(start):
-                return host + start, verdict
-        host = host.partition(".")[2]
+def fitting_rule(host: str, path: str, rules: dict[str, list[tuple[str, str]]], labels: int) -> tuple[str, str] | None:
+    """(rule, verdict) of the longest rule that fits: the longest host first, then the longest path. No rule's host has more than ``labels`` labels."""
+    tail = host.rsplit(".", labels)[-labels:] if labels else []
+    for k in range(len(tail)):
+        end = ".".join(tail[k:])
+        for start, verdict in rules.get(end, ()):
+            if end and path.startswith(start):
+                return end + start, verdict
     return None
 
 
@@ -81,6 +82,7 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
         by_host.setdefault(host.translate(_UPPER), []).append((path, verdict))
     for v in by_host.values():
         v.sort(key=lambda x: -len(x[0]))
+    labels = max((h.count(".") + 1 for h in by_host), default=0)
     terms = {**{x: False for x in soft}, **{x: True for x in strict}}
 
     small_batches(df.sparkSession)
@@ -95,7 +97,7 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
             for url in b.column(1).to_pylist():
                 host, path = split_url(url)
                 n_strict, n_soft = term_hits(url, automaton) if url and terms else (0, 0)
-                rule = fitting_rule(host, path, by_host)
+                rule = fitting_rule(host, path, by_host, labels)
                 own = "block" if n_strict or n_soft >= soft_limit else "allow"
                 rows.append((host, path, rule and rule[0], rule[1] if rule else own, n_strict, n_soft))
             cols = list(zip(*rows)) or [()] * 6

@@ -76,6 +76,17 @@ def test_url_cases(spark, url, host, path, rule, verdict):
     assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
 
 
+def test_url_odd_rows(spark):
+    """Null and repeated ids; hosts of very many labels."""
+    far = "http://" + "a." * 1_000_000 + "www.example.com/en/"
+    rows = [(None, far), (1, far), (1, far), (2, "http://" + "." * 1_000_000 + "/en/"), (3, "http://example.com./en/"), (4, "http://.com/x"), (5, "x" * 3_000_000 + "://net/fr/")]
+    got = sorted(((r.page_id, r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()), key=str)
+    deep = ("www.example.com/en/", "allow")
+    assert got == sorted([(None, *deep), (1, *deep), (1, *deep), (2, None, "allow"), (3, None, "allow"), (4, "com/", "allow"), (5, "net/fr/", "block")], key=str)
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=()).collect()
+    assert all(r.rule is None for r in got) and len(got) == len(rows)
+
+
 def test_url_empty(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 

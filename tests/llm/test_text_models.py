@@ -36,6 +36,21 @@ def test_predict_equals_training_pass():
     assert np.allclose(net.softmax(net.responses(x)[0]), net.predict(x, net.pair_tables()), atol=1e-5)
 
 
+def test_prediction_brute(spark):
+    """Labels and scores from each text's windows one by one, by the pass that training takes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    net = li.learned(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in li.identify(docs, net).collect()}
+    for r in docs.collect():
+        if not li.has_letter(r.text):
+            assert got[r.doc_id] == (li.UND, 0.0)
+            continue
+        x, lens = li.windows_of(r.text.encode())
+        p = np.average([net.softmax(net.responses(w[None])[0])[0] for w in x], axis=0, weights=lens)
+        label, score = got[r.doc_id]
+        assert abs(p[net.labels.index(label)] - p.max()) < 1e-4 and abs(score - p.max()) < 1e-4
+
+
 def test_gradients():
     net = li.Network(["a", "b"], seed=3)
     for p in ("bias", "out", "out_bias"):
@@ -213,6 +228,32 @@ def test_perplexity_brute(spark, order, chunk):
     assert len(out) == len(rows) and all(r.keep for r in out if r.perplexity is None)
 
 
+def test_classify_brute(spark):
+    """Thresholds and decisions from the perplexities: languages with, without and of no name; repeated ids, a very long text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150).collect()
+    rows = [(r.doc_id, r.text[:3000], None if r.doc_id % 7 == 0 else r.lang) for r in docs]
+    rows += [rows[0], rows[1], (9000, "zq " * 400_000, "en"), (9001, "the the", "xx"), (9002, None, "yy"), (None, "zqxj", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = {i for i, *_ in rows if i is not None and i < 9000 and i % 2 == 0}
+    ids = spark.createDataFrame([(i,) for i in trusted], "id long")
+    ppl = {(r.id, r.lang): r.perplexity for r in quality.perplexities(df, ids, shards=4).collect()}
+    quantile, slack = 0.9, 1.05
+    at = lambda v: sorted(v)[math.ceil(quantile * len(v)) - 1] * slack
+    good = [(l, ppl[i, l]) for i, _, l in rows if i in trusted and ppl[i, l] is not None]
+    own, every = defaultdict(list), [p for _, p in good]
+    for l, p in good:
+        own[l].append(p)
+    want = []
+    for i, _, l in rows:
+        limit = at(own[l]) if l in own else at(every)
+        want.append((i, l, limit, ppl[i, l] is None or ppl[i, l] <= limit))
+    got = quality.classify(df, ids, quantile=quantile, slack=slack, shards=4).collect()
+    key = lambda r: (str(r[0]), str(r[1]))
+    for g, w in zip(sorted(((r.doc_id, r.lang, r.threshold, r.keep) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert (g[0], g[1], g[3]) == (w[0], w[1], w[3]) and abs(g[2] / w[2] - 1) < 1e-9
+    assert None in own and "xx" not in own and not all(r.keep for r in got)
+
+
 def test_quality_separates(spark):
     got = {r.doc_id: r.keep for r in quality.op6_quality(spark, SF).collect()}
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()

@@ -111,3 +111,22 @@ def test_pack_places_every_rank_once(seed):
             gaps.remove(fit)
             gaps.append(fit - n)
     assert n_seq <= len(gaps) + 1
+
+
+def test_repeated_and_null_ids(spark):
+    """Each row has its own tokens and its own place, whatever its id."""
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = [(None, "one two"), (None, None), (1, "three " * 50), (1, "three " * 50), (1, "four"), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = [t.encode(x or "", add_special_tokens=False).ids for _, x in rows]
+    ranks, enc = reference()
+    got = bpe.encode(df, ranks, P.PATTERN).collect()
+    assert sorted(((r.doc_id, list(r.ids)) for r in got), key=str) == sorted(((i, enc.encode_ordinary(x or "")) for i, x in rows), key=str)
+    places = packing.pack_documents(df, packing.load_tokenizer(P.path("byte_bpe_50k.json")), capacity=32, keep_ids=False).collect()
+    assert sum(r.length for r in places) == sum(len(x) + 1 for x in ids)
+    assert sum(r.piece == 0 for r in places) == len(rows)
+    fill = {}
+    for r in sorted(places, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill.get(r.sequence_id, 0)
+        fill[r.sequence_id] = r.offset + r.length
+    assert max(fill.values()) <= 32
