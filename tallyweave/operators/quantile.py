@@ -3,10 +3,10 @@
 Rows are ordered by (value, weight); a row's position is (weight before it + half its own) / total.
 Between positions values are interpolated, beyond the first and last they are constant.
 
-No window covers a group: equal (value, weight) rows are one block, a group's values are cut into
-``BINS`` bins at its own approximate quantiles, and cumulative weight is taken within bins on top of the
-weights of earlier bins. So a hot group spreads evenly over its bins whatever its tails, and a block of
-ties is one row. The edges decide where a row is ranked, never its rank.
+No window covers a group. Equal (value, weight) rows are one block; blocks are written once in ranges of
+(group, value, weight), and the ranges' weights are added up in order, a row per range. A quantile lies between
+two ranges, where the ends of both give it, or inside one: only the blocks of such a range are ranked, on top of
+the weight before it. Nothing depends on where ranges end.
 """
 
 from __future__ import annotations
@@ -17,21 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import estimators as E
-
-BINS = 1024
-
-
-def bin_edges(value: str) -> F.Column:
-    """Ascending edges of BINS bins of about as many rows each, as an aggregate."""
-    return F.array_sort(F.array_distinct(F.percentile_approx(value, [k / BINS for k in range(1, BINS)], 10 * BINS)))
-
-
-def bin_of(value: str, edges: str) -> F.Column:
-    """The number of edges below the value, by bisection."""
-    steps = F.array(*[F.lit(BINS >> k) for k in range(1, BINS.bit_length())])
-    below = lambda at, step: F.coalesce(F.get(F.col(edges), at + step - 1) < F.col(value), F.lit(False))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(at, step), at + step).otherwise(at))
-
+from .frozen import in_order
 
 def blocks(df: DataFrame, value: str, weight: str, group: str | None = None) -> DataFrame:
     """(g, v, w, k): the usable rows, equal ones counted; null groups included."""
@@ -43,43 +29,58 @@ def blocks(df: DataFrame, value: str, weight: str, group: str | None = None) ->
 def weighted_quantiles(df: DataFrame, value: str, weight: str, qs: Sequence[float], group: str | None = None, names: Sequence[str] | None = None) -> DataFrame:
     """One row per group with usable rows (null groups left out): the group and a column per quantile."""
     names = names or [f"p{round(q * 100)}" for q in qs]
-    out = block_quantiles(blocks(df, value, weight, group).where("g IS NOT NULL"), qs, names)
+    t = in_order(blocks(df, value, weight, group).where("g IS NOT NULL"), "g", "v", "w")
+    out = block_quantiles(t, qs, names)
     return out.withColumnRenamed("g", group) if group else out.drop("g")
 
 
 def block_quantiles(t: DataFrame, qs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """(g, a column per quantile) of ``blocks``."""
-    span = t.groupBy("g").agg(bin_edges("v").alias("edges"), F.sum(F.col("w") * F.col("k")).alias("total"))
-    t = t.join(span, "g").withColumn("bin", bin_of("v", "edges")).drop("edges")
-    bins = t.groupBy("g", "bin").agg(F.sum(F.col("w") * F.col("k")).alias("in_bin"), F.min(F.struct("v", "w")).alias("first"))
-    over = Window.partitionBy("g").orderBy("bin")
-    bins = bins.select(
-        "g",
-        "bin",
-        F.coalesce(F.sum("in_bin").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"),
-        F.lead("first").over(over).alias("next_bin"),
+    """(g, a column per quantile) of ``blocks`` without null groups that ``in_order`` has cut by (g, v, w)."""
+    weight = F.col("w") * F.col("k")
+    parts = t.groupBy("g", "part").agg(F.sum(weight).alias("held"), F.min(F.struct("v", "w")).alias("first"), F.max(F.struct("v", "w")).alias("last"))
+    # windows of a group's ranges: as many rows as there are partitions, at most
+    group = Window.partitionBy("g")
+    over = group.orderBy("part")
+    before = F.coalesce(F.sum("held").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    parts = parts.select("*", before.alias("before"), F.sum("held").over(group).alias("total"), F.lead("first").over(over).alias("nxt"), F.lag("part").over(over).isNull().alias("is_first"))
+    at = lambda weight: weight / F.col("total")
+    parts = parts.select(
+        "*",
+        at(F.col("before") + 0.5 * F.col("first.w")).alias("low"),
+        at(F.col("before") + F.col("held") - 0.5 * F.col("last.w")).alias("high"),
+        at(F.col("before") + F.col("held") + 0.5 * F.col("nxt.w")).alias("low_next"),
     )
-    t = t.join(bins, ["g", "bin"])
-    inside = Window.partitionBy("g", "bin").orderBy("v", "w")
-    ahead = F.coalesce(F.sum(F.col("w") * F.col("k")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    t = t.withColumn("c", F.col("before") + ahead)
-    t = t.withColumn("nxt", F.coalesce(F.lead(F.struct("v", "w")).over(inside), F.col("next_bin")))
-    t = t.select(
+
+    def between(q: float, v: str, f: str, v_next: str, f_next: str) -> F.Column:
+        return F.col(v) + (q - F.col(f)) / (F.col(f_next) - F.col(f)) * (F.col(v_next) - F.col(v))
+
+    def outside(q: float) -> F.Column:
+        """The quantile, if it lies before the first range, behind this one's last block and before the next one's first, or behind the last range."""
+        begin = F.when(F.col("is_first") & (F.lit(q) < F.col("low")), F.col("first.v"))
+        gap = F.when(F.col("high") < q, F.when(F.col("nxt").isNull(), F.col("last.v")).when(F.col("low_next") > q, between(q, "last.v", "high", "nxt.v", "low_next")))
+        return F.coalesce(begin, gap)
+
+    inside = F.exists(F.array(*[F.lit(float(q)) for q in qs]), lambda q: (F.col("low") <= q) & (q <= F.col("high")))
+    rows = t.join(parts.where(inside).select("g", "part", "before", "total"), ["g", "part"])
+    part = Window.partitionBy("g", "part").orderBy("v", "w")
+    ahead = F.coalesce(F.sum(weight).over(part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = rows.select("*", (F.col("before") + ahead).alias("c"), F.lead(F.struct("v", "w")).over(part).alias("nxt"))
+    rows = rows.select(
         "g",
         "v",
-        ((F.col("c") + 0.5 * F.col("w")) / F.col("total")).alias("f1"),
-        ((F.col("c") + (F.col("k") - 0.5) * F.col("w")) / F.col("total")).alias("f2"),
+        at(F.col("c") + 0.5 * F.col("w")).alias("f1"),
+        at(F.col("c") + (F.col("k") - 0.5) * F.col("w")).alias("f2"),
         F.col("nxt.v").alias("v3"),
-        ((F.col("c") + F.col("k") * F.col("w") + 0.5 * F.col("nxt.w")) / F.col("total")).alias("f3"),
+        at(F.col("c") + weight + 0.5 * F.col("nxt.w")).alias("f3"),
     )
 
-    def at(q: float):
-        between = F.col("v") + (q - F.col("f2")) / (F.col("f3") - F.col("f2")) * (F.col("v3") - F.col("v"))
-        hit = F.when((F.col("f1") <= q) & (q <= F.col("f2")), F.col("v")).when((F.col("f2") < q) & (q < F.col("f3")), between)
-        # outside the positions the ends hold
-        return F.coalesce(F.max(hit), F.when(F.min("f1") > q, F.min("v")).otherwise(F.max("v")))
+    def within(q: float) -> F.Column:
+        # a range's last block holds up to the range's end, however its sum was rounded
+        holds = (F.col("f1") <= q) & ((F.lit(q) <= F.col("f2")) | F.col("f3").isNull())
+        return F.when(holds, F.col("v")).when((F.col("f2") < q) & (F.lit(q) < F.col("f3")), between(q, "v", "f2", "v3", "f3"))
 
-    return t.groupBy("g").agg(*[at(q).alias(n) for q, n in zip(qs, names)])
+    found = parts.select("g", *[outside(q).alias(n) for q, n in zip(qs, names)]).unionByName(rows.select("g", *[within(q).alias(n) for q, n in zip(qs, names)]))
+    return found.groupBy("g").agg(*[F.max(F.col(f"`{n}`")).alias(n) for n in names])
 
 
 def percentile_table(df: DataFrame, value: str, group: str, weight: str, qs: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9), min_rows: int = 100) -> DataFrame:
@@ -88,7 +89,7 @@ def percentile_table(df: DataFrame, value: str, group: str, weight: str, qs: Seq
     own = blocks(t, "value", "weight", "label")
     # the whole is made of the blocks, not of the rows again; null groups count in it alone
     every = own.groupBy("v", "w").agg(F.sum("k").alias("k")).select(F.lit("all").alias("g"), "v", "w", "k")
-    t = every.unionByName(own.where("g IS NOT NULL"))
+    t = in_order(every.unionByName(own.where("g IS NOT NULL")), "g", "v", "w")
     names = [f"p{round(q * 100)}" for q in qs]
     w, k = F.col("w"), F.col("k")
     n_eff = F.try_divide(F.sum(w * k) * F.sum(w * k), F.sum(w * w * k))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import estimators as E
-from .quantile import bin_edges, bin_of
+from .frozen import frozen, in_order
 
 
 def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -79,23 +79,40 @@ def first_per_group(df: DataFrame, group: Sequence[str] | str, order: Sequence[s
     return df.groupBy(*group).agg(F.min(row).alias("r")).select(*group, "r.*")
 
 
+def mean_ranks(counts: DataFrame) -> DataFrame:
+    """(v, rank) of ``counts`` (v, n), distinct values and how often they occur: ties take their mean rank.
+
+    Ranks are sums within ranges of values on top of the sums of earlier ranges (a row per range).
+    """
+    t = in_order(counts, "v")
+    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = t.groupBy("part").agg(F.sum("n").alias("held")).select("part", F.coalesce(F.sum("held").over(over), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.join(F.broadcast(parts), "part")  # as many rows as partitions
+    return t.select("v", (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + (F.col("n") + 1) / 2).alias("rank"))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation (ties take their mean rank). Ranks come from counts of distinct values."""
-
-    def ranked(c: str) -> DataFrame:
-        n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
-        # distinct values in order, in bins at their approximate quantiles, as in the weighted quantile
-        n = with_row(n, n.agg(bin_edges("v").alias("edges"))).withColumn("bin", bin_of("v", "edges")).drop("edges")
-        bins = n.groupBy("bin").agg(F.sum("n").alias("in_bin"))
-        before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        bins = bins.select("bin", F.coalesce(F.sum("in_bin").over(before), F.lit(0)).alias("before"))  # 1,024 rows at most
-        inside = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-        n = n.join(F.broadcast(bins), "bin")
-        rank = F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + (F.col("n") + 1) / 2
-        return n.select(F.col("v").alias(c), rank.alias(f"rank_{c}"))
-
-    t = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).join(ranked(a), a).join(ranked(b), b)
-    return t.agg(F.corr(f"rank_{a}", f"rank_{b}").alias("spearman"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("pearson"), F.count("*").alias("n"))
+    """Rank correlation (ties take their mean rank), Pearson's, and the number of rows with both values.
+
+    Rows are counted by pair of values first. A value that most pairs share is one row of the ranks, so adaptive
+    execution can split its side of the join.
+    """
+    t = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    pairs = frozen(t.groupBy("a", "b").agg(F.count("*").alias("n")))
+    for c in "ab":
+        ranks = mean_ranks(pairs.groupBy(F.col(c).alias("v")).agg(F.sum("n").alias("n")))
+        pairs = pairs.join(ranks.select(F.col("v").alias(c), F.col("rank").alias(f"rank_{c}")), c)
+    # means first, so that squares are of differences
+    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    x = {"rank_a": F.col("rank_a"), "rank_b": F.col("rank_b"), "a": F.col("a").cast("double"), "b": F.col("b").cast("double")}
+    pairs = with_row(pairs, pairs.agg(*[mean(v).alias(f"mean_{c}") for c, v in x.items()]))
+
+    def correlation(c: str, d: str) -> F.Column:
+        dev = {k: x[k] - F.col(f"mean_{k}") for k in (c, d)}
+        return F.sum(F.col("n") * dev[c] * dev[d]) / F.nullif(F.sqrt(F.sum(F.col("n") * dev[c] * dev[c]) * F.sum(F.col("n") * dev[d] * dev[d])), F.lit(0.0))
+
+    return pairs.agg(correlation("rank_a", "rank_b").alias("spearman"), correlation("a", "b").alias("pearson"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def mean_absolute_difference(a: str, b: str) -> F.Column:

@@ -180,9 +180,39 @@ def test_small_tables(spark):
     assert f["1"]["label"] == "yes" and f["missing"]["pct"] == 33.3
 
 
-def test_bins_follow_the_data(spark):
-    """A heavy tail does not crowd into a bin."""
-    d = spark.range(100_000).select(F.exp(3 * F.randn(4)).alias("v"))
-    d = d.crossJoin(d.agg(quantile.bin_edges("v").alias("edges"))).select(quantile.bin_of("v", "edges").alias("bin"))
-    sizes = [r["n"] for r in d.groupBy("bin").agg(F.count("*").alias("n")).collect()]
-    assert max(sizes) < 1000 and len(sizes) > 900
+def test_quantiles_whatever_the_partitions(spark):
+    """Equal figures however rows lie and are cut, against numpy; ties, one hot value and long tails among them."""
+    rng = np.random.default_rng(4)
+    rows = [(float(rng.choice([1.0, 5.0, round(float(rng.lognormal(3, 2)), 1)], p=[0.2, 0.3, 0.5])), float(rng.integers(0, 4)), "abc"[int(rng.integers(0, 3))]) for _ in range(3000)]
+    rows += [(None, 1.0, "a"), (7.0, 1.0, None)]
+    qs = (0.0, 0.01, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0)
+    want = {g: [brute_quantile([(v, w) for v, w, h in rows if h == g], q) for q in qs] for g in "abc"}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for n, shuffled in ((1, 1), (8, 5), (200, 40)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", n < 200)
+            d = frame(spark, rows, "v double, w double, g string").repartition(shuffled, F.rand(n))
+            got = quantile.weighted_quantiles(d, "v", "w", qs, "g", [f"q{i}" for i in range(len(qs))]).collect()
+            assert {r["g"] for r in got} == set("abc")
+            for r in got:
+                np.testing.assert_allclose([r[f"q{i}"] for i in range(len(qs))], want[r["g"]], rtol=1e-9)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_spearman_whatever_the_partitions(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 40, 2000)
+    b = np.where(rng.random(2000) < 0.4, 7, a * a + rng.integers(0, 300, 2000))
+    rank = lambda x: np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+    want = np.corrcoef(rank(a), rank(b))[0, 1], np.corrcoef(a, b)[0, 1]
+    rows = [(int(x), float(y)) for x, y in zip(a, b)] + [(None, 1.0), (3, None)]
+    for n in (1, 30):
+        r = tables.spearman(frame(spark, rows, "a int, b double").repartition(n), "a", "b").first()
+        np.testing.assert_allclose((r["spearman"], r["pearson"]), want, rtol=1e-9)
+        assert r["n"] == 2000
+    r = tables.spearman(frame(spark, [(1, 2.0), (1, 3.0)], "a int, b double"), "a", "b").first()
+    assert r["spearman"] is None and r["n"] == 2
+    assert tables.spearman(frame(spark, [], "a int, b double"), "a", "b").first()["n"] == 0
