@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, embedding_dedup, exact_dedup, language_id, licences, packing, quality, simhash, suffix_dedup, url_filter
+from . import bpe, centroids, compaction, embedding_dedup, exact_dedup, language_id, licences, packing, quality, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_licence_scan": licences.op8_licence_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_simhash": simhash.op10_simhash,
+    "op11_compaction": compaction.op11_compaction,
     "op12_centroids": centroids.op12_centroids,
 }
 
@@ -23,5 +24,6 @@ SQL = {
     "op3_embedding_dedup": embedding_dedup.SQL,
     "op8_licence_scan": licences.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op11_compaction": compaction.SQL,
     "op12_centroids": centroids.SQL,
 }
