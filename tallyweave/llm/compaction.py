@@ -211,11 +211,15 @@ def entries(steps: RDD, low: int, high: int, n: int, rules: Rules) -> RDD:
     return in_streams(records, n, 2).mapPartitions(handed_down)
 
 
-def grouped(files: DataFrame, rules: Rules) -> DataFrame:
-    """The files, each with the first file of its group (null: in none): a written table."""
+def blocks_of(rows: DataFrame) -> tuple[int, int]:
+    """The smallest and the largest block (a scan of the ids alone); two zeros without any."""
+    return tuple(b or 0 for b in rows.where(F.col("block") != NO_BLOCK).agg(F.min("block"), F.max("block")).first())
+
+
+def grouped(files: DataFrame, span: tuple[int, int], rules: Rules) -> DataFrame:
+    """The files, of blocks in ``span``, each with the first file of its group (null: in none): a written table."""
     n = n_partitions(files.sparkSession)
-    span = files.where(F.col("block") != NO_BLOCK).agg(F.min("block"), F.max("block")).first()
-    low, high = ((b or 0) // rules.chunk for b in span)
+    low, high = (b // rules.chunk for b in span)
     chunk_of = lambda block: low - 1 if block == NO_BLOCK else block // rules.chunk
 
     stream = in_streams(files.rdd.map(lambda f: ((f.source, chunk_of(f.block), 1, f.block, f.slot), tuple(f))), n, 2)
@@ -363,7 +367,7 @@ class Compaction:
 
     def __init__(self, rows: DataFrame, rules: Rules = Rules()):
         self.rows, self.rules, self.spark = rows, rules, rows.sparkSession
-        files = grouped(files_of(rows), rules)
+        files = grouped(files_of(rows), blocks_of(rows), rules)
         self.queued = queue(files, rules)
         self.plan = planned(files, self.queued)
 
