@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, compaction, embedding_dedup, exact_dedup, language_id, licences, packing, quality, simhash, suffix_dedup, url_filter
+from . import bpe, centroids, compaction, embedding_dedup, exact_dedup, language_id, licences, packing, quality, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
     "op11_compaction": compaction.op11_compaction,
     "op12_centroids": centroids.op12_centroids,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 SQL = {
