@@ -647,7 +647,7 @@ def ordered_probit(spark, sf):
     return spark.createDataFrame([(*r[:6], bool(r[6])) for r in rows], "domain string, n long, accuracy double, baseline double, lift double, pseudo_r2 double, beats_baseline boolean")
 
 
-FEATURES, DEMOGRAPHIC, TREES = ("prep", "barrier", "age_band", "l_quantity_band"), ("age_band",), 10
+FEATURES, DEMOGRAPHIC = ("prep", "barrier", "age_band", "l_quantity_band"), ("age_band",)
 
 
 def drivers(spark, sf):
@@ -657,15 +657,14 @@ def drivers(spark, sf):
 
 @query()
 def gap_model_comparison(spark, sf):
-    rows = boost.comparison(drivers(spark, sf), FEATURES, DEMOGRAPHIC, "pgi", "region", TREES)
+    rows = boost.comparison(drivers(spark, sf), FEATURES, DEMOGRAPHIC, "pgi", "region")
     return rounded(spark.createDataFrame([tuple(r.values()) for r in rows], "model string, n_features long, r2_oof double, mae_oof double"), 4)
 
 
 @query()
 def gap_importance(spark, sf):
-    d = drivers(spark, sf)
-    _, _, model = boost.out_of_fold(d, FEATURES, "pgi", "region", TREES)
-    rows = boost.importance(model, boost.design(d, FEATURES, "pgi", "region"), FEATURES)
+    d = boost.design(drivers(spark, sf), FEATURES, "pgi", "region")
+    rows = boost.importance(boost.train(d, [(None, FEATURES)])[0], d)
     return rounded(spark.createDataFrame([tuple(r.values()) for r in rows], "feature string, mean_abs_shap double, mean_shap double, gain double"), 4)
 
 

@@ -119,8 +119,8 @@ def driver_tables(spark: SparkSession, df: DataFrame, iterations: int = 400) ->
     write_table(tables.level_spread(p, ["prep_no_time_or_money", "prep_needs_more_info"], "pgi").withColumnRenamed("spread", "spread_agree_minus_disagree"), "gap_barrier_direction")
     rows = [tuple(r.values()) for r in boost.comparison(p, kept, demographic, "pgi", "country_grouped", iterations)]
     write_table(spark.createDataFrame(rows, "model string, n_features long, r2_oof double, mae_oof double"), "gap_model_comparison")
-    _, _, model = boost.out_of_fold(p, kept, "pgi", "country_grouped", iterations)
-    rows = [tuple(r.values()) for r in boost.importance(model, boost.design(p, kept, "pgi", "country_grouped"), kept)]
+    d = boost.design(p, kept, "pgi", "country_grouped")
+    rows = [tuple(r.values()) for r in boost.importance(boost.train(d, [(None, kept)], iterations)[0], d)]
     write_table(spark.createDataFrame(rows, "feature string, mean_abs_shap double, mean_shap double, gain double"), "gap_importance")
 
 

@@ -113,60 +113,155 @@ def test_boosting_finds_the_planted_driver(spark):
         rows.append((float(np.clip(0.4 + 0.1 * b + rng.normal() * 0.05, 0, 1)), b if i % 20 else None, float(rng.integers(18, 80)), str(rng.integers(1, 3)), "ABCDE"[i % 5]))
     d = spark.createDataFrame(rows, "pgi double, prep_no_time_or_money double, age double, gender string, country_grouped string")
     features = ["prep_no_time_or_money", "age", "gender"]
-    m, oof, model = boost.out_of_fold(d, features, "pgi", "country_grouped", 30)
+    m, oof, model, coded = boost.out_of_fold(d, features, "pgi", "country_grouped", 60)
     assert m["r2_oof"] > 0.5 and oof.count() == 1500 and oof.where("prediction IS NULL").count() == 0 and m["mae_oof"] < m["mae_baseline"]
-    top = boost.importance(model, boost.design(d, features, "pgi", "country_grouped"), features, 500)
+    top = boost.importance(model, coded)
     assert top[0]["feature"] == "prep_no_time_or_money" and top[0]["mean_abs_shap"] > 3 * top[1]["mean_abs_shap"]
     assert abs(sum(r["gain"] for r in top) - 1) < 1e-9
     assert set(boost.folds(d, "country_grouped").values()) == set(range(5))
+    table = boost.comparison(d, features, ["age"], "pgi", "country_grouped", 60)
+    assert [r["n_features"] for r in table] == [0, 1, 3] and abs(table[2]["r2_oof"] - m["r2_oof"]) < 1e-9 and table[0]["mae_oof"] == m["mae_baseline"]
+
+
+def boosted_rows(n, seed=9):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        a, b, c = float(rng.integers(0, 4)), float(rng.integers(0, 55)) / 7, str(rng.integers(0, 5))
+        rows.append((a * 0.3 - 0.02 * b + (0.5 if c in "13" else 0) * (a > 1) + float(rng.normal()) * 0.1, a if i % 9 else None, b, c if i % 13 else None, "ABC"[i % 3]))
+    return rows
+
+
+BOOSTED = "pgi double, prep_no_time_or_money double, age double, gender string, country_grouped string"
+BOOSTED_FEATURES = ["prep_no_time_or_money", "age", "gender"]
+
+
+def plain_boost(rows, rounds, leaves, min_rows, rate=0.05):
+    """Fitted values, row by row: the leaf that gains most first, every cut of every feature tried."""
+    y, fit = np.array([r[0] for r in rows]), np.full(len(rows), np.mean([r[0] for r in rows]))
+    nan = np.array([[math.nan if v is None else float(v) for v in r[1:4]] for r in rows])
+
+    def best(idx, res):
+        g, n, found = res[idx].sum(), len(idx), []
+        for f in range(3):
+            v = nan[idx, f]
+            values = sorted({x for x in v if x == x})
+            if f == 2:
+                keys = sorted([math.nan] * bool(np.isnan(v).any()) + values, key=lambda c: round(res[idx][np.isnan(v) if c != c else v == c].mean(), 12))
+                orders = [keys]
+            else:
+                orders = [[math.nan, *values], [*values, math.nan]]
+            for keys in orders:
+                left = np.zeros(n, bool)
+                for c in keys[:-1]:
+                    left = left | (np.isnan(v) if c != c else v == c)
+                    k = left.sum()
+                    if min(k, n - k) >= min_rows:
+                        s = res[idx][left].sum()
+                        found.append((s**2 / k + (g - s) ** 2 / (n - k) - g**2 / n, left))
+        if not found:
+            return None
+        top = max(x for x, _ in found)
+        return next((x, idx[m], idx[~m]) for x, m in found if x >= top - 1e-9 * abs(top))
+
+    for _ in range(rounds):
+        res = y - fit
+        open_leaves = [(np.arange(len(y)), best(np.arange(len(y)), res))]
+        while len(open_leaves) < leaves:
+            some = [k for k, (_, s) in enumerate(open_leaves) if s and s[0] > 1e-12 * len(y)]
+            if not some:
+                break
+            _, (_, l, r) = open_leaves.pop(max(some, key=lambda k: open_leaves[k][1][0]))
+            open_leaves += [(l, best(l, res)), (r, best(r, res))]
+        for idx, _ in open_leaves:
+            fit[idx] += rate * res[idx].mean()
+    return y, fit
+
+
+def test_boosting_brute(spark):
+    """400 rounds: fitted values and R2 of a plain version on rows; all features in every tree."""
+    rows = boosted_rows(260)
+    d = boost.design(spark.createDataFrame(rows, BOOSTED), BOOSTED_FEATURES, "pgi", "country_grouped")
+    model = boost.train(d, [(None, BOOSTED_FEATURES)], leaves=7, min_rows=12, feature_share=1.0)[0]
+    assert len(model.trees) == 400 and max(len(t.splits) for t in model.trees) == 6
+    y, want = plain_boost(rows, 400, 7, 12)
+    got = boost.predict(d, {None: model}).collect()
+    pairs = sorted((r.y, r.prediction) for r in got)
+    np.testing.assert_allclose([p for _, p in pairs], [w for _, w in sorted(zip(y, want))], atol=1e-7)
+    m = boost.metrics(d, boost.predict(d, {None: model}), 3)
+    assert abs(m["r2_oof"] - (1 - ((y - want) ** 2).sum() / ((y - y.mean()) ** 2).sum())) < 1e-7
+
+
+def test_boosting_over_many_tasks(spark, monkeypatch):
+    """Histograms by jobs, over blocks, with saved predictions, give the models that tasks of their own give."""
+    rows = spark.createDataFrame(boosted_rows(500), BOOSTED)
+    models = [(0, BOOSTED_FEATURES), (1, BOOSTED_FEATURES[1:]), (None, BOOSTED_FEATURES)]
+    small = dict(iterations=7, leaves=6, min_rows=10)
+    want = boost.train(boost.design(rows, BOOSTED_FEATURES, "pgi", "country_grouped"), models, **small)
+    monkeypatch.setattr(boost, "BLOCK", 60)
+    monkeypatch.setattr(boost, "TASK", 1)
+    monkeypatch.setattr(boost, "SAVE", 3)
+    d = boost.design(rows, BOOSTED_FEATURES, "pgi", "country_grouped")
+    assert d.tasks > 2
+    for got in (boost.train(d, models, **small), boost.train(d, models, apart=True, **small)):
+        for a, b in zip(want, got):
+            assert [[(s[0], s[1], s[3]) for s in t.splits] for t in a.trees] == [[(s[0], s[1], s[3]) for s in t.splits] for t in b.trees]
+            for t, u in zip(a.trees, b.trees):
+                np.testing.assert_allclose(t.value, u.value, atol=1e-12)
+
+
+def test_codings_of_features(spark):
+    """Numbers in order of their bins, rare categories together, missing values and NaN in bin 0."""
+    rows = [(0.5, float(i), float(i % 3) if i % 5 else None, f"c{min(i, 70)}" if i else None, "AB"[i % 2]) for i in range(400)] + [(0.1, math.nan, None, "c1", "A")]
+    d = boost.design(spark.createDataFrame(rows, "y double, age double, few double, gender string, g string"), ["age", "few", "gender"], "y", "g")
+    x = sorted(tuple(r.x) for r in d.rows.collect())
+    assert {k for _, k, _ in x} == {0, 1, 2, 3} and {k for _, _, k in x} == set(range(64)) and x[0][0] == 0
+    assert len({k for k, *_ in x}) > 50 and max(k for k, *_ in x) < 64
+    with pytest.raises(ValueError):
+        boost.design(spark.createDataFrame([], "y double, age double, g string"), ["age"], "y", "g")
 
 
 def test_shapley_values(spark):
-    """Against every coalition in turn, and summing to the prediction less the mean."""
+    """Against every coalition in turn, and every row's values sum to its prediction less the mean."""
     from itertools import combinations
     from math import factorial
 
-    from pyspark.ml.functions import vector_to_array
-
-    rng = np.random.default_rng(9)
-    rows = []
-    for i in range(1200):
-        a, b, c = float(rng.integers(0, 4)), float(rng.integers(0, 3)), str(rng.integers(0, 5))
-        rows.append((a * 0.3 - 0.2 * b + (0.5 if c in "13" else 0) * (a > 1), a if i % 9 else None, b, c, "AB"[i % 2]))
-    features = ["prep_no_time_or_money", "age", "gender"]
-    d = spark.createDataFrame(rows, "pgi double, prep_no_time_or_money double, age double, gender string, country_grouped string")
-    data = boost.design(d, features, "pgi", "country_grouped").cache()
-    model = boost._model(6).fit(data)
-    got = model.transform(data).groupBy(vector_to_array("features").alias("x")).agg(F.count("*").alias("n"), F.first("prediction").alias("p")).collect()
-    x, n, p = np.array([r["x"] for r in got]), np.array([r["n"] for r in got], float), np.array([r["p"] for r in got])
-    phi, mean = boost.shapley(model, x, n)
-    np.testing.assert_allclose(phi.sum(1) + mean, p, atol=1e-9)
-    assert abs(mean - n @ p / n.sum()) < 0.05
-
-    def value(leaves, row, known):
-        total = 0.0
-        for v, path in leaves:
-            inside, share = np.ones(len(x), bool), 1.0
-            for c in path:
-                now = inside & boost._holds(x, c)
-                if c[0] in known:
-                    share *= boost._holds(row[None], c)[0]
-                else:
-                    share *= n[now].sum() / n[inside].sum()
-                inside = now
-            total += v * share
-        return total
+    d = boost.design(spark.createDataFrame(boosted_rows(600), BOOSTED), BOOSTED_FEATURES, "pgi", "country_grouped")
+    model = boost.train(d, [(None, BOOSTED_FEATURES)], iterations=8, leaves=8, min_rows=20)[0]
+    got = boost.explain(d, model).collect()
+    rows = [(r.y, tuple(r.x)) for r in d.rows.collect()]
+    x, n = np.unique(np.array([r for _, r in rows], np.uint8), axis=0, return_counts=True)
+    phi, mean = boost.shapley(model, x)
+    assert len(got) == 600
+    for r in got:
+        assert abs(sum(r.shap) + mean - r.prediction) < 1e-9
+    np.testing.assert_allclose(mean, np.mean([r.prediction for r in got]), atol=1e-9)
+    top = {r["feature"]: r for r in boost.importance(model, d)}
+    np.testing.assert_allclose([top[f]["mean_abs_shap"] for f in BOOSTED_FEATURES], n @ np.abs(phi) / n.sum(), atol=1e-12)
+    np.testing.assert_allclose([top[f]["mean_shap"] for f in BOOSTED_FEATURES], n @ phi / n.sum(), atol=1e-12)
+
+    def value(tree, row, known):
+        splits = {node: rest for node, *rest in tree.splits}
+
+        def below(node):
+            if node not in splits:
+                return tree.value[node]
+            f, left, l, r = splits[node]
+            if f in known:
+                return below(l if left[row[f]] else r)
+            return (tree.rows[l] * below(l) + tree.rows[r] * below(r)) / tree.rows[node]
+
+        return below(0)
 
     k = x.shape[1]
     for row, want in list(zip(x, phi))[::17]:
         brute = np.zeros(k)
-        for tree, w in zip(model.trees, model.treeWeights):
-            ls = boost.leaves(tree)
+        for tree in model.trees:
             for f in range(k):
                 rest = [g for g in range(k) if g != f]
                 for size in range(k):
                     for s in combinations(rest, size):
-                        brute[f] += w * factorial(size) * factorial(k - size - 1) / factorial(k) * (value(ls, row, {*s, f}) - value(ls, row, set(s)))
+                        brute[f] += factorial(size) * factorial(k - size - 1) / factorial(k) * (value(tree, row, {*s, f}) - value(tree, row, set(s)))
         np.testing.assert_allclose(want, brute, atol=1e-9)
 
 
