@@ -335,3 +335,49 @@ def test_crosswalk(spark):
     assert [(x["home_item"], round(x["conversion_gap_pp"], 6), x["match_quality"]) for x in r] == [("w", -10.0, "partial"), ("x", 10.0, "exact")]
     assert [(x["note"], x["recall_windows_differ"]) for x in r] == [("wider", True), ("same", True)]
     assert conversion.crosswalk_compare(c.drop("note"), a, g).where("note IS NULL").count() == 2
+
+
+def test_normal_distribution_function():
+    x = np.array([-37.5, -12, -6, -3.0001, -3, -2.9, -0.3, 0, 1e-9, 0.7, 2.999, 3.2, 8, 37, 40, -np.inf, np.inf])
+    want = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x])
+    np.testing.assert_allclose(probit.below(x), want, rtol=1e-12)
+    np.testing.assert_allclose(probit.between(np.array([8.0, -8.5]), np.array([8.5, -8.0])), [0.5 * (math.erfc(8 / math.sqrt(2)) - math.erfc(8.5 / math.sqrt(2)))] * 2, rtol=1e-12)
+
+
+def test_ordered_probit_brute(spark, monkeypatch):
+    """At the result, the likelihood's slope, taken numerically row by row, is 0 and its curvature gives the errors; any blocks."""
+    rng = np.random.default_rng(14)
+    x, g = rng.integers(0, 30, 900) / 10.0, rng.integers(1, 4, 900).astype(float)
+    y = np.digitize(0.5 * x - 0.7 * (g == 3) + rng.normal(size=900), [0.2, 1.1, 2.0]).astype(float)
+    d = spark.createDataFrame([(float(a), float(b), 7.0, float(c)) for a, b, c in zip(y, x, g)], "y double, x double, flat double, g double")
+    f = probit.fit(d, "y", ["x", "flat"], ["g"])
+    coef = {r["term"]: r for r in f["coefficients"]}
+    assert set(coef) == {"x", "g_2", "g_3"}
+    cdf = np.vectorize(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)))
+
+    def loss(t):
+        cuts = np.concatenate([[-50], t[:3], [50]])
+        eta = t[3] * x + t[4] * (g == 2) + t[5] * (g == 3)
+        k = y.astype(int)
+        return np.log(cdf(cuts[k + 1] - eta) - cdf(cuts[k] - eta)).sum()
+
+    at = np.array([*f["thresholds"], *[coef[c]["coef"] for c in ("x", "g_2", "g_3")]])
+    e = np.eye(6) * 1e-3
+    slope = [(loss(at + v) - loss(at - v)) / 2e-3 for v in e]
+    np.testing.assert_allclose(slope, 0, atol=1e-2)
+    hess = np.array([[(loss(at + u + v) - loss(at + u - v) - loss(at - u + v) + loss(at - u - v)) / 4e-6 for u in e] for v in e])
+    np.testing.assert_allclose([coef[c]["std_err"] for c in ("x", "g_2", "g_3")], np.sqrt(np.diag(np.linalg.inv(-hess)))[3:], rtol=1e-3)
+    share = np.bincount(y.astype(int)) / 900
+    assert f["pseudo_r2"] == pytest.approx(1 - loss(at) / (900 * (share * np.log(share)).sum()))
+    monkeypatch.setattr(probit, "BLOCK", 20)
+    monkeypatch.setattr(probit, "TASK", 2)
+    again = probit.fit(d.repartition(5), "y", ["x", "flat"], ["g"])
+    np.testing.assert_allclose([r["coef"] for r in again["coefficients"]], [r["coef"] for r in f["coefficients"]], rtol=1e-9)
+    assert again["accuracy"] == f["accuracy"]
+    with pytest.raises(ValueError, match="levels"):
+        probit.fit(spark.range(600).selectExpr("CAST(id AS double) AS y", "CAST(id % 3 AS double) AS x"), "y", ["x"])
+
+
+def test_best_domain():
+    fit = lambda lift: {"n": 1, "accuracy": 0.5, "baseline": 0.5 - lift, "lift": lift, "pseudo_r2": 0.1}
+    assert probit.best_domain({"b": fit(0.2), "a": fit(0.2), "c": fit(-0.1)})["domain"] == "a"
