@@ -79,17 +79,18 @@ def first_per_group(df: DataFrame, group: Sequence[str] | str, order: Sequence[s
     return df.groupBy(*group).agg(F.min(row).alias("r")).select(*group, "r.*")
 
 
-def mean_ranks(counts: DataFrame) -> DataFrame:
-    """(v, rank) of ``counts`` (v, n), distinct values and how often they occur: ties take their mean rank.
+def mean_ranks(counts: DataFrame, group: str | None = None) -> DataFrame:
+    """(group, v, rank) of ``counts`` (group, v, n), distinct values and how often they occur: ties take their mean rank.
 
-    Ranks are sums within ranges of values on top of the sums of earlier ranges (a row per range).
+    Ranks are sums within ranges of values on top of the sums of earlier ranges (a row per group and range).
     """
-    t = in_order(counts, "v")
-    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = t.groupBy("part").agg(F.sum("n").alias("held")).select("part", F.coalesce(F.sum("held").over(over), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.join(F.broadcast(parts), "part")  # as many rows as partitions
-    return t.select("v", (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + (F.col("n") + 1) / 2).alias("rank"))
+    by = [group] if group else []
+    t = in_order(counts, *by, "v")
+    over = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = t.groupBy(*by, "part").agg(F.sum("n").alias("held")).select(*by, "part", F.coalesce(F.sum("held").over(over), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*by, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.join(parts, [*by, "part"])
+    return t.select(*by, "v", (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -603,9 +603,14 @@ def irt_fit_2pl(spark, sf):
 
 @query()
 def irt_transfer(spark, sf):
-    r = irt.transfer(answers(spark, sf), ANSWERS, "grp", "target")
-    cols = ("target", "n_target", "n_calibration_pooled", "n_calibration_native", "theta_correlation", "theta_rank_correlation", "difficulty_correlation", "mean_abs_pri_difference", "passes_transfer")
-    return rounded(spark.createDataFrame([tuple(r[c] for c in cols)], "target string, n_target long, n_calibration_pooled long, n_calibration_native long, theta_correlation double, theta_rank_correlation double, difficulty_correlation double, mean_abs_pri_difference double, passes_transfer boolean"), 3)
+    return rounded(irt.transfers(answers(spark, sf), ANSWERS, "grp", ["target"])[0], 3)
+
+
+@query()
+def irt_transfer_by_country(spark, sf):
+    s = survey(spark, sf)
+    t = s.select("country_grouped", *[F.col(f"act{i}").alias(f"act_{i}") for i in range(1, 6)])
+    return rounded(irt.transfers(t, ANSWERS, "country_grouped", min_target=100)[0], 3)
 
 
 @query("SELECT 'difficulty ranks against observed frequency' AS \"check\", -1.0E0 AS b_harder, CAST(NULL AS DOUBLE) AS b_easier, true AS \"pass\"")

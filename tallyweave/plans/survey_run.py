@@ -126,14 +126,15 @@ def driver_tables(spark: SparkSession, df: DataFrame, iterations: int = 400) ->
 
 def holdout_tables(spark: SparkSession, df: DataFrame, focus: Sequence[str] = FOCUS) -> None:
     items = list(ITEMS.values())
-    keys = ("target", "n_target", "n_calibration_pooled", "n_calibration_native", "theta_correlation", "theta_rank_correlation", "difficulty_correlation", "mean_abs_pri_difference", "passes_transfer")
-    found, compared = [], None
-    for c in focus:
-        r = irt.transfer(df, items, "country_grouped", c)
-        found.append(tuple(r[k] for k in keys))
-        d = irt.difficulty_comparison(spark, r["pooled"], r["native"]).withColumn("country", F.lit(c))
+    table, banks = irt.transfers(df, items, "country_grouped", focus)
+    few = [r["target"] for r in table.where("theta_correlation IS NULL").collect()]
+    if few:
+        raise ValueError(f"holdout_tables: too few complete cases in {', '.join(few)}")
+    write_table(table.withColumnRenamed("target", "country"), "holdout_transfer")
+    compared = None
+    for c, (pooled, native) in banks.items():
+        d = irt.difficulty_comparison(spark, pooled, native).withColumn("country", F.lit(c))
         compared = d if compared is None else compared.unionByName(d)
-    write_table(spark.createDataFrame(found, "country string, n_target long, n_calibration_pooled long, n_calibration_native long, theta_correlation double, theta_rank_correlation double, difficulty_correlation double, mean_abs_pri_difference double, passes_transfer boolean"), "holdout_transfer")
     if compared is not None:
         write_table(labelled(compared.withColumn("item", F.regexp_replace("item", "^act_", ""))), "holdout_difficulty_compare")
 

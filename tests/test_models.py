@@ -381,3 +381,62 @@ def test_ordered_probit_brute(spark, monkeypatch):
 def test_best_domain():
     fit = lambda lift: {"n": 1, "accuracy": 0.5, "baseline": 0.5 - lift, "lift": lift, "pseudo_r2": 0.1}
     assert probit.best_domain({"b": fit(0.2), "a": fit(0.2), "c": fit(-0.1)})["domain"] == "a"
+
+
+def test_em_over_many_tasks_and_items(spark, monkeypatch):
+    """30 items; banks of their own tasks, of jobs over many blocks, and of plain EM on the persons agree."""
+    rng = np.random.default_rng(21)
+    k = 30
+    a, b = rng.uniform(0.8, 1.8, k), np.linspace(-1.5, 1.5, k)
+    theta = rng.normal(size=900)
+    x = (rng.random((900, k)) < 1 / (1 + np.exp(-a * (theta[:, None] - b)))).astype(float)
+    items = [f"i{j}" for j in range(k)]
+    d = spark.createDataFrame([tuple(map(int, r)) for r in x], ", ".join(f"{c} int" for c in items))
+    counts = irt.patterns(d, items)
+    at = irt.begin(x.mean(0))
+    for _ in range(12):
+        at = irt.improved(irt.expected(x, np.ones(len(x)), *at), *at)
+    same = dict(rounds=12, tolerance=0.0)
+    one = irt.fit_banks(counts, items, {"all": {"n": 1.0}}, **same)["all"]
+    monkeypatch.setattr(irt, "BLOCK", 100)
+    monkeypatch.setattr(irt, "TASK", 2)
+    many = irt.fit_banks(counts, items, {"all": {"n": 1.0}, "half": {"n": 0.5}}, **same)
+    for bank in (one, many["all"], many["half"]):
+        by = {r["item"]: r for r in bank}
+        np.testing.assert_allclose([by[c]["discrimination"] for c in items], at[0], atol=1e-8)
+        np.testing.assert_allclose([by[c]["difficulty"] for c in items], -at[1] / at[0], atol=1e-8)
+    assert np.corrcoef([by[c]["difficulty"] for c in items], b)[0, 1] > 0.98
+
+
+def test_transfers_of_all_groups(spark, answers):
+    """A row per group, equal to one group at a time by hand; small, unknown and null groups."""
+    d = answers.select(F.when(F.col("grp") == "t", "t").when(F.col("id") % 3 == 0, "u").when(F.col("id") % 500 == 1, "tiny").when(F.col("id") % 7 > 0, "v").alias("g"), *ITEMS)
+    table, banks = irt.transfers(d, ITEMS, "g")
+    rows = {r["target"]: r for r in table.collect()}
+    assert set(rows) == {"t", "u", "v", "tiny"} and set(banks) == {"t", "u", "v"}
+    assert rows["tiny"]["theta_correlation"] is None and 0 < rows["tiny"]["n_target"] < 300
+    whole = [(r["g"], [r[c] for c in ITEMS]) for r in d.collect() if all(r[c] is not None for c in ITEMS)]
+    for g, r in rows.items():
+        if g == "tiny":
+            continue
+        native, pooled = ([x for h, x in whole if (h == g) == own] for own in (True, False))
+        assert (r["n_target"], r["n_calibration_native"], r["n_calibration_pooled"]) == (len(native), len(native), len(pooled))
+        x, theta = np.array(native), []
+        for people, bank in ((np.array(pooled), banks[g][0]), (x, banks[g][1])):
+            at = irt.begin(people.mean(0))
+            for _ in range(500):
+                before, at = at, irt.improved(irt.expected(people, np.ones(len(people)), *at), *at)
+                if irt.moved(before, at) < irt.TOLERANCE:
+                    break
+            by = {q["item"]: q for q in bank}
+            np.testing.assert_allclose([by[c]["discrimination"] for c in ITEMS], at[0], atol=1e-6)
+            mass = irt.likelihoods(x, *at) * irt.prior()
+            theta.append(mass @ irt.NODES / mass.sum(1))
+        rank = [np.array([(v < w).sum() + ((v == w).sum() + 1) / 2 for w in v]) for v in map(lambda t: np.round(t, 9), theta)]
+        assert r["theta_correlation"] == pytest.approx(np.corrcoef(*theta)[0, 1], abs=1e-6)
+        assert r["theta_rank_correlation"] == pytest.approx(np.corrcoef(*rank)[0, 1], abs=1e-6)
+        pri = [np.round(100 * probit.below(t), 1) for t in theta]
+        assert r["mean_abs_pri_difference"] == pytest.approx(np.abs(pri[0] - pri[1]).mean(), abs=1e-3)
+    with pytest.raises(ValueError):
+        irt.transfer(d, ITEMS, "g", "tiny")
+    assert irt.transfers(d, ITEMS, "g", ["nobody"])[0].first()["n_target"] == 0
