@@ -62,13 +62,22 @@ def variance_audit(df: DataFrame, cols: Sequence[str], min_unique: int = 2, min_
     return out.orderBy(F.desc("drop"), "std", "column")
 
 
+def frequencies(df: DataFrame, columns: Sequence[str], labels: dict[str, dict] | None = None) -> DataFrame:
+    """(column, value, label, n, pct) of all ``columns`` in one scan: each value (missing included), percent with one decimal.
+
+    Values are counted by column first, so that no column and no value is ever in one place as rows.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    t = df.select(F.explode(pairs).alias("p")).groupBy("p.column", F.coalesce("p.value", F.lit("missing")).alias("value")).agg(F.count("*").alias("n"))
+    t = with_row(t, df.agg(F.count("*").alias("total")))
+    known = [F.lit(str(x)) for c, own in (labels or {}).items() for k, v in own.items() for x in (f"{c}\0{k}", v)]
+    label = F.try_element_at(F.create_map(*known), F.concat_ws("\0", "column", "value")) if known else F.lit(None).cast("string")
+    return t.select("column", "value", F.coalesce(label, F.col("value")).alias("label"), "n", F.round(100.0 * F.col("n") / F.col("total"), 1).alias("pct"))
+
+
 def frequency_table(df: DataFrame, col: str, labels: dict | None = None) -> DataFrame:
-    """Each value (missing included) with its label, count and percent, one decimal."""
-    t = df.groupBy(F.coalesce(F.col(col).cast("string"), F.lit("missing")).alias("value")).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("total"))
-    t = with_row(t, total)
-    known = F.create_map(*[F.lit(str(x)) for kv in (labels or {"": ""}).items() for x in kv])
-    return t.select("value", F.coalesce(F.try_element_at(known, F.col("value")), F.col("value")).alias("label"), "n", F.round(100.0 * F.col("n") / F.col("total"), 1).alias("pct"))
+    """``frequencies`` of one column."""
+    return frequencies(df, [col], {col: labels or {}}).drop("column")
 
 
 def first_per_group(df: DataFrame, group: Sequence[str] | str, order: Sequence[str]) -> DataFrame:
@@ -131,7 +140,7 @@ def ranked(df: DataFrame, by: str, tie: str) -> DataFrame:
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """At most n rows, the same for a seed whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def stack_scopes(tables: dict[str, DataFrame], name: str = "scope") -> DataFrame:

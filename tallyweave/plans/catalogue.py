@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import estimators as E
 from ..functions import expr as X
-from ..operators import boost, conversion, gate, indices, irt, probit, quantile, tables
+from ..operators import boost, clean, conversion, gate, indices, irt, probit, quantile, tables
+from ..sources import store
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,30 +196,85 @@ def clean_country_grouped(spark, sf):
     return t.groupBy("country", "country_grouped", "region").agg(F.count("*").alias("n"))
 
 
-AUDIT_STEPS = {"horizons": "off-scale codes nulled", "agreement": "off-scale codes nulled, scales reversed", "battery": "don't know leaves the battery unanswered"}
+def flags_as_doubles(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(c) if kind == "boolean" else F.col(c).cast("long").alias(c) if kind in ("int", "tinyint") else F.col(c) for c, kind in df.dtypes])
 
 
-@query(
-    V.SURVEY_SQL
-    + """, c AS (SELECT count(*) AS n, sum((h1 > 4)::INT + (h2 > 4)::INT + (h3 > 4)::INT + (h4 > 4)::INT + (h5 > 4)::INT) AS horizons,
-  sum((q_info > 4)::INT + (q_prep > 4)::INT + (q_barrier > 4)::INT) AS agreement, sum(CASE WHEN adk THEN 5 ELSE 0 END) AS battery FROM s)
-"""
-    + " UNION ALL ".join(f"SELECT '{k}' AS step, n AS rows_in, n AS rows_out, 0::BIGINT AS rows_lost, {k}::BIGINT AS cells_nulled, '{v.replace(chr(39), chr(39) * 2)}' AS reason FROM c" for k, v in AUDIT_STEPS.items())
-)
+def cleaned_columns() -> str:
+    """The cleaned table's columns as SQL, flags as doubles."""
+    flags = [n for n in clean.agreement_columns()]
+    out = ["* EXCLUDE (" + ", ".join([f"{n}_agree" for n in flags] + [f"{n}_{k}" for n in clean.horizon_columns() for k in ("not_applicable", "dont_know")]) + ")"]
+    out += [f"CAST(CAST({n}_agree AS INT) AS DOUBLE) AS {n}_agree" for n in flags]
+    out += [f"CAST(CAST({n}_{k} AS INT) AS DOUBLE) AS {n}_{k}" for n in clean.horizon_columns() for k in ("not_applicable", "dont_know")]
+    out += ["CAST(CAST(info_saw_info_last_12m_agree AS INT) AS DOUBLE) AS saw_info", "CAST(CAST(n_actions > 0 AS INT) AS DOUBLE) AS took_any_action"]
+    return ", ".join([*out, " + ".join(f"CAST({n} IS NOT NULL AS BIGINT)" for n in clean.horizon_columns()) + " AS n_horizon_answered"])
+
+
+@query(f"{V.questionnaire_sql()} SELECT {cleaned_columns()} FROM c")
+def clean_questionnaire(spark, sf):
+    return flags_as_doubles(clean.features(clean.clean(V.questionnaire(spark, sf))))
+
+
+def audit_sql() -> str:
+    off = lambda cols: " + ".join(f'count(*) FILTER ("{c}" IN ({clean.NOT_APPLICABLE}, {clean.DONT_KNOW}))' for c in cols)
+    lost = " + ".join(f'count(*) FILTER ("qc6.15" = 1 AND "{c}" IS NOT NULL)' for c in [*clean.ACTIONS, "qc6.14"])
+    unusable = {w: f"count(*) FILTER ({w} IS NULL OR {w} <= 0)" for w in clean.WEIGHTS.values()}
+    weights = " || ', ' || ".join(f"'{w} ' || (SELECT {e} FROM c)" for w, e in unusable.items())
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    own = f"(SELECT mismatches FROM r) || ' of ' || (SELECT comparable FROM r) || {quoted(clean.STEPS[4][2].partition('{comparable}')[2])}"
+    cells = {"durations": f"(SELECT {off(clean.HORIZONS)} FROM q)", "agreement": f"(SELECT {off([*clean.INFORMATION, *clean.ATTITUDES])} FROM q)", "battery": f"(SELECT {lost} FROM q)"}
+    reasons = {"own count": own, "weights": f"'not usable: ' || {weights}"}
+    rows = [
+        f"SELECT '{k}_{name}' AS step, (SELECT count(*) FROM q) AS rows_in, (SELECT count(*) FROM c) AS rows_out, 0::BIGINT AS rows_lost, {cells.get(name, '0')}::BIGINT AS cells_nulled, {reasons.get(name) or quoted(reason)} AS reason"
+        for k, (name, _, reason, _) in enumerate(clean.STEPS, 1)
+    ]
+    return " UNION ALL ".join(rows)
+
+
+RECONCILED = f"""SELECT count(*) FILTER (fit) AS comparable, count(*) FILTER (fit AND counted <> n_actions_survey_banded) AS mismatches FROM (
+  SELECT *, counted IS NOT NULL AND coalesce(n_actions_survey_banded < {clean.DONT_KNOW}, false) AS fit FROM (
+    SELECT *, CASE WHEN n_actions IS NOT NULL THEN least(n_actions + coalesce(act_other, 0), {clean.BAND_TOP}.0E0) END AS counted FROM c))"""
+
+
+@query(f"{V.questionnaire_sql()}, r AS ({RECONCILED}) {audit_sql()}")
 def clean_audit(spark, sf):
-    s = survey(spark, sf)
-    lost = lambda before, after: F.sum(sum((F.col(a).isNotNull() & F.col(b).isNull()).cast("int") for a, b in zip(before, after))).cast("long")
-    counts = {"horizons": lost([f"h{i}" for i in range(1, 6)], [f"d{i}" for i in range(1, 6)]), "agreement": lost(["q_info", "q_prep", "q_barrier"], ["info", "prep", "barrier"]), "battery": lost(V.ACTIONS.keys(), V.ACTIONS.values())}
-    one = s.agg(F.count("*").alias("n"), *[c.alias(k) for k, c in counts.items()])
-    zero = F.lit(0).cast("long")
-    rows = [F.struct(F.lit(k).alias("step"), F.col("n").alias("rows_in"), F.col("n").alias("rows_out"), zero.alias("rows_lost"), F.col(k).alias("cells_nulled"), F.lit(v).alias("reason")) for k, v in AUDIT_STEPS.items()]
-    return one.select(F.inline(F.array(*rows)))
+    return clean.clean_and_audit(V.questionnaire(spark, sf))[1]
 
 
-@query(V.SURVEY_SQL + "SELECT count(*) FILTER (NOT adk) AS comparable, count(*) FILTER (NOT adk AND least(a1 + a2 + a3 + a4 + a5, 3) <> h1) AS mismatches FROM s")
+@query(f"{V.questionnaire_sql()} {RECONCILED}")
 def reconcile_counts(spark, sf):
-    banded = X.clip_upper(X.row_sum([f"act{i}" for i in range(1, 6)]), 3)
-    return survey(spark, sf).agg(F.count_if(banded.isNotNull()).alias("comparable"), F.count_if(banded != F.col("h1")).alias("mismatches"))
+    return clean.reconcile(clean.clean(V.questionnaire(spark, sf)))
+
+
+TRACED = {"qc7_1": "days_water", "qc7_5": "days_medication", "qc5_2": "info_feels_informed", "qc8_2": "prep_feels_well_prepared", "qc6.1": "act_emergency_food_drink"}
+
+
+@query(
+    f"{V.questionnaire_sql()} "
+    + " UNION ALL ".join(
+        f"""SELECT '{r}' AS "column", CAST("{r}" AS DOUBLE) AS raw_code, CAST(min(c.uniqid) AS BIGINT) AS example, CASE WHEN count(*) FILTER (c.uniqid = m.low AND c.{n} IS NULL) = 0 THEN min(c.{n}) FILTER (c.uniqid = m.low) END AS clean_value, count(*) AS n
+FROM q JOIN c ON q.uniqid = c.uniqid JOIN (SELECT "{r}" AS k, min(uniqid) AS low FROM q GROUP BY 1) m ON m.k IS NOT DISTINCT FROM q."{r}" GROUP BY q."{r}\""""
+        for r, n in TRACED.items()
+    )
+)
+def trace_codes(spark, sf):
+    raw = V.questionnaire(spark, sf)
+    return store.trace_codes(raw, clean.clean(raw), "uniqid", TRACED)
+
+
+CODED = {"orders": ("o_orderstatus", "o_orderpriority"), "lineitem": ("l_returnflag", "l_linestatus", "l_linenumber")}
+CODE_LABELS = {"o_orderstatus": {"F": "Filled", "O": "Open"}, "l_linenumber": {1: "first"}}
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", coalesce(CAST({c} AS VARCHAR), 'missing') AS value, coalesce({'CASE ' + ' '.join(f"WHEN CAST({c} AS VARCHAR) = '{k}' THEN '{v}'" for k, v in CODE_LABELS[c].items()) + ' END' if c in CODE_LABELS else 'NULL'}, CAST({c} AS VARCHAR), 'missing') AS label, count(*) AS n, round(100.0E0 * count(*) / (SELECT count(*) FROM {t}), 1) AS pct FROM {t} GROUP BY {c}"""
+        for t, cols in CODED.items()
+        for c in cols
+    )
+)
+def codebook_frequencies(spark, sf):
+    return tables.stack_scopes({t: tables.frequencies(V.read(spark, sf, t), cols, CODE_LABELS) for t, cols in CODED.items()}).drop("scope")
 
 
 STATUS = {"F": "Filled", "O": "Open"}

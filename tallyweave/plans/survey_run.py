@@ -53,8 +53,7 @@ def labelled(df: DataFrame) -> DataFrame:
 
 def etl(spark: SparkSession, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The feature table, written as ``survey_respondents``, and the audit with the feature step."""
-    cleaned = clean.clean(raw)
-    audit = clean.audit(raw, cleaned)
+    cleaned, audit = clean.clean_and_audit(raw)
     n = write_table(clean.features(cleaned), "survey_respondents")
     last = audit.orderBy(F.desc("step")).limit(1).select(F.lit("8_features"), "rows_out", F.lit(n), F.col("rows_out") - n, F.lit(0), F.lit("awareness, any action and answered horizons added"))
     audit = audit.union(last)

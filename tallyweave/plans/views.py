@@ -124,6 +124,52 @@ RHI_SQL = SURVEY_SQL + """, n AS (
 """
 
 
+def _questions() -> dict[str, str]:
+    """Column of the raw questionnaire to its expression over line items, in SQL that Spark and the oracle share."""
+    from ..operators import clean as C
+
+    code = lambda k, top: f"CAST((l_partkey + {k} * l_linenumber + l_suppkey) % {top} + 1 AS INT)"
+    out = {"uniqid": "l_orderkey * 10 + l_linenumber", "serialid": "l_orderkey"}
+    out["isocntry"] = "CASE l_suppkey % 4 WHEN 0 THEN ' lv ' WHEN 1 THEN 'DE-W' WHEN 2 THEN 'de-e' END"
+    out |= {"w1": "l_quantity", "w92": "l_quantity * (1 + l_tax)", "w22": "CASE WHEN l_linenumber <> 4 THEN l_quantity END"}
+    out |= {c: f"CASE WHEN l_linenumber % 7 <> {k % 7} THEN CAST((l_partkey + {k} * l_suppkey) % 3 = 0 AS INT) END" for k, c in enumerate(C.ACTIONS)}
+    out |= {"qc6.14": "CAST(l_partkey % 5 = 0 AS INT)", "qc6.15": "CAST(l_orderkey % 17 = 0 AS INT)", "qc6t": "CAST((l_partkey + l_linenumber) % 7 AS INT)"}
+    for k, c in enumerate((*C.HORIZONS, *C.INFORMATION, *C.ATTITUDES)):
+        out[c] = f"CASE WHEN (l_orderkey + {k}) % 11 <> 0 THEN {code(k, 6)} END"
+    return out | {c: code(k, 9) for k, c in enumerate((*C.CONTEXT, *C.DEMOGRAPHICS))}
+
+
+def questionnaire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as answers to the survey's questionnaire, codes as they are asked."""
+    return read(spark, sf_dir, "lineitem").select(*[F.expr(e).alias(c) for c, e in _questions().items()])
+
+
+def questionnaire_sql() -> str:
+    """``questionnaire`` as q, and its cleaned form as c."""
+    from ..operators import clean as C
+
+    raw = ", ".join(f'{e} AS "{c}"' for c, e in _questions().items())
+    num = lambda c: f'CAST("{c}" AS DOUBLE)'
+    on = lambda c: f'(CASE WHEN "{c}" NOT IN ({C.NOT_APPLICABLE}, {C.DONT_KNOW}) THEN {num(c)} END)'
+    cols = [f'{num("uniqid")} AS uniqid', f'{num("serialid")} AS serialid', "isocntry"]
+    cols += [f"{num(c)} AS {n}" for c, n in C.WEIGHTS.items()]
+    act = {f"act_{n}": f'(CASE WHEN "qc6.15" <> 1 THEN {num(c)} END)' for c, n in [*C.ACTIONS.items(), ("qc6.14", "other")]}
+    cols += [f"{e} AS {n}" for n, e in act.items()]
+    cols += [f'{num("qc6.15")} AS actions_dk', f'{num("qc6t")} AS n_actions_survey_banded']
+    own = [e for n, e in act.items() if n != "act_other"]
+    cols.append(f"CASE WHEN coalesce({', '.join(own)}) IS NOT NULL THEN {' + '.join(f'coalesce({e}, 0)' for e in own)} END AS n_actions")
+    for c, n in C.HORIZONS.items():
+        cols += [f"{on(c)} AS days_{n}", f'coalesce("{c}" = {C.NOT_APPLICABLE}, false) AS days_{n}_not_applicable', f'coalesce("{c}" = {C.DONT_KNOW}, false) AS days_{n}_dont_know']
+    for prefix, items in (("info", C.INFORMATION), ("prep", C.ATTITUDES)):
+        for c, n in items.items():
+            r = f"({C.SCALE_TOP + 1}.0E0 - {on(c)})"
+            cols += [f"{r} AS {prefix}_{n}", f"{r} >= 3 AS {prefix}_{n}_agree", f"CAST(coalesce({r} >= 3, false) AS BIGINT) AS {prefix}_{n}_agree_topline"]
+    cols += [f"{num(c)} AS {n}" for c, n in (C.CONTEXT | C.DEMOGRAPHICS).items()]
+    country = "upper(trim(isocntry))"
+    cols += [f"{country} AS country", f"CASE WHEN {country} IN ({', '.join(repr(c) for c in C.MERGED_TERRITORIES)}) THEN 'DE' ELSE {country} END AS country_grouped"]
+    return f"WITH q AS (SELECT {raw} FROM lineitem), c AS (SELECT {', '.join(cols)} FROM q)"
+
+
 def battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per user and day: which kinds of event occurred."""
     e = read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day"))

@@ -109,20 +109,32 @@ def variable_inventory(df: DataFrame, labels: Mapping[str, str], with_values: Se
 
 
 def codebook(df: DataFrame, columns: Sequence[str], labels: Mapping[str, str], values: Mapping[str, Mapping]) -> str:
-    """Markdown frequency tables of coded columns."""
-    from ..operators.tables import frequency_table
+    """Markdown frequency tables of coded columns, from one scan. Codes are few: a column's values are lines of the page."""
+    from ..operators.tables import frequencies
 
-    parts = ["# Codebook"]
-    for c in columns:
-        rows = frequency_table(df, c, {str(k): v for k, v in values.get(c, {}).items()}).orderBy("value").collect()
-        parts.append(f"## {c}: {labels.get(c, '')}\n\n{markdown_table(rows)}")
+    rows: dict[str, list] = {c: [] for c in columns}
+    for r in frequencies(df, columns, {c: dict(values.get(c, {})) for c in columns}).orderBy("column", "value").collect():
+        rows[r["column"]].append({k: r[k] for k in ("value", "label", "n", "pct")})
+    parts = ["# Codebook", *[f"## {c}: {labels.get(c, '')}\n\n{markdown_table(rows[c])}" for c in columns]]
     return "\n\n".join(parts) + "\n"
 
 
-def trace(raw: DataFrame, cleaned: DataFrame, key: str, raw_col: str, clean_col: str) -> DataFrame:
-    """One example per raw code of what it became."""
-    from ..operators.tables import first_per_group
+def trace_codes(raw: DataFrame, cleaned: DataFrame, key: str, columns: Mapping[str, str]) -> DataFrame:
+    """(column, raw_code, example, clean_value, n): what each raw code of ``columns`` (raw to clean name) became.
+
+    One join of both tables by ``key``; the example of a code is its smallest key, a partial minimum. Codes are
+    doubles; a missing code is one, too.
+    """
+    number = lambda c: F.col(f"`{c}`").cast("double")
+    a = raw.select(number(key).alias("key"), *[number(r).alias(f"raw{k}") for k, r in enumerate(columns)])
+    b = cleaned.select(number(key).alias("key"), *[number(c).alias(f"clean{k}") for k, c in enumerate(columns.values())])
+    pairs = F.array(*[F.struct(F.lit(r).alias("column"), F.col(f"raw{k}").alias("raw_code"), F.col(f"clean{k}").alias("clean_value")) for k, r in enumerate(columns)])
+    t = a.join(b, "key").select("key", F.explode(pairs).alias("p")).select("key", "p.*")
+    t = t.groupBy("column", "raw_code").agg(F.min(F.struct("key", "clean_value")).alias("first"), F.count("*").alias("n"))
+    return t.select("column", "raw_code", F.col("first.key").cast("long").alias("example"), F.col("first.clean_value").alias("clean_value"), "n")
 
-    a = raw.select(F.col(key).cast("long").alias("key"), F.col(f"`{raw_col}`").alias("raw_code"))
-    b = cleaned.select(F.col(key).cast("long").alias("key"), F.col(clean_col).alias("clean_value"))
-    return first_per_group(a.join(b, "key"), "raw_code", ["key"]).orderBy("raw_code")
+
+def trace(raw: DataFrame, cleaned: DataFrame, key: str, raw_col: str, clean_col: str) -> DataFrame:
+    """``trace_codes`` of one column: an example per raw code of what it became."""
+    t = trace_codes(raw, cleaned, key, {raw_col: clean_col})
+    return t.select("raw_code", F.col("example").alias("key"), "clean_value").orderBy("raw_code")

@@ -100,3 +100,13 @@ def test_optional_columns(spark):
 def test_cleaning_is_repeatable(spark):
     r = raw(spark, qc7_1=[5.0])
     assert C.clean(r).collect() == C.clean(r).collect()
+
+
+def test_audit_observed_while_writing(spark):
+    """Counters taken during the write are those of two further scans; the counts reconcile as the audit says."""
+    r = raw(spark, 6, qc7_1=[5.0, 6.0], qc6__15=[None, None, 1.0])
+    cleaned, audit = C.clean_and_audit(r)
+    assert sorted(map(tuple, audit.collect())) == sorted(map(tuple, C.audit(r, C.clean(r)).collect()))
+    assert sorted(map(str, cleaned.collect())) == sorted(map(str, C.clean(r).collect()))
+    one = C.reconcile(cleaned).first()
+    assert f"{one['mismatches']} of {one['comparable']} " in [a["reason"] for a in audit.collect() if a["step"].endswith("own count")][0]

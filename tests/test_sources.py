@@ -184,3 +184,18 @@ def test_engine_does_not_import_the_optional_package():
     for p in (root / "tallyweave").rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"(from|import) [\w.]*\bllm\b", p.read_text()), p
+
+
+def test_codebook_and_trace_of_many_columns(spark):
+    """All columns in one scan; missing codes, dots in names, labels of one column not used for another."""
+    from tallyweave.operators import tables
+
+    d = spark.createDataFrame([(1, "a", None), (2, "a", "1"), (3, "b", "1"), (4, None, "1")], "id int, `q.1` string, q2 string")
+    got = {(r["column"], r["value"]): (r["label"], r["n"], r["pct"]) for r in tables.frequencies(d, ["q.1", "q2"], {"q.1": {"a": "A", "1": "wrong"}}).collect()}
+    assert got == {("q.1", "a"): ("A", 2, 50.0), ("q.1", "b"): ("b", 1, 25.0), ("q.1", "missing"): ("missing", 1, 25.0), ("q2", "1"): ("1", 3, 75.0), ("q2", "missing"): ("missing", 1, 25.0)}
+    page = store.codebook(d, ["q.1", "q2"], {}, {"q.1": {"a": "A"}})
+    assert page.index("## q.1") < page.index("| a | A | 2 | 50 |") < page.index("## q2")
+    raw = spark.createDataFrame([(3, 1, 5), (2, 1, 6), (4, None, 5)], "id int, `q.1` int, q2 int")
+    clean = spark.createDataFrame([(2, 1.5, None), (3, 1.0, 2.0), (4, None, 3.0)], "id int, v double, w double")
+    rows = sorted((tuple(r) for r in store.trace_codes(raw, clean, "id", {"q.1": "v", "q2": "w"}).collect()), key=str)
+    assert rows == sorted([("q.1", 1.0, 2, 1.5, 2), ("q.1", None, 4, None, 1), ("q2", 5.0, 3, 2.0, 2), ("q2", 6.0, 2, None, 1)], key=str)
