@@ -6,6 +6,7 @@ returned as doubles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -487,43 +488,60 @@ def mean_abs_difference(spark, sf):
 HEADERS = ("id", "A3_alerts", "PREPB_alerts", "x_A3_home_safer", "PREPB_supplies", "A3_supplies", "PREPB_plan_home", "final_wt", "a3_document")
 
 
-@query(
-    "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"('{r['item']}', {'NULL' if r['awareness_col'] is None else repr(r['awareness_col'])}, {'NULL' if r['action_col'] is None else repr(r['action_col'])}, {str(r['paired']).lower()}, {str(r['claimed_twice']).lower()})"
-        for r in (
-            dict(item="alerts", awareness_col="A3_alerts", action_col="PREPB_alerts", paired=True, claimed_twice=False),
-            dict(item="make_plan", awareness_col=None, action_col="PREPB_plan_home", paired=False, claimed_twice=True),
-            dict(item="rainy_day", awareness_col=None, action_col=None, paired=False, claimed_twice=False),
-            dict(item="drills", awareness_col=None, action_col=None, paired=False, claimed_twice=False),
-            dict(item="family_comms", awareness_col=None, action_col=None, paired=False, claimed_twice=False),
-            dict(item="documents", awareness_col="a3_document", action_col=None, paired=False, claimed_twice=False),
-            dict(item="neighbours", awareness_col=None, action_col=None, paired=False, claimed_twice=False),
-            dict(item="supplies", awareness_col="A3_supplies", action_col="PREPB_supplies", paired=True, claimed_twice=False),
-            dict(item="community", awareness_col=None, action_col=None, paired=False, claimed_twice=False),
-            dict(item="home_safer", awareness_col="x_A3_home_safer", action_col="PREPB_plan_home", paired=True, claimed_twice=True),
-            dict(item="evacuation_routes", awareness_col=None, action_col=None, paired=False, claimed_twice=False),
-            dict(item="insure_property", awareness_col=None, action_col=None, paired=False, claimed_twice=False),
-        )
-    )
-    + ") v(item, awareness_col, action_col, paired, claimed_twice)"
-)
+#: Line items as an answer to each header, 1 for yes.
+ANSWERED = ", ".join(f'CAST((l_partkey + {k} * l_linenumber) % {k + 3} = 0 AS INT) AS {c}' for k, c in enumerate(HEADERS[:7])) + ", l_quantity AS final_wt, CAST(l_suppkey % 4 = 1 AS INT) AS a3_document"
+FOUND = {"alerts": ("A3_alerts", "PREPB_alerts"), "make_plan": (None, "PREPB_plan_home"), "documents": ("a3_document", None), "supplies": ("A3_supplies", "PREPB_supplies"), "home_safer": ("x_A3_home_safer", "PREPB_plan_home")}
+
+
+def found_sql() -> str:
+    """The columns that each item should find, and how many say yes in them."""
+    rows = []
+    for i in conversion.ITEM_KEYWORDS:
+        pair = FOUND.get(i, (None, None))
+        twice = any(c and sum(c in p for p in FOUND.values()) > 1 for c in pair)
+        name = lambda c: repr(c) if c else "NULL"
+        yes = lambda c: f"{c}::BIGINT" if c else "NULL::BIGINT"
+        rows.append(f"SELECT '{i}' AS item, {name(pair[0])} AS awareness_col, {name(pair[1])} AS action_col, {str(all(pair)).lower()} AS paired, {str(twice).lower()} AS claimed_twice, {yes(pair[0])} AS n_aware, {yes(pair[1])} AS n_acted FROM a")
+    sums = ", ".join(f"sum({c}) AS {c}" for c in HEADERS[1:])
+    return f"WITH q AS (SELECT {ANSWERED} FROM lineitem), a AS (SELECT {sums} FROM q) " + " UNION ALL ".join(rows)
+
+
+def answered(spark, sf) -> DataFrame:
+    return V.read(spark, sf, "lineitem").selectExpr(*ANSWERED.split(", "))
+
+
+@query(found_sql())
 def discover_columns(spark, sf):
-    rows = [(r["item"], r["awareness_col"], r["action_col"], r["paired"], r["claimed_twice"]) for r in conversion.discover_columns(HEADERS)]
-    return spark.createDataFrame(rows, "item string, awareness_col string, action_col string, paired boolean, claimed_twice boolean")
+    a = answered(spark, sf)
+    rows = conversion.discover_columns(a.columns)
+    yes = a.agg(*[F.sum(c).alias(c) for c in a.columns]).first()
+    count = lambda c: None if c is None else int(yes[c])
+    rows = [(r["item"], r["awareness_col"], r["action_col"], r["paired"], r["claimed_twice"], count(r["awareness_col"]), count(r["action_col"])) for r in rows]
+    return spark.createDataFrame(rows, "item string, awareness_col string, action_col string, paired boolean, claimed_twice boolean, n_aware long, n_acted long")
 
 
-@query("SELECT 'final_wt' AS weight_column")
+@query("SELECT 'final_wt' AS weight_column, round(sum(l_quantity), 4) AS total FROM lineitem")
 def find_weight(spark, sf):
-    return spark.createDataFrame([(conversion.find_weight(HEADERS),)], "weight_column string")
+    a = answered(spark, sf)
+    weight = conversion.find_weight(a.columns)
+    return rounded(a.agg(F.sum(weight).alias("total")).select(F.lit(weight).alias("weight_column"), "total"), 4)
 
 
-YES_NO_ROWS = ((1, "1", "1", "Yes"), (2, "0", "2", "No"), (3, "9", "9", "n"), (4, None, "1", "refused"), (5, "1", None, "TRUE"))
+CODINGS = {
+    "zero_one": "CASE WHEN l_tax >= 0.08E0 THEN '9' WHEN l_returnflag <> 'N' THEN '1' ELSE '0' END",
+    "one_two": "CASE WHEN l_tax >= 0.08E0 THEN '9' WHEN l_linenumber = 3 THEN NULL WHEN l_linestatus = 'O' THEN '1' ELSE '2' END",
+    "words": "CASE l_returnflag WHEN 'A' THEN ' Yes' WHEN 'R' THEN 'refused' ELSE 'n' END",
+}
 
 
-@query("SELECT * FROM (VALUES (1, 1.0E0, 1.0E0, 1.0E0), (2, 0.0E0, 0.0E0, 0.0E0), (3, NULL, NULL, 0.0E0), (4, NULL, 1.0E0, NULL), (5, 1.0E0, NULL, 1.0E0)) v(k, zero_one, one_two, words)")
+@query(
+    """SELECT l_orderkey, l_linenumber, l_extendedprice, CASE WHEN l_tax >= 0.08E0 THEN NULL WHEN l_returnflag <> 'N' THEN 1.0E0 ELSE 0.0E0 END AS zero_one,
+  CASE WHEN l_tax >= 0.08E0 OR l_linenumber = 3 THEN NULL WHEN l_linestatus = 'O' THEN 1.0E0 ELSE 0.0E0 END AS one_two,
+  CASE l_returnflag WHEN 'A' THEN 1.0E0 WHEN 'N' THEN 0.0E0 END AS words FROM lineitem"""
+)
 def yes_no_coerce(spark, sf):
-    return conversion.yes_no(spark.createDataFrame(YES_NO_ROWS, "k int, zero_one string, one_two string, words string"), ["zero_one", "one_two", "words"])
+    t = V.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", *[F.expr(e).alias(c) for c, e in CODINGS.items()])
+    return conversion.yes_no(t, list(CODINGS))
 
 
 ACI_CI = ci("aci", "n_eff")
@@ -638,9 +656,26 @@ def theta_to_pri(spark, sf):
     return t.select(*V.BATTERY, irt.theta_to_score("theta").alias("pri"))
 
 
-@query("SELECT * FROM (VALUES ('high discrimination', 3, 1.267E0, 0.767E0, 'i_click, i_purchase, i_signup'), ('low discrimination', 2, 0.8E0, 0.75E0, 'i_view, i_error')) v(\"group\", n_items, mean_a, mean_b, items)")
+#: Items of known order for what the battery's kinds of event play.
+NAMED = dict(zip(V.BATTERY, ("grab_bag", "flashlight_candles", "training_exercise", "first_aid_kit", "emergency_food_drink")))
+
+
+def shares_bank(spark, sf) -> list[dict]:
+    """A bank from the battery's shares: difficulties are their log odds, discriminations rise with them."""
+    p = V.battery(spark, sf).agg(*[F.avg(c).alias(c) for c in V.BATTERY]).first()
+    return [{"item": NAMED[c], "p_observed": p[c], "difficulty": math.log((1 - p[c]) / p[c]), "discrimination": 0.75 + p[c], "n_calibration": 0} for c in V.BATTERY]
+
+
+SHARES_SQL = V.BATTERY_SQL + ", p AS (" + " UNION ALL ".join(f"SELECT '{NAMED[c]}' AS item, avg({c}) AS p FROM battery" for c in V.BATTERY) + "), bank AS (SELECT item, p, ln((1 - p) / p) AS b, 0.75E0 + p AS a FROM p)"
+
+
+@query(
+    SHARES_SQL
+    + """ SELECT "group", count(*) FILTER (hit)::INT AS n_items, round(avg(a) FILTER (hit), 3) AS mean_a, round(avg(b) FILTER (hit), 3) AS mean_b, coalesce(string_agg(item, ', ' ORDER BY b, item) FILTER (hit), '') AS items
+FROM (SELECT *, 'high discrimination' AS "group", a >= 1 AS hit FROM bank UNION ALL SELECT *, 'low discrimination', a < 1 FROM bank) GROUP BY "group\""""
+)
 def irt_dimensionality(spark, sf):
-    return irt.dimensionality(irt.bank_frame(spark, BANK)).withColumn("n_items", F.col("n_items").cast("int"))
+    return irt.dimensionality(irt.bank_frame(spark, shares_bank(spark, sf))).withColumn("n_items", F.col("n_items").cast("int"))
 
 
 def answers(spark, sf) -> DataFrame:
@@ -669,9 +704,15 @@ def irt_transfer_by_country(spark, sf):
     return rounded(irt.transfers(t, ANSWERS, "country_grouped", min_target=100)[0], 3)
 
 
-@query("SELECT 'difficulty ranks against observed frequency' AS \"check\", -1.0E0 AS b_harder, CAST(NULL AS DOUBLE) AS b_easier, true AS \"pass\"")
+@query(
+    SHARES_SQL
+    + ", k AS (SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{e}')" for h, e in irt.KNOWN_ORDER) + """) v(hard, easy)), r AS (
+  SELECT rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0E0 AS rb, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0E0 AS rp FROM bank)
+SELECT hard || ' harder than ' || easy AS "check", round(x.b, 3) AS b_harder, round(y.b, 3) AS b_easier, x.b > y.b AS "pass" FROM k JOIN bank x ON x.item = hard JOIN bank y ON y.item = easy
+UNION ALL SELECT 'difficulty ranks against observed frequency', round(corr(rb, rp), 3), NULL, corr(rb, rp) < -0.8E0 FROM r"""
+)
 def irt_face_validity(spark, sf):
-    rows = irt.face_validity(BANK)
+    rows = irt.face_validity(shares_bank(spark, sf))
     return spark.createDataFrame([(r["check"], r["b_harder"], r["b_easier"], bool(r["pass"])) for r in rows], "check string, b_harder double, b_easier double, pass boolean")
 
 
@@ -701,11 +742,26 @@ QUERIES["gate"] = QUERIES.pop("gate_report")
 SQL["gate"] = SQL.pop("gate_report")
 
 
+def horizon_fits(spark, sf) -> dict[str, dict]:
+    s = survey(spark, sf)
+    return {c: probit.fit(s, c, ["age_band"], ["prep"]) for c in V.DOMAINS.values()}
+
+
+SUMMARY = "domain string, n long, accuracy double, baseline double, lift double, pseudo_r2 double, beats_baseline boolean"
+
+
 @query()
 def ordered_probit(spark, sf):
-    fits = {c: probit.fit(survey(spark, sf), c, ["age_band"], ["prep"]) for c in V.DOMAINS.values()}
-    rows = [tuple(r.values()) for r in probit.summary(fits)]
-    return spark.createDataFrame([(*r[:6], bool(r[6])) for r in rows], "domain string, n long, accuracy double, baseline double, lift double, pseudo_r2 double, beats_baseline boolean")
+    return spark.createDataFrame([(*list(r.values())[:6], bool(r["beats_baseline"])) for r in probit.summary(horizon_fits(spark, sf))], SUMMARY)
+
+
+@query()
+def probit_best_domain(spark, sf):
+    """The strongest horizon, a row per coefficient."""
+    fits = horizon_fits(spark, sf)
+    best = probit.best_domain(fits)
+    rows = [(best["domain"], best["lift"], r["term"], r["coef"], r["std_err"], r["p_value"], bool(r["significant"])) for r in fits[best["domain"]]["coefficients"]]
+    return rounded(spark.createDataFrame(rows, "domain string, lift double, term string, coef double, std_err double, p_value double, significant boolean"), 4)
 
 
 FEATURES, DEMOGRAPHIC = ("prep", "barrier", "age_band", "l_quantity_band"), ("age_band",)

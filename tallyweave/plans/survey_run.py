@@ -85,6 +85,9 @@ def horizon_tables(spark: SparkSession, df: DataFrame, focus: Sequence[str] = FO
     if fits:
         rows = [tuple(r.values()) for r in probit.summary(fits)]
         write_table(spark.createDataFrame([(*r[:6], bool(r[6])) for r in rows], "domain string, n long, accuracy double, baseline double, lift double, pseudo_r2 double, beats_baseline boolean"), "rhi_model_summary")
+        best = probit.best_domain(fits)["domain"]
+        found = [(best, r["term"], r["coef"], r["std_err"], r["p_value"], bool(r["significant"])) for r in fits[best]["coefficients"]]
+        write_table(spark.createDataFrame(found, "domain string, term string, coef double, std_err double, p_value double, significant boolean"), "rhi_model_strongest")
     for name, why in skipped.items():
         print(f"horizon model of {name} left out: {why}")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -11,11 +12,31 @@ from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, table: str, comment: str | None = None) -> int:
-    """Replace ``table`` by ``df``; its number of rows, observed while writing."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").saveAsTable(table)
-    if comment:
-        df.sparkSession.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('comment' = '{comment.replace(chr(39), '')}')")
+    """Replace ``table`` by ``df``; its number of rows, observed while writing.
+
+    Rows go to a table of their own first, so a write that fails leaves the old table as it was, and ``df`` may read the
+    table it replaces. Then the tables change names; the old one comes back if that fails, too.
+    """
+    spark, seen, own = df.sparkSession, Observation(), uuid.uuid4().hex[:12]
+    new, old = f"{table}__new_{own}", f"{table}__old_{own}"
+    try:
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.saveAsTable(new)
+        if comment:
+            spark.sql(f"ALTER TABLE {new} SET TBLPROPERTIES ('comment' = '{comment.replace(chr(39), '')}')")
+        there = spark.catalog.tableExists(table)
+        if there:
+            spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+        try:
+            spark.sql(f"ALTER TABLE {new} RENAME TO {table}")
+        except Exception:
+            if there:
+                spark.sql(f"ALTER TABLE {old} RENAME TO {table}")
+            raise
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {new}")
+        raise
+    if there:
+        spark.sql(f"DROP TABLE IF EXISTS {old}")
     return seen.get["n"]
 
 

@@ -199,3 +199,18 @@ def test_codebook_and_trace_of_many_columns(spark):
     clean = spark.createDataFrame([(2, 1.5, None), (3, 1.0, 2.0), (4, None, 3.0)], "id int, v double, w double")
     rows = sorted((tuple(r) for r in store.trace_codes(raw, clean, "id", {"q.1": "v", "q2": "w"}).collect()), key=str)
     assert rows == sorted([("q.1", 1.0, 2, 1.5, 2), ("q.1", None, 4, None, 1), ("q2", 5.0, 3, 2.0, 2), ("q2", 6.0, 2, None, 1)], key=str)
+
+
+def test_a_failed_write_keeps_the_old_table(spark):
+    """Old rows stay readable after a write that fails half way; a table may be rewritten from itself."""
+    d = spark.createDataFrame([(1,), (2,)], "a int")
+    assert store.write_table(d, "tw_kept_table") == 2
+    bad = spark.range(100).select(F.when(F.col("id") == 77, F.raise_error(F.lit("no"))).otherwise(F.col("id").cast("int")).cast("int").alias("a"))
+    with pytest.raises(Exception, match="no"):
+        store.write_table(bad, "tw_kept_table")
+    assert sorted(r.a for r in spark.table("tw_kept_table").collect()) == [1, 2]
+    t = spark.table("tw_kept_table")
+    assert store.write_table(t.union(t.selectExpr("a + 10 AS a")), "tw_kept_table") == 4
+    assert sorted(r.a for r in spark.table("tw_kept_table").collect()) == [1, 2, 11, 12]
+    assert not [x.name for x in spark.catalog.listTables() if x.name.startswith("tw_kept_table__")]
+    spark.sql("DROP TABLE tw_kept_table")

@@ -52,7 +52,7 @@ def test_run(spark, raw, database):
     p = survey_run.pages(reader)
     assert set(p) == {"overview", "gap", "countries", "horizon", "items", "percentiles", "drivers", "composite", "transfer", "conversion"}
     assert all(df.count() > 0 for page in p.values() for df in page.values())
-    assert len(reader.tables()) == 36
+    assert len(reader.tables()) == 37
     assert p["gap"]["table"].groupBy("scope").count().collect() and p["items"]["bank"].count() == 13
     assert spark.table("conversion_by_year").where("n_rows = 200").count() == 2
     assert spark.table("survey_audit").count() == 8
