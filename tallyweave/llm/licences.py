@@ -27,6 +27,7 @@ from .common import read_documents
 
 MAX_TERMS = 2000
 
+# The licences' own words.
 #: Identifier and normalised sentence.
 SENTENCES = (
     ("apache-2.0-ref", "licensed under the apache license version 2 0"),
@@ -55,6 +56,40 @@ SENTENCES = (
     ("cc-by-4-ref", "licensed under cc by 4 0"),
     ("cc-by-sa-4-ref", "licensed under cc by sa 4 0"),
     ("cc0-ref", "licensed under cc0 1 0"),
+    ("mit-as-is", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit-liable", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd-as-is", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsd-liable", "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("bsd-3-ref", "licensed under the bsd 3 clause license"),
+    ("bsd-2-ref", "licensed under the bsd 2 clause license"),
+    ("gpl-2-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-2-ref", "licensed under the gnu general public license version 2"),
+    ("lgpl-3-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-warranty", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("lgpl-see", "see the gnu lesser general public license for more details"),
+    ("lgpl-3-ref", "licensed under the gnu lesser general public license version 3"),
+    ("agpl-3-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-see", "see the gnu affero general public license for more details"),
+    ("agpl-3-ref", "licensed under the gnu affero general public license version 3"),
+    # the sentence ends in "v. 2.0", which is cut after the v
+    ("mpl-2.0-form", "this source code form is subject to the terms of the mozilla public license v"),
+    ("mpl-2.0-copy", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("mpl-2.0-copy", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("mpl-2.0-ref", "licensed under the mozilla public license version 2 0"),
+    ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-as-is", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("isc-ref", "licensed under the isc license"),
+    ("0bsd-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib-as-is", "this software is provided as is without any express or implied warranty"),
+    ("zlib-liable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("zlib-ref", "licensed under the zlib license"),
+    ("epl-2.0-ref", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("epl-2.0-ref", "licensed under the eclipse public license 2 0"),
+    ("bsl-1.0-ref", "distributed under the boost software license version 1 0"),
+    ("unlicense-free", "this is free and unencumbered software released into the public domain"),
+    ("unlicense-use", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("public-domain", "this work is in the public domain"),
     ("all-rights", "all rights reserved"),
 )
@@ -66,8 +101,27 @@ RULES = (
     ("BSD-3-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
     ("BSD-2-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("GPL-3.0-or-later", "copyleft", ("gpl-free", "gpl-warranty")),
+    ("GPL-2.0-or-later", "copyleft", ("gpl-2-free", "gpl-warranty")),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl-3-free", "lgpl-warranty")),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl-2.1-free", "lgpl-warranty")),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl-3-free", "gpl-warranty")),
+    ("MPL-2.0", "copyleft", ("mpl-2.0-form", "mpl-2.0-copy")),
+    ("ISC", "permissive", ("isc-grant", "isc-as-is")),
+    ("0BSD", "permissive", ("0bsd-grant", "isc-as-is")),
+    ("Zlib", "permissive", ("zlib-as-is", "zlib-liable", "zlib-grant")),
+    ("Unlicense", "permissive", ("unlicense-free", "unlicense-use")),
     ("CC-BY-NC-4.0", "noncommercial", ("cc-by-nc-4-ref",)),
     ("GPL-3.0", "copyleft", ("gpl-3-ref",)),
+    ("AGPL-3.0", "copyleft", ("agpl-3-ref",)),
+    ("LGPL-3.0", "copyleft", ("lgpl-3-ref",)),
+    ("GPL-2.0", "copyleft", ("gpl-2-ref",)),
+    ("MPL-2.0", "copyleft", ("mpl-2.0-ref",)),
+    ("EPL-2.0", "copyleft", ("epl-2.0-ref",)),
+    ("BSL-1.0", "permissive", ("bsl-1.0-ref",)),
+    ("ISC", "permissive", ("isc-ref",)),
+    ("Zlib", "permissive", ("zlib-ref",)),
+    ("BSD-3-Clause", "permissive", ("bsd-3-ref",)),
+    ("BSD-2-Clause", "permissive", ("bsd-2-ref",)),
     ("Apache-2.0", "permissive", ("apache-2.0-ref",)),
     ("MIT", "permissive", ("mit-ref",)),
     ("MIT", "permissive", ("mit-title", "mit-grant")),

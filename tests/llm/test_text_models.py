@@ -129,6 +129,51 @@ def wrapped(text, width, lead="", end="\n"):
     return end.join((lead + x).rstrip() for x in lines)
 
 
+GNU = (
+    "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version.\n\n"
+    "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details."
+)
+ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+ISC_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'
+WHOLE = {
+    GNU.format("program", "General Public License", "2"): "GPL-2.0-or-later",
+    GNU.format("library", "Lesser General Public License", "3"): "LGPL-3.0-or-later",
+    GNU.format("library", "Lesser General Public License", "2.1"): "LGPL-2.1-or-later",
+    GNU.format("program", "Affero General Public License", "3"): "AGPL-3.0-or-later",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0",
+    f"{ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{ISC_AS_IS}": "ISC",
+    f"{ISC_GRANT}.\n\n{ISC_AS_IS}": "0BSD",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:": "Zlib",
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.": "Unlicense",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.": "EPL-2.0",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+}
+DISCLAIMERS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+)
+
+
+@pytest.mark.parametrize("width, lead", [(40, ""), (63, " * "), (79, "# "), (10_000, "")])
+def test_more_licences_wrapped(spark, width, lead):
+    """Whole notices, and the disclaimers of MIT and BSD, at several widths, with and without comment marks."""
+    wrap = lambda t: "\n".join(lead + line for part in t.split("\n") for line in (textwrap.wrap(part, width, break_long_words=False, break_on_hyphens=False) or [""]))
+    rows = [(k, wrap(t)) for k, t in enumerate([*WHOLE, *DISCLAIMERS])]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].licence for k in range(len(WHOLE))] == list(WHOLE.values())
+    assert [got[len(WHOLE) + k].sentence_ids for k in (0, 1)] == ["mit-as-is,mit-liable", "bsd-as-is,bsd-liable"]
+
+
+def test_rules_use_known_identifiers():
+    known = {i for i, _ in licences.SENTENCES}
+    assert all(i in known for _, _, seq in licences.RULES for i in seq)
+    # a rule is not hidden behind an earlier one that it contains
+    for k, (name, _, seq) in enumerate(licences.RULES):
+        for other, _, before in licences.RULES[:k]:
+            inside = any(seq[j : j + len(before)] == before for j in range(len(seq) - len(before) + 1))
+            assert not inside or name == other
+
+
 @pytest.mark.parametrize("width", [30, 63, 79, 10_000])
 @pytest.mark.parametrize("lead,end", [("", "\n"), ("# ", "\n"), (" * ", "\r\n"), ("// ", "\n"), ("    ", "\r")])
 def test_wrapped_licences(spark, width, lead, end):
