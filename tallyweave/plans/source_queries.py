@@ -166,3 +166,20 @@ def gate_exit(spark, sf):
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY md5('42:' || c_custkey), c_custkey LIMIT 100")
 def seeded_sample(spark, sf):
     return tables.seeded_sample(V.read(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_custkey", 100)
+
+
+@query(
+    "SELECT l_returnflag, l_linestatus, count(*) AS n, count(quantity) AS n_quantity, round(sum(quantity), 4) AS quantity, round(sum(l_extendedprice), 2) AS price "
+    "FROM (SELECT *, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS quantity FROM lineitem) GROUP BY 1, 2"
+)
+def sav_round_trip(spark, sf):
+    """Line items as SPSS files, one a partition, read back in ranges of cases and three of five columns at a time."""
+    from ..sources.sav import SavDataSource
+
+    spark.dataSource.register(SavDataSource)
+    folder = place(spark, "lines")
+    t = V.read(spark, sf, "lineitem").withColumn("quantity", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).cast("double"))
+    t.select("l_returnflag", "l_linestatus", "quantity", F.col("l_extendedprice").cast("double").alias("price_of_the_line"), "l_linenumber").repartition(4).write.format("sav").option("textWidth", 8).mode("append").save(folder)
+    d = spark.read.format("sav").option("rowsPerPartition", 5000).option("columns", "l_returnflag,l_linestatus,quantity,price_of_the_line").load(folder)
+    out = d.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.count("quantity").alias("n_quantity"), F.sum("quantity").alias("quantity"), F.sum("price_of_the_line").alias("price"))
+    return rounded(out, 4, price=2)

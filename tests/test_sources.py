@@ -1,6 +1,7 @@
 """Readers, result tables, exports, streams."""
 
 import struct
+import zlib
 import zipfile
 
 import pytest
@@ -107,6 +108,15 @@ def sav_file(path, compressed):
                     codes += b"\xfd"
                     extra += struct.pack("<d", c)
             body += codes.ljust(8, b"\xfc") + extra
+    if compressed == 2:  # zlib blocks of 40 bytes, their index at the end
+        blocks = [body[k : k + 40] for k in range(0, len(body), 40)]
+        packed, index, at, upto = b"", b"", len(out) + 24, 0
+        for b in blocks:
+            z = zlib.compress(b)
+            index += struct.pack("<2q2i", len(out) + upto, at, len(b), len(z))
+            packed, at, upto = packed + z, at + len(z), upto + len(b)
+        trailer = struct.pack("<2q2i", -100, 0, 40, len(blocks)) + index
+        body = struct.pack("<3q", len(out), at, len(trailer)) + packed + trailer
     path.write_bytes(out + body)
 
 
@@ -115,7 +125,7 @@ def pad_label(b):
     return bytes([len(b)]) + b.ljust(n)
 
 
-@pytest.mark.parametrize("compressed", [False, True])
+@pytest.mark.parametrize("compressed", [0, 1, 2])
 def test_sav(spark, tmp_path, compressed):
     path = tmp_path / "x.sav"
     sav_file(path, compressed)
@@ -131,6 +141,31 @@ def test_sav(spark, tmp_path, compressed):
         sav.read_sav(spark, str(tmp_path / "none.sav"))
 
 
+def test_sav_in_partitions(spark, tmp_path):
+    """Files of a folder in ranges of cases, wanted columns alone; nulls, blank and long texts, empty partitions and folders."""
+    spark.dataSource.register(sav.SavDataSource)
+    rows = [(float(k) if k % 7 else None, "é" * (k % 5), None if k % 3 else "x", k) for k in range(1003)]
+    d = spark.createDataFrame(rows, "`a.number` double, text_of_some_length string, t string, k long")
+    folder = str(tmp_path / "many")
+    d.repartition(3).write.format("sav").option("textWidth", 9).mode("append").save(folder)
+    read = lambda **o: spark.read.format("sav").options(rowsPerPartition=100, **o).load(folder)
+    got = read()
+    assert got.dtypes == [("a.number", "double"), ("text_of_some_length", "string"), ("t", "string"), ("k", "double")]
+    assert got.rdd.getNumPartitions() >= 11
+    want = sorted((k, n, s, t or "") for n, s, t, k in rows)
+    assert sorted((r["k"], r["a.number"], r["text_of_some_length"], r["t"]) for r in got.collect()) == want
+    some = read(columns="k,t")
+    assert some.columns == ["k", "t"] and sorted(map(tuple, some.collect())) == [(k, t) for k, _, _, t in want]
+    d.where("k > 1000").repartition(1).write.format("sav").mode("append").save(folder)
+    assert read().count() == 1005
+    empty = str(tmp_path / "empty")
+    d.limit(0).coalesce(1).write.format("sav").mode("append").save(empty)
+    assert spark.read.format("sav").load(empty).count() == 0
+    for bad in (lambda: read(columns="k,nothing").count(), lambda: d.write.format("sav").option("textWidth", 3).mode("append").save(str(tmp_path / "short"))):
+        with pytest.raises(Exception, match="nothing|more than 3 bytes"):
+            bad()
+
+
 def test_tables(spark):
     d = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     assert store.write_table(d, "tw_test_table", "a comment") == 2
