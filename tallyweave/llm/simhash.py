@@ -11,9 +11,7 @@ pair meets in a cell whose set holds its chain's first segment, and nothing is l
 2 of them a key of 25 or 26 bits: ten cells a fingerprint, each of which holds few of billions.)
 Rows that share a key meet in blocked cells (no task grows with a cell), the chains of ``chain`` segments that start at
 the key's segments are checked with their cumulative budgets, and what survives gets the full
-Hamming check. With m <= max_diff (wide fingerprints) a chain may start with an unequal segment,
-which is not followed: keys are single segments, and pairs within max_diff can be lost, more of them
-than have no equal segment at all.
+Hamming check. With m <= max_diff no segment need be equal: such parameters, which would lose pairs, are an error.
 
 Copies never multiply: equal fingerprints are one row from the start, each task hands on a
 spanning set of links in place of all pairs, and groups come from distributed components.
@@ -162,6 +160,8 @@ def hamming_groups(rows: DataFrame, bits: int = 64, max_diff: int = 3, segments:
     width = -(-bits // segments)
     if width > 16 or len(keyed).bit_length() + width * keyed.shape[1] > 63:
         raise ValueError("hamming_groups: a segment has 16 bits at most, an index key 63")
+    if segments <= max_diff:
+        raise ValueError("hamming_groups: more segments than differing bits are needed, or pairs would be lost")
     spark = rows.sparkSession
     distinct = rows.groupBy("fp").agg(F.min("id").alias("rep"))
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "fingerprints")

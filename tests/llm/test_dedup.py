@@ -145,22 +145,12 @@ def test_simhash_odd_rows(spark):
     assert simhash.simhash_groups(odd(spark, []), words=3).count() == 0
 
 
-def test_wide_fingerprints_find_similar(spark):
-    rng = np.random.default_rng(5)
-    vocab = [f"w{i}" for i in range(3000)]
-    rows, k = [], 0
-    for _ in range(60):
-        w = list(rng.choice(vocab, 300))
-        rows.append((k, " ".join(w)))
-        v = list(w)
-        for i in rng.choice(300, 4, replace=False):
-            v[i] = "changed"
-        rows.append((k + 1, " ".join(v)))
-        k += 2
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(df, words=5, bits=512, max_diff=85, segments=32).collect()}
-    assert sum(got[i] == i - 1 for i in got if i % 2) >= 59
-    assert all(got[i] == i for i in got if i % 2 == 0)
+def test_parameters_that_would_lose_pairs_are_errors(spark):
+    """Wide fingerprints with more differing bits than segments have no equal segment to meet by."""
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    for bits, max_diff, segments in ((512, 85, 32), (64, 6, 6), (64, 8, 5)):
+        with pytest.raises(ValueError, match="lost"):
+            simhash.simhash_groups(df, bits=bits, max_diff=max_diff, segments=segments)
 
 
 def brute_embeddings(rows, threshold=0.98):
