@@ -2,7 +2,7 @@
 
 Vectors of a label are compared only with one another. Equal vectors are one row from the start,
 with their number. Spherical k-means, fitted on a bounded sample (``sample`` vectors, the smallest
-by hash), assigns every vector to the cell of its nearest centroid; a label has 1, 4, 16 ... cells, as its own
+by hash), assigns every vector to the cell of its nearest centroid; a label has 4, 16, 64 ... cells, as its own
 vectors ask for. Cells lose nothing: a vector x
 of cell a may have links in cell c only if x . (a - c) / |a - c| <= sin(theta), where cos(theta) is the
 threshold, since any vector of cell c lies beyond that hyperplane and hence further from x
@@ -31,9 +31,9 @@ from .common import blocked, by_value, discard, materialize, n_partitions, named
 
 by_value(__name__)
 
-#: Cells aim at this many vectors; centroids are shipped with the tasks, so their number is bounded.
+#: Every label has cells, at least four; more of them aim at this many vectors each. Centroids are shipped with the tasks, so their number is bounded.
 CELL_ROWS, MAX_CELLS = 2000, 1024
-#: Each length of vector has centroids of its own; lengths beyond the most frequent ones of labels that need cells have a single cell each.
+#: Each length of vector has centroids of its own; lengths beyond the most frequent ones have a single cell each.
 MAX_LENGTHS = 16
 #: Cosines this near the threshold are taken again from products in one order, so that a link counts for both of its ends.
 ROUNDING = 1e-12
@@ -78,12 +78,14 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     fine = F.coalesce(fine, F.lit(False))
     # -0.0 and 0.0 are one component value
     t = t.select("id", "label", F.when(fine, F.transform("v", lambda x: x + F.lit(0.0))).alias("v"))
+    # doubles print in a way that reads back as they are, so digests stand for vectors
+    digest = F.unhex(F.sha2(F.col("v").cast("string"), 256)).alias("digest")
     vectors = t.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     vectors = materialize(vectors.withColumn("node", F.monotonically_increasing_id()), "vectors")
     d, needed = F.size("v").alias("d"), F.least(F.ceil(F.col("n") / CELL_ROWS), F.lit(MAX_CELLS))
-    large = vectors.groupBy("label", d).agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
-    large = materialize(large.withColumn("level", F.ceil(F.log(4.0, needed)).cast("int")), "large")
-    fitted = large.groupBy("d").agg(F.sum("n").alias("n"), F.collect_set("level").alias("levels")).orderBy(F.desc("n"), "d").limit(MAX_LENGTHS).collect()
+    sizes = vectors.groupBy("label", d).agg(F.count("*").alias("n"))
+    sizes = materialize(sizes.withColumn("level", F.greatest(F.ceil(F.log(4.0, needed)), F.lit(1)).cast("int")), "sizes")
+    fitted = sizes.groupBy("d").agg(F.sum("n").alias("n"), F.collect_set("level").alias("levels")).orderBy(F.desc("n"), "d").limit(MAX_LENGTHS).collect()
     centroids: dict[tuple[int, int], np.ndarray] = {}
     for r in fitted:
         picked = vectors.where(F.size("v") == r["d"]).orderBy(F.xxhash64("label", "v")).limit(sample).select("v").toPandas()["v"]
@@ -118,8 +120,7 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                         names=["label", "d", "cell", "home", "node", "copies", "unit"],
                     )
 
-    level = F.coalesce("level", F.lit(0)).alias("level")
-    levelled = vectors.select("label", d, "v", "node", "copies").join(large.drop("n"), ["label", "d"], "left").select("label", "v", "node", "copies", level)
+    levelled = vectors.select("label", d, "v", "node", "copies").join(sizes.drop("n"), ["label", "d"]).select("label", "v", "node", "copies", "level")
     dealt = levelled.mapInArrow(deal, "label string, d int, cell int, home boolean, node long, copies long, unit binary")
     dealt = materialize(dealt.withColumn("g", F.xxhash64("label", "d", "cell")), "dealt")
     tasks = blocked(dealt, ["g"], "node", block, home="home")
@@ -170,8 +171,9 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     n_links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     named = named_components(vectors, found.where("a != b").select("a", "b").distinct())
     classes = named.join(n_links, "node", "left").join(vectors.select("node", "label", "v", "copies"), "node")
-    classes = materialize(classes.select("label", "v", "name", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    out = t.join(classes, ["label", "v"], "left")
+    classes = materialize(classes.select("label", digest, "name", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    valid = t.where("v IS NOT NULL").select("id", "label", digest).join(classes, ["label", "digest"], "left").select("id", "name", "n_links")
+    out = valid.unionByName(t.where("v IS NULL").select("id"), allowMissingColumns=True)
     component = F.coalesce("name", "id")
     return out.select(
         F.col("id").alias(id_col),

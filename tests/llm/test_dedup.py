@@ -188,5 +188,24 @@ def test_embedding_groups_brute(spark, block, monkeypatch):
     assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0
 
 
+def test_every_label_has_cells(spark, monkeypatch):
+    """The registered query fits centroids on the given tables and finds the same rows as without cells."""
+    sizes = []
+    fit = embedding_dedup.spherical_kmeans
+
+    def counted(x, k):
+        sizes.append(k)
+        return fit(x, k)
+
+    monkeypatch.setattr(embedding_dedup, "spherical_kmeans", counted)
+    got = sorted(map(tuple, embedding_dedup.op3_embedding_dedup(spark, SF).collect()))
+    assert sizes == [4]
+    sizes.clear()
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 2)
+    assert got == sorted(map(tuple, embedding_dedup.op3_embedding_dedup(spark, SF).collect())) and max(sizes) >= 16
+    monkeypatch.setattr(embedding_dedup, "MAX_LENGTHS", 0)
+    assert got == sorted(map(tuple, embedding_dedup.op3_embedding_dedup(spark, SF).collect()))
+
+
 def test_embedding_sql(spark):
     same(embedding_dedup.op3_embedding_dedup(spark, SF), embedding_dedup.SQL, ("embeddings",))
