@@ -7,8 +7,9 @@ trusted texts, white space folded, each text padded at its start. Counting and s
    it and how often, cut into ``shards`` by the n-gram's hash, and the counts of its trusted texts.
 2. Counts, continuation counts, discounts and context masses are aggregations and joins over
    distinct n-grams, from all trusted texts; so is the probability of every n-gram that any text has.
-3. Each shard's chunks meet the shard's probabilities; what comes back are a document's partial sums
-   of log probabilities, one per shard, added up per chunk.
+3. Each shard's chunks meet the shard's probabilities, a split of the text at a time; what comes back are a document's partial sums
+   of log probabilities, one per shard, added up per chunk. Shards and splits follow the number of distinct n-grams, so that
+   neither a group grows with the text or the model, nor the copies of the probabilities exceed a tenth of the text.
 4. Per language, a quantile of the perplexities of trusted texts, times ``slack``, is the threshold.
    A language without trusted texts takes the threshold over all of them.
 
@@ -41,8 +42,12 @@ ORDER, QUANTILE, SLACK = 4, 0.99, 1.1
 CHUNK_BYTES, SHARDS = 4 << 20, 16
 #: Text that is counted at a time, and distinct n-grams that a task holds before it hands them on.
 COUNT_BYTES, COUNT_GRAMS = 1 << 20, 2_000_000
-#: Text whose n-grams of one shard are one group, in bytes.
+#: Text whose n-grams of one shard are one group, in bytes; more where the model is large.
 SPLIT_BYTES = 64 << 20
+#: Distinct n-grams of a shard, and bytes of text for each distinct n-gram of a split.
+SHARD_GRAMS, GRAM_BYTES = 1 << 20, 160
+#: All 32-bit n-grams in shards of ``SHARD_GRAMS``.
+MAX_SHARDS = 1 << 12
 BROADCAST_IDS = 1_000_000
 
 _SPACE = re.compile(rb"[\x00-\x20]+")
@@ -94,6 +99,13 @@ def probabilities(counts: DataFrame, wanted: DataFrame, order: int) -> DataFrame
     return p
 
 
+def dealing(distinct: int, text_bytes: int, shards: int, partitions: int) -> tuple[int, int]:
+    """(shards, splits): groups as many as partitions, or as the n-grams and the text ask for."""
+    while shards * SHARD_GRAMS < distinct and shards < MAX_SHARDS:
+        shards *= 2
+    return shards, max(1, partitions // shards, -(-text_bytes // max(SPLIT_BYTES, GRAM_BYTES * distinct)))
+
+
 CHUNK = "key long, chunk long, ids array<long>, langs array<string>, trusted array<boolean>, a binary, b binary"
 
 
@@ -138,10 +150,6 @@ def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     trusted = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
     t = t.join(trusted, "id", "left").select("id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "t")
     small_batches(spark)
-    # as many groups as the text asks for, so that none grows with it
-    total = t.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    splits = max(1, n_partitions(spark) // shards, -(-total // SPLIT_BYTES))
-
     @tidy
     def cut(batches):
         part, n_chunks, rows, size = TaskContext.get().partitionId() << 32, 0, [], 0
@@ -191,6 +199,7 @@ def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
 
     every = t.select("trusted", "t").mapInArrow(batch_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     every = materialize(every, "grams")
+    shards, splits = dealing(every.count(), t.agg(F.sum(F.octet_length("t"))).first()[0] or 0, shards, n_partitions(spark))
     p = probabilities(every.where("n > 0"), every, order)
 
     def spread(batches):

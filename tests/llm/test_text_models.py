@@ -273,6 +273,38 @@ def test_perplexity_brute(spark, order, chunk):
     assert len(out) == len(rows) and all(r.keep for r in out if r.perplexity is None)
 
 
+def test_dealing_is_bounded():
+    """Groups and the copies of the model stay bounded as text and n-grams grow."""
+    for distinct in (0, 70_000, 5_000_000, 300_000_000, 1 << 32):
+        for text in (0, 10**6, 10**12, 10**14):
+            shards, splits = quality.dealing(distinct, text, 16, 8)
+            assert shards & (shards - 1) == 0 and distinct <= shards * quality.SHARD_GRAMS
+            assert text / splits / shards <= max(quality.SPLIT_BYTES / 16, quality.GRAM_BYTES * quality.SHARD_GRAMS)
+            assert (splits - 1) * distinct * 16 <= text / 10
+    assert quality.dealing(0, 0, 16, 800) == (16, 50)
+
+
+def test_many_shards_and_splits(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    ids = docs.select(docs.doc_id.alias("id")).where("id % 2 = 0")
+    key = lambda r: r.id
+    few = sorted(quality.perplexities(docs, ids, shards=1, chunk_bytes=3000).collect(), key=key)
+    for k, v in (("SHARD_GRAMS", 300), ("GRAM_BYTES", 0), ("SPLIT_BYTES", 10_000)):
+        monkeypatch.setattr(quality, k, v)
+    many = sorted(quality.perplexities(docs, ids, shards=1, chunk_bytes=3000).collect(), key=key)
+    assert [r[:4] for r in few] == [r[:4] for r in many] and len(few) == 60
+    assert all(abs(a.perplexity / b.perplexity - 1) < 1e-9 for a, b in zip(few, many))
+
+
+def test_language_with_one_trusted_text(spark):
+    """Its quantile is the text's own perplexity: with any slack the text stays, and so does its equal."""
+    rows = [(i, f"the cat sat on mat number {i}", "en") for i in range(20)] + [(90, "ein Satz", "de"), (91, "ein Satz", "de"), (92, "\u4e00\u4e8c" * 50, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.classify(df, spark.createDataFrame([(i,) for i in [*range(20), 90]], "id long")).collect()}
+    assert abs(got[90].threshold / (got[90].perplexity * quality.SLACK) - 1) < 1e-9
+    assert got[90].keep and got[91].keep and not got[92].keep
+
+
 def test_classify_brute(spark):
     """Thresholds and decisions from the perplexities: languages with, without and of no name; repeated ids, a very long text."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150).collect()
