@@ -148,10 +148,14 @@ class Network:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> Network | None:
-    """A network learned from at most ``sample_docs`` documents with a label; None if there is none."""
-    some = df.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label")).where("label IS NOT NULL AND id IS NOT NULL")
-    some = some.orderBy(F.xxhash64("id"), "id").limit(sample_docs).dropDuplicates(["id"])
-    text = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    """A network learned from at most ``sample_docs`` documents with a label; None if there is none.
+
+    Rows that repeat an id, a label and a text are one document; rows that share an id alone are several.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("t")).where("label IS NOT NULL AND id IS NOT NULL")
+    rows = rows.withColumn("digest", F.xxhash64("t"))
+    key = ["id", "label", "digest"]
+    some = rows.select(*key).distinct().orderBy(F.xxhash64("id"), F.xxhash64(*key), *key).limit(sample_docs)
 
     small_batches(df.sparkSession)
 
@@ -168,8 +172,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                         xs.append(x[k].astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(xs, pa.binary())], names=["label", "x"])
 
-    # the sample's ids are bounded by sample_docs
-    found = text.join(F.broadcast(some), "id").select("label", "t").mapInArrow(cut, "label string, x binary").toPandas()
+    # the sample is bounded by sample_docs, and so are the documents that it finds
+    found = rows.join(F.broadcast(some), key).groupBy(*key).agg(F.min("t").alias("t"))
+    found = found.select("label", "t").mapInArrow(cut, "label string, x binary").toPandas()
     if not len(found):
         return None
     found = found.sort_values(["label", "x"]).reset_index(drop=True)

@@ -86,6 +86,20 @@ def test_language_odd_rows(spark):
     assert li.identify(df.limit(0), net).count() == 0
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Ids that repeat, with one text or many, with one label or two, neither exceed nor use up the sample."""
+    seen = []
+    monkeypatch.setattr(li.Network, "fit", lambda self, x, y: seen.append((self.labels, len(x))))
+    some = spark.range(3000)
+    one = some.selectExpr("1L AS doc_id", "'the dog and the cat' AS text", "'en' AS lang")
+    many = some.selectExpr("2L AS doc_id", "concat('der Hund ', id) AS text", "if(id % 2 = 0, 'de', 'nl') AS lang")
+    rest = spark.range(10, 40).selectExpr("id AS doc_id", "concat('le chat ', id) AS text", "'fr' AS lang")
+    li.train(one)
+    li.train(many, sample_docs=50)
+    li.train(one.union(many).union(rest), sample_docs=3200)
+    assert seen == [(["en"], 1), (["de", "nl"], 50), (["de", "en", "fr", "nl"], 3031)]
+
+
 def same(df, sql, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
