@@ -28,8 +28,26 @@ by_value(__name__)
 
 MAX_TERMS = 1_000_000
 
-STRICT = ("casino", "escort", "hentai", "nude", "porn", "porno", "viagra", "warez", "xxx")
-SOFT = ("adult", "bet", "betting", "bonus", "cheap", "cialis", "dating", "free", "gambling", "keygen", "loan", "pills", "poker", "replica", "sex", "slots")
+#: Language: (strict terms, soft terms). A term that several languages share is one term; urls are ASCII, so terms are too.
+VOCABULARY = {
+    "en": (
+        ("casino", "escort", "hentai", "nude", "porn", "porno", "viagra", "warez", "xxx"),
+        ("adult", "bet", "betting", "bonus", "cheap", "cialis", "dating", "free", "gambling", "keygen", "loan", "pills", "poker", "replica", "sex", "slots"),
+    ),
+    "de": (
+        ("huren", "nutten", "pornofilme", "sexkontakte", "spielcasino"),
+        ("billig", "erotik", "gluecksspiel", "gratis", "kredit", "partnersuche", "potenzmittel", "rezeptfrei", "sofortkredit", "spielautomaten", "sportwetten", "wetten"),
+    ),
+    "fr": (
+        ("porno", "pornographie", "putes", "salopes"),
+        ("adulte", "erotique", "gratuit", "jackpot", "libertine", "paris-sportifs", "pilules", "rencontres", "roulette", "sexe", "voyance"),
+    ),
+    "es": (
+        ("porno", "pornografia", "putas"),
+        ("adultos", "apuestas", "barato", "citas", "erotico", "gratis", "pastillas", "prestamos", "ruleta", "sexo", "tragaperras"),
+    ),
+}
+STRICT, SOFT = (tuple(sorted({x for terms in VOCABULARY.values() for x in terms[k]})) for k in (0, 1))
 
 #: (host, path, verdict)
 RULES = (

@@ -67,6 +67,13 @@ def test_url_filter_sql(spark):
         ("http://x.net/de/cheapest-pills", "x.net", "/de/cheapest-pills", None, "allow"),
         ("http://x.net/free/free", "x.net", "/free/free", None, "allow"),
         ("http://casinos.org/", "casinos.org", "/", None, "allow"),
+        ("http://x.org/de/Sportwetten-gratis", "x.org", "/de/Sportwetten-gratis", None, "block"),
+        ("http://x.org/de/kredit", "x.org", "/de/kredit", None, "allow"),
+        ("http://x.org/fr/paris-sportifs?jackpot", "x.org", "/fr/paris-sportifs", None, "block"),
+        ("http://x.org/fr/paris/sportifs/gratuitement", "x.org", "/fr/paris/sportifs/gratuitement", None, "allow"),
+        ("http://putas.x.org/", "putas.x.org", "/", None, "block"),
+        ("http://x.org/es/gratis/GRATIS/apuesta", "x.org", "/es/gratis/GRATIS/apuesta", None, "allow"),
+        ("http://x.org/es/ruleta/sexo", "x.org", "/es/ruleta/sexo", None, "block"),
         ("http://my-casino.org#a://b", "my-casino.org", "", None, "block"),
     ],
 )
