@@ -10,9 +10,13 @@ On bytes, a filter is a table look-up per offset; for prediction two neighbourin
 look-up in a table of byte pairs. The model is a few MB at most and shipped with the tasks; texts
 are read once and nothing is shuffled.
 
+A softmax over the learned languages alone gives any text one of them. With ``others`` the network
+has one more class, ``und``, learned from windows that are no language of the sample: learned ones with their letters
+exchanged, each window by a permutation of its own, or written in bytes of other scripts.
+
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a null label is never
 learned from; a row with a null id is not held out and not learned from; with nothing to learn from,
-every text is ``und`` with score 0; repeated rows get equal results; an empty table gives no rows;
+every text is ``und`` with score 0 (with ``others``, a positive score says that another language is likelier); repeated rows get equal results; an empty table gives no rows;
 further columns are ignored.
 """
 
@@ -60,6 +64,29 @@ def windows_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x.reshape(n, WINDOW), lens
 
 
+def other_windows(x: np.ndarray, seed: int = 13) -> np.ndarray:
+    """As many windows of no learned language: in turn with exchanged letters, two bytes a letter, and three a letter without spaces."""
+    rng = np.random.default_rng(seed)
+    out = np.zeros_like(x)
+    high = lambda byte: 27 + byte - 128
+    for k, row in enumerate(x):
+        letters = np.concatenate([[0], 1 + rng.permutation(26), np.arange(27, CLASSES)])
+        if k % 3 == 0:
+            out[k] = letters[row]
+            continue
+        inner = (letters[row] * 37 + int(rng.integers(64))) % 64
+        leads = rng.integers(0xC4, 0xE0, 2) if k % 3 == 1 else rng.integers(0xE0, 0xF0, 8)
+        lead = leads[inner % len(leads)]
+        cols = [high(lead), high(0x80 + inner)]
+        if k % 3 == 1:
+            cols = [np.where(row == 0, 0, cols[0]), np.where(row == 0, -1, cols[1])]
+        else:
+            cols.append(high(0x80 + rng.integers(0, 64, len(row))))
+        flat = np.stack(cols, axis=1).ravel()
+        out[k] = flat[flat >= 0][: x.shape[1]]
+    return out
+
+
 class Network:
     """Weights: tables[w] (w, CLASSES, FILTERS), bias (widths * FILTERS), out (widths * FILTERS, labels), out_bias."""
 
@@ -147,9 +174,11 @@ class Network:
         return self.softmax(np.concatenate(best, 1))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> Network | None:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS, others: bool = False) -> Network | None:
     """A network learned from at most ``sample_docs`` documents with a label; None if there is none.
 
+    With ``others``, ``und`` is a class of its own, learned from half as many windows as all languages have.
+
     Rows that repeat an id, a label and a text are one document; rows that share an id alone are several.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("t")).where("label IS NOT NULL AND id IS NOT NULL")
@@ -178,10 +207,14 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     if not len(found):
         return None
     found = found.sort_values(["label", "x"]).reset_index(drop=True)
-    labels = sorted(found["label"].unique())
+    labels = sorted(set(found["label"]) | ({UND} if others else set()))
     net = Network(labels)
     x = np.frombuffer(b"".join(found["x"]), np.uint8).reshape(-1, WINDOW).astype(np.int32)
-    net.fit(x, found["label"].map(labels.index).to_numpy())
+    y = found["label"].map(labels.index).to_numpy()
+    if others:
+        more = other_windows(x[::2])
+        x, y = np.concatenate([x, more]), np.concatenate([y, np.full(len(more), labels.index(UND))])
+    net.fit(x, y)
     return net
 
 
@@ -250,8 +283,8 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learned(df: DataFrame) -> Network | None:
-    return train(df.where(~held_out()))
+def learned(df: DataFrame, others: bool = False) -> Network | None:
+    return train(df.where(~held_out()), others=others)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

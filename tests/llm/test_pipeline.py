@@ -87,6 +87,25 @@ def test_stages_brute(spark, docs):
     check_packing(packed, {r[0]: t.encode(r[1] or "", add_special_tokens=False).ids + [0] for r in four}, 2048)
 
 
+def test_other_languages_go(spark):
+    """Texts in languages far from the learned ones go if they are long enough to tell; the documents all stay.
+
+    Near ones may stay: from this table, Finnish gets 0.898 and Dutch is taken for English.
+    """
+    others = [
+        "Język polski to język z grupy zachodniosłowiańskiej, należącej do rodziny języków indoeuropejskich. ",
+        "Русский язык является одним из восточнославянских языков, национальный язык русского народа. ",
+        "日本語は、日本国内や、かつての日本領だった国、そして国外移民や移住者を含む日本人同士の間で使用されている言語。",
+        "Η ελληνική γλώσσα ανήκει στην ινδοευρωπαϊκή οικογένεια και μιλιέται κυρίως στην Ελλάδα. ",
+    ]
+    rows = [(8000 + k, t * n, None, "s", 1) for k, t in enumerate(others) for n in (1, 4)]
+    rows = [(i + 100 * (n > 256), t, *r) for i, t, *r in rows for n in [len(t.encode())]]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    some = docs.where("text IS NOT NULL AND doc_id < 8000").unionByName(spark.createDataFrame(rows, SCHEMA))
+    gone = {r[0] for r in rows_of(some)} - {r[0] for r in rows_of(cp.identify_language(spark, some, SF))}
+    assert gone == {i for i, *_ in rows if i >= 8100} and len(gone) == 4
+
+
 def test_run(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = cp.run(spark, str(tmp_path))
