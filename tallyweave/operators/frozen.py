@@ -1,4 +1,4 @@
-"""Results that are computed once: written to the checkpoint folder and read from there by every later use."""
+"""How work is run: results that are computed once (written to the checkpoint folder and read from there by every later use), and code that is compiled."""
 
 from __future__ import annotations
 
@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a method beyond which the JVM only interprets it.
+COMPILED = 8000
+
+
+def compiled(spark: SparkSession) -> None:
+    """A setting of the session: steps whose fused code would be one method too long for the JVM's compiler run as several short ones.
+
+    A projection of some dozens of coded columns is such a step: interpreted, it took 12 times the CPU seconds.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(COMPILED))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder of checkpoints: the context's, that of spark.checkpoint.dir, or (local masters only) a new one."""
     sc = spark.sparkContext

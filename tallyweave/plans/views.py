@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..operators.frozen import compiled
 
 DOMAINS = {n: f"d{i}" for i, n in enumerate(("water", "power", "gas_heating", "food", "medication"), 1)}
 NOT_APPLICABLE = {n: f"na{i}" for i, n in enumerate(DOMAINS, 1)}
@@ -17,6 +18,7 @@ BATTERY = ("i_click", "i_view", "i_purchase", "i_error", "i_signup")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    compiled(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

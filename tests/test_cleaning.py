@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.operators import clean as C
+from tallyweave.plans import catalogue
 
 
 def raw_rows(n=6, **changes):
@@ -110,3 +111,13 @@ def test_audit_observed_while_writing(spark):
     assert sorted(map(str, cleaned.collect())) == sorted(map(str, C.clean(r).collect()))
     one = C.reconcile(cleaned).first()
     assert f"{one['mismatches']} of {one['comparable']} " in [a["reason"] for a in audit.collect() if a["step"].endswith("own count")][0]
+
+
+def test_wide_projections_are_compiled(spark):
+    """The JVM interprets methods of over 8,000 bytes: what is fused into a longer one must run in pieces."""
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    df = catalogue.clean_questionnaire(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan()
+    stats = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plan)
+    longest = max(stats.apply(k)._3().maxMethodCodeSize() for k in range(stats.size()))
+    assert longest <= 8000 or int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
