@@ -143,15 +143,16 @@ def codebook(df: DataFrame, columns: Sequence[str], labels: Mapping[str, str], v
 def trace_codes(raw: DataFrame, cleaned: DataFrame, key: str, columns: Mapping[str, str]) -> DataFrame:
     """(column, raw_code, example, clean_value, n): what each raw code of ``columns`` (raw to clean name) became.
 
-    One join of both tables by ``key``; the example of a code is its smallest key, a partial minimum. Codes are
-    doubles; a missing code is one, too.
+    One join of both tables by ``key``; the example of a code is its smallest key, a partial minimum: first of each pair of
+    codes (numbers, which are hashed, where structs would be sorted), then of the pairs. Codes are doubles; a missing code is one, too.
     """
     number = lambda c: F.col(f"`{c}`").cast("double")
     a = raw.select(number(key).alias("key"), *[number(r).alias(f"raw{k}") for k, r in enumerate(columns)])
     b = cleaned.select(number(key).alias("key"), *[number(c).alias(f"clean{k}") for k, c in enumerate(columns.values())])
     pairs = F.array(*[F.struct(F.lit(r).alias("column"), F.col(f"raw{k}").alias("raw_code"), F.col(f"clean{k}").alias("clean_value")) for k, r in enumerate(columns)])
     t = a.join(b, "key").select("key", F.explode(pairs).alias("p")).select("key", "p.*")
-    t = t.groupBy("column", "raw_code").agg(F.min(F.struct("key", "clean_value")).alias("first"), F.count("*").alias("n"))
+    t = t.groupBy("column", "raw_code", "clean_value").agg(F.min("key").alias("key"), F.count("*").alias("n"))
+    t = t.groupBy("column", "raw_code").agg(F.min(F.struct("key", "clean_value")).alias("first"), F.sum("n").alias("n"))
     return t.select("column", "raw_code", F.col("first.key").cast("long").alias("example"), F.col("first.clean_value").alias("clean_value"), "n")
 
 

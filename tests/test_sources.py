@@ -249,3 +249,22 @@ def test_a_failed_write_keeps_the_old_table(spark):
     assert sorted(r.a for r in spark.table("tw_kept_table").collect()) == [1, 2, 11, 12]
     assert not [x.name for x in spark.catalog.listTables() if x.name.startswith("tw_kept_table__")]
     spark.sql("DROP TABLE tw_kept_table")
+
+
+def test_trace_hashes_rows(spark):
+    """Joined rows are hashed by pairs of codes, not sorted by code; keys may repeat."""
+    from tallyweave.sources import store
+
+    rows = [(k % 150, k % 4 if k % 4 else None) for k in range(300)]
+    raw = spark.createDataFrame(rows, "id long, a int")
+    cleaned = spark.createDataFrame([(i, None if a == 3 or i == 5 else a and a * 10.0) for i, a in rows], "id long, b double")
+    t = store.trace_codes(raw, cleaned, "id", {"a": "b"})
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[column" in plan.replace(" HashAgg", "HashAgg") and "partial_min(key" in plan
+    joined = [(a, i, b) for i, a in rows for j, b in cleaned.collect() if i == j]
+    want = {}
+    for a in {a for a, *_ in joined}:
+        own = [(i, b is not None, b) for x, i, b in joined if x == a]
+        i, _, b = min(own, key=lambda r: (r[0], r[1], r[2] or 0))
+        want[a] = (i, b, len(own))
+    assert {r["raw_code"]: (r["example"], r["clean_value"], r["n"]) for r in t.collect()} == want
