@@ -114,10 +114,11 @@ def code(f: str, kind: str, bounds: list) -> F.Column:
 
 @dataclass
 class Design:
-    """Coded rows (y, fold, x), their cells in blocks, and the sums of each fold: rows, target."""
+    """Coded rows (y, fold, x), equal ones counted (y, fold, x, n; written), their cells in blocks, and the sums of each fold: rows, target."""
 
     features: list[str]
     rows: DataFrame
+    counted: DataFrame
     blocks: DataFrame
     tasks: int
     sums: dict[int, tuple[float, float]]
@@ -138,7 +139,8 @@ def design(df: DataFrame, features: Sequence[str], target: str, group: str) -> D
     fold = F.create_map(*[F.lit(x) for kv in at.items() for x in kv])[F.col(group)]
     codes = coding(t, features)
     rows = t.select(F.col(target).cast("double").alias("y"), fold.cast("int").alias("fold"), F.array(*[code(f, *codes[f]).cast("int") for f in features]).alias("x"))
-    cells = frozen(rows.groupBy("fold", "x").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("total")))
+    counted = frozen(rows.groupBy("y", "fold", "x").agg(F.count("*").cast("double").alias("n")))
+    cells = frozen(counted.groupBy("fold", "x").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("total")))
     # folds are few
     per_fold = cells.groupBy("fold").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("*").alias("cells")).collect()
     width, tasks = len(features), max(1, sum(r["cells"] for r in per_fold) // (BLOCK * TASK))
@@ -152,7 +154,7 @@ def design(df: DataFrame, features: Sequence[str], target: str, group: str) -> D
                 yield pa.RecordBatch.from_pylist([{"n": len(part[0]), **{c: a.tobytes() for c, a in zip(("x", "fold", "rows", "total"), part)}}], pa.schema([("n", pa.int32()), ("x", pa.binary()), ("fold", pa.binary()), ("rows", pa.binary()), ("total", pa.binary())]))
 
     blocks = frozen(cells.repartition(tasks, "x").mapInArrow(pack, BLOCKS))
-    return Design(features, rows, blocks, tasks, {r["fold"]: (r["n"], r["total"]) for r in per_fold}, np.array([codes[f][0] == "category" for f in features]))
+    return Design(features, rows, counted, blocks, tasks, {r["fold"]: (r["n"], r["total"]) for r in per_fold}, np.array([codes[f][0] == "category" for f in features]))
 
 
 # Trees
@@ -462,8 +464,8 @@ def codes_of(batch, column: int, width: int) -> np.ndarray:
     return batch.column(column).flatten().to_numpy().astype(np.uint8).reshape(-1, width)
 
 
-def predict(d: Design, models: dict) -> DataFrame:
-    """(y, fold, prediction) of the design's rows, each by the model of its fold (or the one under None)."""
+def predict(d: Design, models: dict, counted: bool = False) -> DataFrame:
+    """(y, fold, prediction) of the design's rows, each by the model of its fold (or the one under None); ``counted``: with n, of equal rows together."""
     width = len(d.features)
 
     def run(batches):
@@ -472,16 +474,18 @@ def predict(d: Design, models: dict) -> DataFrame:
             out = np.empty(len(x))
             for k in np.unique(fold):
                 out[fold == k] = by_distinct_rows(x[fold == k], models.get(int(k), models.get(None)).predict)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["y", "fold", "prediction"])
+            own = [b.column(3)] if counted else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out), *own], names=["y", "fold", "prediction", "n"][: 3 + counted])
 
-    return d.rows.mapInArrow(run, "y double, fold int, prediction double")
+    return (d.counted if counted else d.rows).mapInArrow(run, "y double, fold int, prediction double" + ", n double" * counted)
 
 
 def metrics(d: Design, parts: DataFrame, n_features: int) -> dict:
+    """Fit of the predictions ``parts`` of all rows, or of equal rows with their number n."""
     n, total = (sum(v[k] for v in d.sums.values()) for k in (0, 1))
-    y, p, mean = F.col("y"), F.col("prediction"), total / n
-    r = parts.agg(F.sum((y - p) * (y - p)), F.sum((y - mean) * (y - mean)), F.avg(F.abs(y - p)), F.avg(F.abs(y - mean))).first()
-    return {"n": int(n), "n_features": n_features, "r2_oof": 1 - r[0] / r[1] if r[1] else float("nan"), "mae_oof": r[2], "mae_baseline": r[3]}
+    y, p, k, mean = F.col("y"), F.col("prediction"), F.col("n") if "n" in parts.columns else F.lit(1.0), total / n
+    r = parts.agg(F.sum(k * (y - p) * (y - p)), F.sum(k * (y - mean) * (y - mean)), F.sum(k * F.abs(y - p)), F.sum(k * F.abs(y - mean))).first()
+    return {"n": int(n), "n_features": n_features, "r2_oof": 1 - r[0] / r[1] if r[1] else float("nan"), "mae_oof": r[2] / n, "mae_baseline": r[3] / n}
 
 
 def fold_models(d: Design) -> list[int | None]:
@@ -498,7 +502,7 @@ def out_of_fold(df: DataFrame, features: Sequence[str], target: str, group: str,
     found = dict(zip(outs, train(d, [(o, d.features) for o in outs], iterations, **options)))
     final = found.pop(None)
     parts = predict(d, found)
-    return metrics(d, parts, len(d.features)), parts, final, d
+    return metrics(d, predict(d, found, counted=True), len(d.features)), parts, final, d
 
 
 def comparison(df: DataFrame, full: Sequence[str], demographic: Sequence[str], target: str, group: str, iterations: int = ROUNDS, **options) -> list[dict]:
@@ -509,7 +513,7 @@ def comparison(df: DataFrame, full: Sequence[str], demographic: Sequence[str], t
     found = train(d, [(o, own) for own in sets.values() for o in outs], iterations, **options)
     rows = []
     for k, (name, own) in enumerate(sets.items()):
-        m = metrics(d, predict(d, dict(zip(outs, found[k * len(outs) :]))), len(own))
+        m = metrics(d, predict(d, dict(zip(outs, found[k * len(outs) :])), counted=True), len(own))
         rows.append({"model": name, **{c: m[c] for c in ("n_features", "r2_oof", "mae_oof")}})
     return [{"model": "mean predictor", "n_features": 0, "r2_oof": 0.0, "mae_oof": m["mae_baseline"]}, *rows]
 

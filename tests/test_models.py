@@ -440,3 +440,13 @@ def test_transfers_of_all_groups(spark, answers):
     with pytest.raises(ValueError):
         irt.transfer(d, ITEMS, "g", "tiny")
     assert irt.transfers(d, ITEMS, "g", ["nobody"])[0].first()["n_target"] == 0
+
+
+def test_equal_rows_are_predicted_once(spark):
+    rows = [(float(k % 3), "abc"[k % 3], float(k % 2)) for k in range(600)]
+    d = boost.design(spark.createDataFrame(rows, "f double, g string, y double"), ["f"], "y", "g")
+    models = {k: boost.Model(["f"], k / 10) for k in d.sums}
+    counted = boost.predict(d, models, counted=True)
+    assert sorted(r["n"] for r in counted.collect()) == [100.0] * 6
+    a, b = (boost.metrics(d, p, 1) for p in (counted, boost.predict(d, models)))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
