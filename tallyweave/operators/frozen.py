@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Ranges of an ordered table, at least.
+RANGES = 200
 #: Bytes of a method beyond which the JVM only interprets it.
 COMPILED = 8000
 
@@ -43,6 +45,8 @@ def in_order(df: DataFrame, *by: str) -> DataFrame:
     """``df`` frozen in ranges of ``by`` that ``part`` numbers in ascending order.
 
     The ranges follow the data (they come from a sample of it), rows equal in ``by`` share a part, and how many parts
-    there are depends on the session alone. Which ranges it became matters to nobody: all uses read the same.
+    there are depends on the session alone. Which ranges it became matters to nobody: all uses read the same. Parts are
+    asked for by number, as adaptive execution would join them to one a core, and what ranks a part holds it.
     """
-    return frozen(df.repartitionByRange(*by).withColumn("part", F.spark_partition_id()))
+    parts = max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return frozen(df.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id()))

@@ -37,7 +37,11 @@ def weighted_quantiles(df: DataFrame, value: str, weight: str, qs: Sequence[floa
 def block_quantiles(t: DataFrame, qs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """(g, a column per quantile) of ``blocks`` without null groups that ``in_order`` has cut by (g, v, w)."""
     weight = F.col("w") * F.col("k")
-    parts = t.groupBy("g", "part").agg(F.sum(weight).alias("held"), F.min(F.struct("v", "w")).alias("first"), F.max(F.struct("v", "w")).alias("last"))
+    # numbers first, which are hashed: structs, for which rows are sorted, are made of the ends' rows alone
+    parts = t.groupBy("g", "part").agg(F.sum(weight).alias("held"), F.min("v").alias("v_first"), F.max("v").alias("v_last"))
+    ends = t.join(F.broadcast(parts.select("g", "part", "v_first", "v_last")), ["g", "part"]).where("v IN (v_first, v_last)")
+    ends = ends.groupBy("g", "part").agg(F.min(F.struct("v", "w")).alias("first"), F.max(F.struct("v", "w")).alias("last"))
+    parts = parts.select("g", "part", "held").join(ends, ["g", "part"])
     # windows of a group's ranges: as many rows as there are partitions, at most
     group = Window.partitionBy("g")
     over = group.orderBy("part")

@@ -216,3 +216,22 @@ def test_spearman_whatever_the_partitions(spark):
     r = tables.spearman(frame(spark, [(1, 2.0), (1, 3.0)], "a int, b double"), "a", "b").first()
     assert r["spearman"] is None and r["n"] == 2
     assert tables.spearman(frame(spark, [], "a int, b double"), "a", "b").first()["n"] == 0
+
+
+def test_quantile_ranges_bound_a_task(spark):
+    """Blocks lie in many ranges, whatever adaptive execution would join, and results don't show where these end."""
+    from tallyweave.operators import quantile
+    from tallyweave.operators.frozen import RANGES, in_order
+
+    df = spark.range(3000).selectExpr("double(id % 1000) AS v", "double(1 + id % 7) AS w", "'a' AS g")
+    t = in_order(quantile.blocks(df, "v", "w", "g"), "g", "v", "w")
+    assert t.rdd.getNumPartitions() == RANGES and t.select("part").distinct().count() > 100
+    rows = sorted((r.v, r.w) for r in df.collect())
+    total, at, c = sum(w for _, w in rows), [], 0.0
+    for v, w in rows:
+        at.append(((c + w / 2) / total, v))
+        c += w
+    k = next(k for k, (f, _) in enumerate(at) if f >= 0.37)
+    (f1, v1), (f2, v2) = at[k - 1], at[k]
+    got = quantile.weighted_quantiles(df, "v", "w", [0.37], "g").first()["p37"]
+    assert abs(got - (v1 + (0.37 - f1) / (f2 - f1) * (v2 - v1))) < 1e-9
